@@ -299,3 +299,225 @@ def q_score_histogram(spark, sf):
 def q_attach_raw(spark, sf):
     sc = TB.scored(spark, sf).select(ID_COL, LABEL_COL, SCORE_COL)
     return risk.attach_raw(sc, TB.customers(spark, sf))
+
+
+# ================================================================ evaluation
+
+from churnlens.operators import evaluate, explain, messages, segments  # noqa: E402
+from churnlens.sources import io  # noqa: E402
+from churnlens.session import scratch_path  # noqa: E402
+
+
+def _pred(spark, sf):
+    return risk.predict(TB.scored(spark, sf))
+
+
+@query("confusion")
+def q_confusion(spark, sf):
+    return evaluate.confusion(_pred(spark, sf))
+
+
+@query("class_report")
+def q_class_report(spark, sf):
+    r = evaluate.class_report(_pred(spark, sf))
+    return r.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return evaluate.roc_auc(TB.scored(spark, sf)).select(r6("roc_auc").alias("roc_auc"))
+
+
+@query("roc_points")
+def q_roc_points(spark, sf):
+    r = evaluate.roc_points(TB.scored(spark, sf))
+    return r.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("pr_points")
+def q_pr_points(spark, sf):
+    r = evaluate.pr_points(TB.scored(spark, sf))
+    return r.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    from churnlens.operators.balance import class_weights
+    w = class_weights(TB.split(spark, sf).where(F.col("split") == "train"), LABEL_COL)
+    return w.select(LABEL_COL, "n", r6("weight").alias("weight"))
+
+
+# ================================================================ attributions (closed form)
+
+@query("linear_shap")
+def q_linear_shap(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    return attr
+
+
+@query("top_factors")
+def q_top_factors(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    t = explain.top_factors(attr, 5)
+    return t.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "feature", "shap_value", "direction")
+
+
+@query("global_importance")
+def q_global_importance(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    g = explain.global_importance(attr, 15)
+    return g.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@query("factor_bars")
+def q_factor_bars(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    b = explain.factor_bars(explain.top_factors(attr, 5))
+    return b.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "feature", "bar_pct")
+
+
+@query("waterfall")
+def q_waterfall(spark, sf):
+    attr, base = TB.linear_attr(spark, sf)
+    w = explain.waterfall(attr, base, n=3)
+    return w.select(ID_COL, "step", "item", r6("value").alias("value"), r6("start").alias("start"),
+                    r6("end").alias("end"), "text", r6("probability").alias("probability"))
+
+
+@query("beeswarm")
+def q_beeswarm(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    b = explain.beeswarm(attr, 12, 42)
+    return b.select(ID_COL, "feature", "rank", "shap_value", r6("norm_value").alias("norm_value"),
+                    r6("jitter").alias("jitter"), r6("y").alias("y"))
+
+
+@query("factor_text")
+def q_factor_text(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    return explain.factor_text(explain.top_factors(attr, 5), TB.scored(spark, sf))
+
+
+# ================================================================ segments (given segment column)
+
+@query("name_segments")
+def q_name_segments(spark, sf):
+    seg = segments.fixed_tenure_segments(TB.scored(spark, sf))
+    return segments.name_segments(seg).select(ID_COL, "segment", "segment_name")
+
+
+@query("segment_profiles")
+def q_segment_profiles(spark, sf):
+    seg = segments.name_segments(segments.fixed_tenure_segments(TB.scored(spark, sf)))
+    p = segments.segment_profiles(seg)
+    return p.select("segment", "segment_name", r6("mean_risk").alias("mean_risk"), "n_customers",
+                    *[r6(f"mean_{c}").alias(f"mean_{c}") for c in segments.SEGMENT_COLUMNS])
+
+
+# ================================================================ messages
+
+def _tone_by_band():
+    b = S.risk_band(SCORE_COL)
+    return F.when(b == S.BAND_HIGH, F.lit("warm")).when(b == S.BAND_MEDIUM, F.lit("formal")).otherwise(F.lit("short"))
+
+
+def _prompts(spark, sf):
+    attr, _ = TB.linear_attr(spark, sf)
+    facts = explain.factors_array(explain.top_factors(attr, 5))
+    return messages.retention_prompt(TB.scored(spark, sf), facts, tone=_tone_by_band())
+
+
+@query("retention_prompt")
+def q_retention_prompt(spark, sf):
+    return _prompts(spark, sf)
+
+
+@query("summary_input")
+def q_summary_input(spark, sf):
+    s = messages.summary_input(TB.scored(spark, sf), 0.7, 10)
+    return s.select("n_high", F.posexplode("top").alias("pos", "t")).select(
+        (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.id").alias(ID_COL),
+        F.col("t.churn_prob").alias(SCORE_COL), "t.tenure", "t.MonthlyCharges", "n_high")
+
+
+@query("summary_prompt")
+def q_summary_prompt(spark, sf):
+    return messages.summary_prompt(messages.summary_input(TB.scored(spark, sf), 0.7, 10))
+
+
+@query("request_table")
+def q_request_table(spark, sf):
+    return messages.request_table(_prompts(spark, sf), "mail")
+
+
+@query("fallback_message")
+def q_fallback_message(spark, sf):
+    r = TB.responses(spark, sf).where(F.col("error").isNotNull())
+    return r.select(ID_COL, "error", messages.fallback_message(F.col("error")).alias("message"))
+
+
+@query("attach_responses")
+def q_attach_responses(spark, sf):
+    j = messages.attach_responses(_prompts(spark, sf), TB.responses(spark, sf))
+    return j.select(ID_COL, "tone", "outcome", "message")
+
+
+@query("message_stats")
+def q_message_stats(spark, sf):
+    from churnlens.sources.fixture import table
+    conv = table(spark, sf, "conversations")
+    return messages.message_stats(conv, "text").select("conv_id", "turn", "words", "chars", "read_minutes")
+
+
+@query("trim_response")
+def q_trim_response(spark, sf):
+    from churnlens.sources.fixture import table
+    conv = table(spark, sf, "conversations")
+    return messages.trim_response(conv, "text").select("conv_id", "turn", F.col("text").alias("response"))
+
+
+# ================================================================ round trips through storage
+
+@query("processed_roundtrip")
+def q_processed_roundtrip(spark, sf):
+    path = scratch_path(spark, "processed")
+    io.write_processed(TB.split(spark, sf), path)
+    back = io.load_processed(spark, path, "test")
+    return back.drop("split")
+
+
+@query("test_ids")
+def q_test_ids(spark, sf):
+    path = scratch_path(spark, "test_ids")
+    io.test_ids(TB.split(spark, sf)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("scaler_roundtrip")
+def q_scaler_roundtrip(spark, sf):
+    s = TB.split(spark, sf)
+    stats = prepare.fit_scaler(s.where(F.col("split") == "train"), NUMERIC_COLS)
+    _, medians = prepare.clean(TB.customers(spark, sf))
+    path = scratch_path(spark, "scaler")
+    io.save_stats(prepare.scaler_table(spark, stats, medians), path)
+    t = io.load_stats(spark, path)
+    return t.select(F.col("column").alias("column_name"), r6("mean").alias("mean"), r6("std").alias("std"),
+                    r6("median").alias("median"))
+
+
+@query("export_high_risk")
+def q_export_high_risk(spark, sf):
+    sc = TB.scored(spark, sf)
+    path = scratch_path(spark, "high_risk_csv")
+    io.export_high_risk(sc, path, 0.7)
+    return io.read_csv(spark, path, sc.schema)
+
+
+@query("messages_roundtrip")
+def q_messages_roundtrip(spark, sf):
+    req = messages.request_table(_prompts(spark, sf), "mail")
+    banded = req.join(TB.scored(spark, sf).select(ID_COL, S.risk_band(SCORE_COL).alias("risk_band")), ID_COL)
+    path = scratch_path(spark, "messages")
+    io.write_messages(banded, path)
+    return spark.read.parquet(path).select(ID_COL, "risk_band", "tone", "job", "max_tokens", "temperature",
+                                           "user_prompt")

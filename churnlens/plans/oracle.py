@@ -251,3 +251,215 @@ register("score_histogram", """SELECT g.bin, round(g.bin / 40.0::DOUBLE, 6) AS l
              FROM scored WHERE churn_proba IS NOT NULL GROUP BY 1) c ON c.bin = g.bin""")
 register("attach_raw", "SELECT s.customerID, s.label, s.churn_proba, c.* EXCLUDE (customerID) "
                        "FROM scored s JOIN customers c ON c.customerID = s.customerID")
+
+
+# ---------------------------------------------------------------- batch 2: evaluation
+
+PRED = "scored_p AS (SELECT *, CAST(churn_proba >= 0.5::DOUBLE AS INTEGER) AS prediction FROM scored)"
+register("confusion", """SELECT y.label, p.prediction, count(s.customerID) AS n
+  FROM (VALUES (0), (1)) y(label) CROSS JOIN (VALUES (0), (1)) p(prediction)
+  LEFT JOIN scored_p s ON s.label = y.label AND s.prediction = p.prediction
+  GROUP BY y.label, p.prediction""", PRED)
+CM = PRED + """,
+cm AS (SELECT CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) AS DOUBLE) AS tp,
+  CAST(count(*) FILTER (WHERE label = 0 AND prediction = 1) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (WHERE label = 1 AND prediction = 0) AS DOUBLE) AS fn,
+  CAST(count(*) FILTER (WHERE label = 0 AND prediction = 0) AS DOUBLE) AS tn FROM scored_p),
+pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1,
+  coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+  tp + fn AS s1, tn + fp AS s0 FROM cm),
+f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0,
+  s0 + s1 AS n, coalesce((tp + tn) / nullif(s0 + s1, 0), 0) AS acc FROM pr)"""
+register("class_report", """
+  SELECT '0' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, CAST(s0 AS BIGINT) AS support FROM f
+  UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), CAST(s1 AS BIGINT) FROM f
+  UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), CAST(n AS BIGINT) FROM f
+  UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / n, 6), round((r0 * s0 + r1 * s1) / n, 6),
+                   round((f0 * s0 + f1 * s1) / n, 6), CAST(n AS BIGINT) FROM f
+  UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), CAST(n AS BIGINT) FROM f""", CM)
+SC = """sc AS (SELECT churn_proba AS score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+  FROM scored WHERE churn_proba IS NOT NULL AND label IS NOT NULL GROUP BY churn_proba),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos,
+  sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg,
+  sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM sc)"""
+register("roc_auc", "SELECT round(sum(pos * (cum_neg - neg + neg / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * "
+                    "CAST(sum(neg) AS DOUBLE)), 6) AS roc_auc FROM cum", SC)
+register("roc_points", """SELECT NULL::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+  UNION ALL SELECT score, round(CAST(N - cum_neg + neg AS DOUBLE) / N, 6), round(CAST(P - cum_pos + pos AS DOUBLE) / P, 6) FROM cum""", SC)
+register("pr_points", """SELECT score AS threshold,
+  round(coalesce(CAST(P - cum_pos + pos AS DOUBLE) / nullif(CAST(P - cum_pos + pos + N - cum_neg + neg AS DOUBLE), 0), 0), 6) AS precision,
+  round(CAST(P - cum_pos + pos AS DOUBLE) / P, 6) AS recall FROM cum
+  UNION ALL SELECT NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE""", SC)
+register("class_weights", """SELECT label, count(*) AS n,
+  round((SELECT count(*) FROM hsplit WHERE split = 'train') / (2.0::DOUBLE * count(*)), 6) AS weight
+  FROM hsplit WHERE split = 'train' GROUP BY label""")
+
+# ---------------------------------------------------------------- batch 2: attributions
+
+ATTR = """lin AS (SELECT customerID, tenure, MonthlyCharges, "Contract_Month-to-month" AS c1,
+  "Contract_One year" AS c2, "Contract_Two year" AS c3 FROM encoded),
+means AS (SELECT avg(CAST(tenure AS DOUBLE)) AS mt, avg(MonthlyCharges) AS mm, avg(CAST(c1 AS DOUBLE)) AS m1,
+  avg(CAST(c2 AS DOUBLE)) AS m2, avg(CAST(c3 AS DOUBLE)) AS m3 FROM lin),
+base AS (SELECT -0.11::DOUBLE * mt + 0.02::DOUBLE * mm + 0.9::DOUBLE * m1 + 0.2::DOUBLE * m2 + -0.6::DOUBLE * m3 AS base_value FROM means),
+attr AS (
+  SELECT customerID, 'tenure' AS feature, CAST(tenure AS DOUBLE) AS feature_value,
+         round(-0.11::DOUBLE * (CAST(tenure AS DOUBLE) - mt), 6) AS shap_value FROM lin, means
+  UNION ALL SELECT customerID, 'MonthlyCharges', MonthlyCharges, round(0.02::DOUBLE * (MonthlyCharges - mm), 6) FROM lin, means
+  UNION ALL SELECT customerID, 'Contract_Month-to-month', CAST(c1 AS DOUBLE), round(0.9::DOUBLE * (CAST(c1 AS DOUBLE) - m1), 6) FROM lin, means
+  UNION ALL SELECT customerID, 'Contract_One year', CAST(c2 AS DOUBLE), round(0.2::DOUBLE * (CAST(c2 AS DOUBLE) - m2), 6) FROM lin, means
+  UNION ALL SELECT customerID, 'Contract_Two year', CAST(c3 AS DOUBLE), round(-0.6::DOUBLE * (CAST(c3 AS DOUBLE) - m3), 6) FROM lin, means),
+top AS (SELECT customerID, row_number() OVER (PARTITION BY customerID ORDER BY abs(shap_value) DESC, feature) AS rank,
+  feature, shap_value, CASE WHEN shap_value > 0 THEN 'raises risk' ELSE 'lowers risk' END AS direction
+  FROM attr QUALIFY rank <= 5)"""
+register("linear_shap", "SELECT * FROM attr", ATTR)
+register("top_factors", "SELECT * FROM top", ATTR)
+register("global_importance", "SELECT feature, round(avg(abs(shap_value)), 6) AS mean_abs_shap FROM attr "
+                              "GROUP BY feature ORDER BY avg(abs(shap_value)) DESC, feature LIMIT 15", ATTR)
+register("factor_bars", "SELECT customerID, rank, feature, CAST(floor(abs(shap_value) / (max(abs(shap_value)) "
+                        "OVER (PARTITION BY customerID) + 1e-9::DOUBLE) * 100.0::DOUBLE) AS INTEGER) AS bar_pct FROM top",
+         ATTR)
+
+
+def signed(x: str, d: int = 3) -> str:
+    return (f"CASE WHEN round(CAST({x} AS DECIMAL(38,10)), {d}) >= 0 THEN '+' || {fixed(x, d)} "
+            f"ELSE {fixed(x, d)} END")
+
+
+register("waterfall", f"""
+SELECT customerID, step, item, round(value, 6) AS value, round(start, 6) AS start, round(start + value, 6) AS "end",
+  {signed('value')} AS text, NULL::DOUBLE AS probability FROM run
+UNION ALL
+SELECT customerID, CAST(k + 2 AS INTEGER), 'Prediction', round(base_value + total, 6), 0.0::DOUBLE,
+  round(base_value + total, 6), {pct('1.0::DOUBLE / (1.0::DOUBLE + exp(-(base_value + total)))')},
+  round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(base_value + total))), 6) FROM pc, base""", ATTR + """,
+wr AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY abs(shap_value) DESC, feature) AS r,
+  sum(shap_value) OVER (PARTITION BY customerID) AS total FROM attr),
+shown AS (SELECT * FROM wr WHERE r <= 3),
+steps AS (SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY shap_value, feature) AS INTEGER) AS step,
+  feature AS item, shap_value AS value FROM shown),
+pc AS (SELECT customerID, sum(shap_value) AS shown_sum, any_value(total) AS total, count(*) AS k FROM shown GROUP BY customerID),
+oth AS (SELECT customerID, CAST(k + 1 AS INTEGER) AS step, 'Other features' AS item, total - shown_sum AS value FROM pc),
+rws AS (SELECT * FROM steps UNION ALL SELECT * FROM oth),
+run AS (SELECT rws.*, base_value + coalesce(sum(value) OVER (PARTITION BY customerID ORDER BY step
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rws, base)""")
+JIT = "(-0.3::DOUBLE + 0.6::DOUBLE * (CAST('0x' || substr(md5(a.customerID || '|' || a.feature || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE))"
+register("beeswarm", f"""SELECT a.customerID, a.feature, CAST(rk.rank AS INTEGER) AS rank, a.shap_value,
+  round((a.feature_value - sc.lo) / (sc.hi - sc.lo + 1e-9::DOUBLE), 6) AS norm_value, round({JIT}, 6) AS jitter,
+  round(11.0::DOUBLE - rk.rank + {JIT}, 6) AS y
+  FROM attr a JOIN rk ON rk.feature = a.feature JOIN scl sc ON sc.feature = a.feature""", ATTR + """,
+imp AS (SELECT feature, avg(abs(shap_value)) AS m FROM attr GROUP BY feature ORDER BY m DESC, feature LIMIT 12),
+rk AS (SELECT feature, row_number() OVER (ORDER BY m DESC, feature) - 1 AS rank FROM imp),
+scl AS (SELECT feature, min(feature_value) AS lo, max(feature_value) AS hi FROM attr GROUP BY feature)""")
+register("factor_text", f"""SELECT s.customerID, 'Churn risk: ' || {pct('s.churn_proba')} || chr(10) ||
+  'Main risk factors (attributions):' || chr(10) || coalesce(l.body, '') AS factor_text
+  FROM scored s LEFT JOIN (SELECT customerID, string_agg('  ' || CAST(rank AS VARCHAR) || '. ' || feature || ': SHAP=' ||
+    {fixed('shap_value', 3)} || ' (' || direction || ')', chr(10) ORDER BY rank) AS body FROM top GROUP BY customerID) l
+  ON l.customerID = s.customerID""", ATTR)
+
+# ---------------------------------------------------------------- batch 2: segments
+
+SEG = """seg AS (SELECT *, CASE WHEN tenure < 55 THEN 0 WHEN tenure < 62 THEN 1 WHEN tenure < 68 THEN 2 ELSE 3 END AS segment
+  FROM scored),
+segr AS (SELECT segment, row_number() OVER (ORDER BY avg(churn_proba) DESC, segment) AS risk_rank FROM seg GROUP BY segment),
+segn AS (SELECT seg.*, CASE r.risk_rank WHEN 1 THEN 'High risk' WHEN 2 THEN 'Medium-high risk' WHEN 3 THEN 'Medium-low risk'
+  WHEN 4 THEN 'Low risk' ELSE 'segment_' || CAST(r.risk_rank AS VARCHAR) END AS segment_name
+  FROM seg LEFT JOIN segr r ON r.segment = seg.segment)"""
+register("name_segments", "SELECT customerID, segment, segment_name FROM segn", SEG)
+register("segment_profiles", """SELECT segment, segment_name, round(avg(churn_proba), 6) AS mean_risk, count(*) AS n_customers,
+  round(avg(tenure), 6) AS mean_tenure, round(avg(MonthlyCharges), 6) AS mean_MonthlyCharges,
+  round(avg(TotalCharges), 6) AS mean_TotalCharges FROM segn GROUP BY segment, segment_name""", SEG)
+
+# ---------------------------------------------------------------- batch 2: messages
+
+TONE = ("CASE WHEN churn_proba >= 0.7::DOUBLE THEN 'warm' WHEN churn_proba >= 0.4::DOUBLE THEN 'formal' ELSE 'short' END")
+TONE_NOTE = ("CASE tone WHEN 'warm' THEN 'Use a warm, friendly and personal tone.' "
+             "WHEN 'formal' THEN 'Use a professional, corporate tone.' "
+             "WHEN 'short' THEN 'Keep it very short: at most a two-sentence opening and one paragraph with the offer.' "
+             "ELSE 'Use a warm, friendly and personal tone.' END")
+PROMPTS = ATTR + f""",
+flines AS (SELECT customerID, string_agg('  - ' || feature || ': ' || direction || ' (impact: ' ||
+  {fixed('abs(shap_value)', 3)} || ')', chr(10) ORDER BY rank) AS lines FROM top GROUP BY customerID),
+ptone AS (SELECT s.*, {TONE} AS tone, f.lines FROM scored s LEFT JOIN flines f ON f.customerID = s.customerID),
+prompts AS (SELECT customerID, tone,
+  'Write a personalised win-back email for the customer below.' || chr(10) || chr(10) || 'CUSTOMER:' || chr(10) ||
+  '- Name: Valued customer' || chr(10) || '- Tenure: ' || coalesce(CAST(tenure AS VARCHAR), 'unknown') || ' months' || chr(10) ||
+  '- Monthly charge: ' || coalesce({fixed('MonthlyCharges', 2)}, 'unknown') || chr(10) ||
+  '- Contract: ' || coalesce(Contract, 'unknown') || chr(10) ||
+  '- Churn risk score: ' || coalesce({pct('churn_proba')}, 'unknown') || chr(10) || chr(10) ||
+  'CHURN RISK FACTORS (model attributions):' || chr(10) || coalesce(lines, '') || chr(10) || chr(10) ||
+  'TONE: ' || {TONE_NOTE} || chr(10) || chr(10) ||
+  'Write only the email text, subject line included. Add no other explanation.' AS user_prompt FROM ptone)"""
+register("retention_prompt", "SELECT * FROM prompts", PROMPTS)
+TOP10 = """hr AS (SELECT * FROM scored WHERE churn_proba >= 0.7::DOUBLE),
+t10 AS (SELECT CAST(row_number() OVER (ORDER BY churn_proba DESC, customerID) AS INTEGER) AS rank, customerID, churn_proba,
+  tenure, MonthlyCharges FROM hr QUALIFY rank <= 10)"""
+register("summary_input", "SELECT rank, customerID, churn_proba, tenure, MonthlyCharges, "
+                          "(SELECT count(*) FROM hr) AS n_high FROM t10", TOP10)
+register("summary_prompt", f"""SELECT (SELECT count(*) FROM hr) AS n_high,
+  'Prepare a short summary report for management on the ' || CAST((SELECT count(*) FROM hr) AS VARCHAR) ||
+  ' high-risk customers below.' || chr(10) || 'Point out common risk patterns and propose 2-3 actions.' || chr(10) || chr(10) ||
+  'HIGH-RISK CUSTOMERS:' || chr(10) ||
+  coalesce((SELECT string_agg('  ' || CAST(rank AS VARCHAR) || '. Customer ID: ' || customerID || ' | Risk: ' ||
+     {pct('churn_proba')} || ' | Tenure: ' || CAST(tenure AS VARCHAR) || ' months | Monthly: ' ||
+     {fixed('MonthlyCharges', 2)}, chr(10) ORDER BY rank) FROM t10), '') ||
+  chr(10) || chr(10) || 'Write the summary in 3-4 paragraphs.' AS user_prompt""", TOP10)
+MAIL_SYSTEM = ("You are an experienced customer-experience specialist at a telecom company. You write personalised, "
+               "empathetic win-back emails with concrete solutions for customers an analysis marked as likely to leave.\n"
+               "Rules:\n- Greet the customer by name when given\n- Acknowledge the problem, apologise and offer a solution\n"
+               "- At most 2-3 paragraphs\n- Include one concrete offer (discount, plan upgrade, priority support)\n"
+               "- No jargon\n- Do not manipulate; be honest and transparent")
+
+
+def lit(s: str) -> str:
+    """A SQL string literal, newlines spelled with chr(10)."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+register("request_table", f"SELECT customerID, tone, user_prompt, 'mail' AS job, {lit(MAIL_SYSTEM)} AS system_prompt, "
+                          "CAST(500 AS INTEGER) AS max_tokens, 0.7::DOUBLE AS temperature FROM prompts", PROMPTS)
+FALLBACK_HEAD = "[Message service unavailable - template message]\n\n"
+FALLBACK_TAIL = ("\n\n---\n\nSubject: We do not want to lose you - a special offer\n\n"
+                 "Dear valued customer,\n\n"
+                 "Thank you for being with us. We want to make your experience better, and we know recent months were not "
+                 "always smooth, so we prepared an offer for you.\n"
+                 "For your next three billing periods we would like to give you a 20% discount and priority technical "
+                 "support. Call our customer service or reply to this email to accept it.\n\n"
+                 "Kind regards,\nCustomer Experience Team")
+def reason(e: str) -> str:
+    return (f"CASE WHEN contains({e}, 'API key') OR contains(lower({e}), 'authentication') "
+            "THEN 'Key error: please check the service key.' "
+            f"WHEN contains(lower({e}), 'rate limit') THEN 'Rate limit reached: please wait a few seconds and try again.' "
+            f"ELSE 'An error occurred: ' || {e} END")
+
+
+def fallback(e: str) -> str:
+    return f"({lit(FALLBACK_HEAD)} || {reason(e)} || {lit(FALLBACK_TAIL)})"
+
+
+RESP = """resp AS (SELECT 'Customer#' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS customerID,
+  CASE conv_id % 5 WHEN 1 THEN 'Invalid API key provided' WHEN 2 THEN 'Authentication failed for this request'
+    WHEN 3 THEN 'Rate Limit exceeded, retry later' WHEN 4 THEN 'Connection timed out' END AS error, text
+  FROM conversations WHERE role = 'assistant' AND turn = 1),
+resp2 AS (SELECT customerID, CASE WHEN error IS NULL THEN text END AS response, error FROM resp)"""
+register("fallback_message", "SELECT customerID, error, " + fallback("error")
+         + " AS message FROM resp2 WHERE error IS NOT NULL", RESP)
+register("attach_responses", "SELECT p.customerID, p.tone, CASE WHEN r.response IS NOT NULL THEN 'ok' ELSE 'fallback' END AS outcome, "
+         "CASE WHEN r.response IS NOT NULL THEN regexp_replace(r.response, '^\\s+|\\s+$', '', 'g') ELSE "
+         + fallback("coalesce(r.error, 'no response')")
+         + " END AS message FROM prompts p LEFT JOIN resp2 r ON r.customerID = p.customerID", PROMPTS + ",\n" + RESP)
+WORDS = "len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '\\s+'), lambda x: x <> ''))"
+register("message_stats", f"""SELECT conv_id, turn, CAST({WORDS} AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars,
+  CAST(greatest(1, round_even({WORDS} / 200.0::DOUBLE, 0)) AS INTEGER) AS read_minutes FROM conversations""")
+register("trim_response", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS response FROM conversations")
+
+# ---------------------------------------------------------------- batch 2: storage round trips
+
+register("processed_roundtrip", "SELECT * EXCLUDE (split) FROM hsplit WHERE split = 'test'")
+register("test_ids", "SELECT customerID FROM hsplit WHERE split = 'test'")
+SQL["scaler_roundtrip"] = SQL["fit_scaler"]
+register("export_high_risk", "SELECT * FROM (SELECT s.customerID, s.label, s.churn_proba, c.* EXCLUDE (customerID) "
+                             "FROM scored s JOIN cleaned c USING (customerID)) WHERE churn_proba >= 0.7::DOUBLE")
+register("messages_roundtrip", f"SELECT p.customerID, {BAND.replace('churn_proba', 's.churn_proba')} AS risk_band, p.tone, "
+                               "'mail' AS job, CAST(500 AS INTEGER) AS max_tokens, 0.7::DOUBLE AS temperature, p.user_prompt "
+                               "FROM prompts p JOIN scored s ON s.customerID = p.customerID", PROMPTS)
