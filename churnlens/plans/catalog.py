@@ -521,3 +521,39 @@ def q_messages_roundtrip(spark, sf):
     io.write_messages(banded, path)
     return spark.read.parquet(path).select(ID_COL, "risk_band", "tone", "job", "max_tokens", "temperature",
                                            "user_prompt")
+
+
+# ================================================================ neighbours
+
+from churnlens.operators import neighbors  # noqa: E402
+
+
+@query("similar_customers")
+def q_similar_customers(spark, sf):
+    v = TB.customer_vectors(spark, sf)
+    targets = v.orderBy(F.col(SCORE_COL).desc(), ID_COL).limit(5)   # the five riskiest customers
+    r = neighbors.knn_targets(v, targets, n=5)
+    return r.select("target_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id",
+                    r6("distance").alias("distance"))
+
+
+@query("similar_all")
+def q_similar_all(spark, sf):
+    r = neighbors.knn_all(TB.customer_vectors(spark, sf), k=5)
+    return r.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "neighbor_id", r6("distance").alias("distance"))
+
+
+@query("embedding_knn")
+def q_embedding_knn(spark, sf):
+    from churnlens.sources.fixture import table
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"),
+                                                F.col("embedding").cast("array<double>").alias("vec"))
+    r = neighbors.knn_all(emb, k=5, id_col="vec_id")
+    return r.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id",
+                    r6("distance").alias("distance"))
+
+
+@query("similar_all_lsh")
+def q_similar_all_lsh(spark, sf):
+    r = neighbors.knn_all_lsh(TB.customer_vectors(spark, sf), k=5)
+    return r.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "neighbor_id", r6("distance").alias("distance"))

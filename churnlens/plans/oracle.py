@@ -463,3 +463,34 @@ register("export_high_risk", "SELECT * FROM (SELECT s.customerID, s.label, s.chu
 register("messages_roundtrip", f"SELECT p.customerID, {BAND.replace('churn_proba', 's.churn_proba')} AS risk_band, p.tone, "
                                "'mail' AS job, CAST(500 AS INTEGER) AS max_tokens, 0.7::DOUBLE AS temperature, p.user_prompt "
                                "FROM prompts p JOIN scored s ON s.customerID = p.customerID", PROMPTS)
+
+
+# ---------------------------------------------------------------- batch 3: neighbours
+
+SCALED = {"tenure": "(tenure - m_t) / s_t", "MonthlyCharges": "(MonthlyCharges - m_m) / s_m",
+          "TotalCharges": "(TotalCharges - m_c) / s_c"}
+VEC = "[" + ", ".join(f"round(CAST({SCALED.get(f, chr(34) + f + chr(34))} AS DOUBLE), 6)" for f in FEATURES) + "]"
+VECS = SCALER_CTE + f""",
+hv AS (SELECT customerID, label, split, {VEC} AS vec FROM hsplit, st),
+vecs AS (SELECT hv.*, s.churn_proba FROM hv JOIN scored s ON s.customerID = hv.customerID)"""
+
+
+def dist(a: str, b: str) -> str:
+    return (f"sqrt(list_reduce(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])), "
+            "lambda acc, x: acc + x))")
+
+
+register("similar_customers", f"""SELECT target_id, rank, neighbor_id, round(d, 6) AS distance FROM (
+  SELECT t.customerID AS target_id, c.customerID AS neighbor_id, {dist('t.vec', 'c.vec')} AS d,
+    row_number() OVER (PARTITION BY t.customerID ORDER BY {dist('t.vec', 'c.vec')}, c.customerID) AS rank
+  FROM (SELECT * FROM vecs ORDER BY churn_proba DESC, customerID LIMIT 5) t JOIN vecs c ON c.customerID <> t.customerID)
+  WHERE rank <= 5""", VECS)
+register("similar_all", f"""SELECT customerID, rank, neighbor_id, round(d, 6) AS distance FROM (
+  SELECT a.customerID, b.customerID AS neighbor_id, {dist('a.vec', 'b.vec')} AS d,
+    row_number() OVER (PARTITION BY a.customerID ORDER BY {dist('a.vec', 'b.vec')}, b.customerID) AS rank
+  FROM vecs a JOIN vecs b ON a.customerID <> b.customerID) WHERE rank <= 5""", VECS)
+register("embedding_knn", f"""SELECT vec_id, rank, neighbor_id, round(d, 6) AS distance FROM (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, {dist('a.vec', 'b.vec')} AS d,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist('a.vec', 'b.vec')}, b.vec_id) AS rank
+  FROM ev a JOIN ev b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
+         "ev AS (SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)")

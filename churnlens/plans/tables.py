@@ -65,3 +65,13 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
            .when(F.col("conv_id") % 5 == 4, F.lit("Connection timed out")))
     return conv.select(F.concat(F.lit("Customer#"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias(ID_COL),
                        F.when(err.isNull(), F.col("text")).alias("response"), err.alias("error"))
+
+
+def customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """customerID, label, split, churn_proba and ``vec``: the 26 encoded features scaled with
+    train statistics, rounded to 6 digits (so distances are exactly reproducible)."""
+    from churnlens.operators.neighbors import feature_vector
+    df, _ = scaled_split(spark, sf)
+    feats = prepare.encoded_feature_names(df)
+    sc = scored(spark, sf).select(ID_COL, SCORE_COL)
+    return feature_vector(df, feats, "vec", digits=6).select(ID_COL, LABEL_COL, "split", "vec").join(sc, ID_COL)
