@@ -557,3 +557,109 @@ def q_embedding_knn(spark, sf):
 def q_similar_all_lsh(spark, sf):
     r = neighbors.knn_all_lsh(TB.customer_vectors(spark, sf), k=5)
     return r.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "neighbor_id", r6("distance").alias("distance"))
+
+
+@query("smote")
+def q_smote(spark, sf):
+    from churnlens.operators.balance import smote
+    df, _ = TB.scaled_split(spark, sf)
+    feats = prepare.encoded_feature_names(df)
+    train = df.where(F.col("split") == "train").select(ID_COL, LABEL_COL,
+                                                       *[F.round(F.col(f"`{f}`").cast("double"), 6).alias(f)
+                                                         for f in feats])
+    out = smote(train, feats, LABEL_COL, k=5, seed=42)
+    return out.select(ID_COL, LABEL_COL, "is_synthetic", *[r6(f"`{f}`").alias(f) for f in feats])
+
+
+# ================================================================ model, segments, attributions (rows-only)
+
+from churnlens.operators import model as M, treeshap  # noqa: E402
+from churnlens.plans import jobs  # noqa: E402
+
+
+@query("column_types")
+def q_column_types(spark, sf):
+    return profile.column_types(TB.customers(spark, sf))
+
+
+@query("prepare_counts")
+def q_prepare_counts(spark, sf):
+    return jobs.prepare_counts(TB.prepared(spark, sf))
+
+
+@query("model_score")
+def q_model_score(spark, sf):
+    model, prep = TB.trained(spark, sf)
+    sc = M.score(model, prep["test"])
+    return sc.select(ID_COL, LABEL_COL, SCORE_COL, "prediction", S.risk_band(SCORE_COL).alias("risk_band"))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf):
+    model, prep = TB.trained(spark, sf)
+    sc = M.score(model, prep["test"])
+    rep = evaluate.class_report(sc)
+    auc = evaluate.roc_auc(sc)
+    f1 = rep.where(F.col("class") == "1").select(F.lit("f1").alias("metric"), F.col("f1").alias("value"))
+    acc = rep.where(F.col("class") == "accuracy").select(F.lit("accuracy").alias("metric"), F.col("f1").alias("value"))
+    return f1.unionByName(acc).unionByName(auc.select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
+
+
+@query("tune_trials")
+def q_tune_trials(spark, sf):
+    prep = TB.prepared(spark, sf)
+    parts = splitting.random_split(prep["train"])
+    from churnlens.operators.balance import smote
+    fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), prep["features"], LABEL_COL)
+    valid = parts.where(F.col("part") == "valid")
+    _, trials = M.tune(fit_rows, valid, prep["features"], LABEL_COL, n_trials=4, max_iter_cap=10)
+    return trials
+
+
+def _segmented(spark, sf):
+    sc = TB.scored(spark, sf)
+    seg, _ = segments.kmeans_segments(sc, k=4, n_init=15, seed=42)
+    return segments.name_segments(seg)
+
+
+@query("kmeans_segments")
+def q_kmeans_segments(spark, sf):
+    return _segmented(spark, sf).select(ID_COL, "segment", "segment_name", SCORE_COL)
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf):
+    sc = TB.scored(spark, sf)
+    z = segments.standardized(sc, segments.segment_inputs(sc))
+    return segments.pca_2d(z).select(ID_COL, "pca_x", "pca_y")
+
+
+@query("segment_points")
+def q_segment_points(spark, sf):
+    seg = _segmented(spark, sf)
+    return segments.segment_points(segments.pca_2d(seg.drop("segment_name")).join(
+        seg.select(ID_COL, "segment_name"), ID_COL))
+
+
+@query("tree_shap")
+def q_tree_shap(spark, sf):
+    model, prep = TB.trained(spark, sf)
+    attr, _ = treeshap.tree_shap(model, prep["test"], prep["features"])
+    return attr
+
+
+@query("base_value")
+def q_base_value(spark, sf):
+    model, _ = TB.trained(spark, sf)
+    return spark.range(1).select(F.lit(treeshap.base_value(spark, model)).alias("base_value"))
+
+
+@query("score_stream")
+def q_score_stream(spark, sf):
+    from churnlens.streaming.score import run_to_completion
+    model, prep = TB.trained(spark, sf)
+    raw = TB.customers(spark, sf).join(prep["test"].select(ID_COL), ID_COL, "left_semi").drop("Churn")
+    in_dir = scratch_path(spark, "stream_in")
+    raw.repartition(4).write.mode("overwrite").parquet(in_dir)   # arriving files
+    return run_to_completion(spark, in_dir, prep["fitted"], model, scratch_path(spark, "stream_out"),
+                             scratch_path(spark, "stream_ckpt"))

@@ -494,3 +494,28 @@ register("embedding_knn", f"""SELECT vec_id, rank, neighbor_id, round(d, 6) AS d
     row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist('a.vec', 'b.vec')}, b.vec_id) AS rank
   FROM ev a JOIN ev b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
          "ev AS (SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)")
+
+HN = "CAST('0x' || substr(md5({x} || ':42'), 1, 8) AS BIGINT)"
+SMOTE = VECS + f""",
+tr AS (SELECT * FROM vecs WHERE split = 'train'),
+cnt AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
+mn AS (SELECT label AS minl, n AS n_min FROM cnt ORDER BY n, label LIMIT 1),
+mj AS (SELECT n AS n_maj FROM cnt ORDER BY n DESC, label LIMIT 1),
+prm AS (SELECT n_min, n_maj, (n_maj - n_min) // n_min AS q, (n_maj - n_min) % n_min AS rmd,
+  least(5, n_min - 1) AS keff FROM mn, mj),
+mino AS (SELECT tr.* FROM tr, mn WHERE tr.label = mn.minl),
+rk AS (SELECT mino.*, row_number() OVER (ORDER BY {HN.format(x='customerID')}, customerID) AS hr FROM mino),
+cp AS (SELECT rk.*, q + CASE WHEN hr <= rmd THEN 1 ELSE 0 END AS copies FROM rk, prm),
+ex AS (SELECT customerID, label, vec, unnest(range(1, copies + 1)) AS i FROM cp WHERE copies > 0),
+knn AS (SELECT a.customerID, b.customerID AS neighbor_id,
+  row_number() OVER (PARTITION BY a.customerID ORDER BY {dist('a.vec', 'b.vec')}, b.customerID) AS j
+  FROM mino a JOIN mino b ON a.customerID <> b.customerID),
+sy AS (SELECT ex.*, CAST(1 + {HN.format(x="ex.customerID || ':' || CAST(i AS VARCHAR) || ':nb'")} % keff AS INTEGER) AS j,
+  {HN.format(x="ex.customerID || ':' || CAST(i AS VARCHAR) || ':u'")} / 4294967296.0::DOUBLE AS u FROM ex, prm),
+syn AS (SELECT 'syn-' || sy.customerID || '-' || CAST(sy.i AS VARCHAR) AS customerID, sy.label, 1 AS is_synthetic,
+  list_transform(list_zip(sy.vec, nb.vec), lambda p: p[1] + u * (p[2] - p[1])) AS vec
+  FROM sy JOIN knn ON knn.customerID = sy.customerID AND knn.j = sy.j
+  JOIN mino nb ON nb.customerID = knn.neighbor_id),
+allr AS (SELECT customerID, label, 0 AS is_synthetic, vec FROM tr UNION ALL SELECT * FROM syn)"""
+register("smote", "SELECT customerID, label, is_synthetic, " + ", ".join(
+    f'round(vec[{i + 1}], 6) AS "{f}"' for i, f in enumerate(FEATURES)) + " FROM allr", SMOTE)

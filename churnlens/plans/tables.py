@@ -75,3 +75,22 @@ def customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
     feats = prepare.encoded_feature_names(df)
     sc = scored(spark, sf).select(ID_COL, SCORE_COL)
     return feature_vector(df, feats, "vec", digits=6).select(ID_COL, LABEL_COL, "split", "vec").join(sc, ID_COL)
+
+
+_MODELS: dict = {}
+
+
+def prepared(spark: SparkSession, sf: str) -> dict:
+    from churnlens.plans.jobs import prepare_data
+    return prepare_data(customers(spark, sf))
+
+
+def trained(spark: SparkSession, sf: str) -> tuple:
+    """(model, prepared tables): trained once per scale factor and session."""
+    from churnlens.operators.model import train
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        prep = prepared(spark, sf)
+        model = train(prep["train_balanced"], prep["features"], LABEL_COL)
+        _MODELS[key] = (model, prep)
+    return _MODELS[key]
