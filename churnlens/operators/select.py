@@ -21,42 +21,55 @@ MAX_DISTINCT_TO_DRIVER = 50_000
 N_PROBES = 63
 
 
-def exact_kth(df: DataFrame, col: str | Column, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ranks of the ascending non-null values of ``col``."""
+def _walk(pairs, below: int, ranks: list[int]) -> dict[int, float]:
+    out, acc = {}, below
+    it = iter(ranks)
+    r = next(it, None)
+    for row in pairs:
+        acc += row["count"]
+        while r is not None and r < acc:
+            out[r] = row["v"]
+            r = next(it, None)
+    return out
+
+
+def exact_kth(df: DataFrame, col: str | Column, rank_fn) -> tuple[dict[int, float], int]:
+    """Values at 0-based ranks of the ascending non-null values of ``col``.
+
+    ``rank_fn(n)`` gives the wanted ranks once the count n is known. Returns
+    ({rank: value}, n). Two passes when the column has few distinct values
+    (count + sketch, then the (value, count) pairs); otherwise each further
+    round narrows (lo, hi] by about 64x.
+    """
     v = (F.col(col) if isinstance(col, str) else col).cast("double").alias("v")
     vals = df.select(v).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    ranks = sorted(set(ranks))
+    probs = [(i + 1) / (N_PROBES + 1) for i in range(N_PROBES)]
     lo = hi = None          # current interval (lo, hi]
     below = 0               # rows <= lo
-    out: dict[int, float] = {}
+    ranks = None
+    n_total = 0
     while True:
         sub = vals
         if lo is not None:
             sub = sub.where(F.col("v") > F.lit(lo))
         if hi is not None:
             sub = sub.where(F.col("v") <= F.lit(hi))
-        probs = [(i + 1) / (N_PROBES + 1) for i in range(N_PROBES)]
-        stats = sub.agg(F.count(F.lit(1)).alias("n"),
-                        F.approx_count_distinct("v").alias("nd"),
+        stats = sub.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("nd"),
                         F.percentile_approx("v", probs, 10000).alias("qs")).first()
+        if ranks is None:
+            n_total = stats["n"]
+            ranks = sorted(set(rank_fn(n_total))) if n_total else []
+            if not ranks:
+                return {}, n_total
         if stats["n"] == 0:
-            return out
+            return {}, n_total
         if stats["nd"] <= MAX_DISTINCT_TO_DRIVER:
             pairs = sub.groupBy("v").count().orderBy("v").collect()
-            acc = below
-            it = iter(ranks)
-            r = next(it, None)
-            for row in pairs:
-                acc += row["count"]
-                while r is not None and r < acc:
-                    out[r] = row["v"]
-                    r = next(it, None)
-            return out
+            return _walk(pairs, below, ranks), n_total
         edges = sorted(set(stats["qs"]))
         counts = sub.agg(*[F.count_if(F.col("v") <= F.lit(e)).alias(f"c{i}")
                            for i, e in enumerate(edges)]).first()
         cum = [below + counts[f"c{i}"] for i in range(len(edges))]
-        # tightest (lo, hi] holding all wanted ranks
         new_lo, new_below = lo, below
         for e, c in zip(edges, cum):
             if c <= ranks[0]:
@@ -67,70 +80,76 @@ def exact_kth(df: DataFrame, col: str | Column, ranks: list[int]) -> dict[int, f
                 new_hi = e
                 break
         if new_lo == lo and new_hi == hi:
-            # cannot narrow further by probes: fall back to the pairs of the interval
             pairs = sub.groupBy("v").count().orderBy("v").collect()
-            acc = below
-            it = iter(ranks)
-            r = next(it, None)
-            for row in pairs:
-                acc += row["count"]
-                while r is not None and r < acc:
-                    out[r] = row["v"]
-                    r = next(it, None)
-            return out
+            return _walk(pairs, below, ranks), n_total
         lo, hi, below = new_lo, new_hi, new_below
 
 
 def exact_median(df: DataFrame, col: str | Column) -> float | None:
     """Median with the two middle values averaged (as pandas / DuckDB ``median``)."""
-    n = df.select(F.count(col if isinstance(col, Column) else F.col(col)).alias("n")).first()["n"]
+    got, n = exact_kth(df, col, lambda n: [(n - 1) // 2, n // 2])
     if n == 0:
         return None
-    r1, r2 = (n - 1) // 2, n // 2
-    got = exact_kth(df, col, [r1, r2])
-    return (got[r1] + got[r2]) / 2.0
+    return (got[(n - 1) // 2] + got[n // 2]) / 2.0
 
 
-def hash_cut(df: DataFrame, h_col: str, id_col: str, group_col: str,
-             k_by_group: dict) -> dict:
+def hash_cut(df: DataFrame, h_col: str, id_col: str, group_col: str, k_by_group,
+             max_rows_to_driver: int = 100_000) -> dict:
     """Per group, the (h, id) of the k-th smallest row ordered by (h, id).
 
-    ``h`` must be an integer in [0, 2^32). Returns {group: (h, id)} for groups
-    with k >= 1. Rows with (h, id) <= the cut are the first k of the group.
+    ``h`` must be an integer in [0, 2^32). ``k_by_group`` is a dict, or a
+    function of the row count per group returning one. Each pass is a histogram
+    of the next 12 hash bits inside the bucket found so far (at most groups x
+    4096 rows to the driver); once the bucket holding the k-th row is small, its
+    (h, id) pairs are read and the cut is exact. Returns {group: (h, id)} and
+    sets ``hash_cut.last_totals`` to the rows per group.
     """
-    result = {}
-    todo = {g: (k, 0, 0) for g, k in k_by_group.items() if k and k > 0}  # (k left, prefix, bits fixed)
-    for shift_bits in (12, 12, 8):
-        if not todo:
-            break
-        conds = []
-        for g, (_, prefix, fixed) in todo.items():
-            cond = F.col(group_col) == F.lit(g)
-            if fixed:
-                cond = cond & (F.shiftright(F.col(h_col), 32 - fixed) == F.lit(prefix))
-            conds.append(cond)
-        any_cond = conds[0]
-        for c in conds[1:]:
-            any_cond = any_cond | c
-        fixed_now = next(iter(todo.values()))[2]
-        bucket = F.shiftright(F.col(h_col), 32 - fixed_now - shift_bits) % F.lit(1 << shift_bits)
-        hist = (df.where(any_cond).groupBy(F.col(group_col).alias("g"), bucket.alias("b"))
-                .count().collect())
+    result: dict = {}
+    todo = None                      # group -> (k left, prefix, bits fixed)
+    fixed = 0
+    while True:
+        bits = min(12, 32 - fixed)
+        if todo is None:
+            cond = F.lit(True)
+        else:
+            cond = F.lit(False)
+            for g, (_, prefix, fx) in todo.items():
+                cond = cond | ((F.col(group_col) == F.lit(g)) & (F.shiftright(F.col(h_col), 32 - fx) == F.lit(prefix)))
+        bucket = F.shiftright(F.col(h_col), 32 - fixed - bits) % F.lit(1 << bits)
+        hist = df.where(cond).groupBy(F.col(group_col).alias("g"), bucket.alias("b")).count().collect()
         by_group: dict = {}
         for row in hist:
             by_group.setdefault(row["g"], []).append((row["b"], row["count"]))
-        new_todo = {}
-        for g, (k, prefix, fixed) in todo.items():
+        if todo is None:
+            totals = {g: sum(c for _, c in lst) for g, lst in by_group.items()}
+            hash_cut.last_totals = totals
+            ks = k_by_group(totals) if callable(k_by_group) else k_by_group
+            todo = {g: (k, 0, 0) for g, k in ks.items() if k and k > 0}
+        new_todo, small = {}, {}
+        for g, (k, prefix, fx) in todo.items():
             acc = 0
             for b, c in sorted(by_group.get(g, [])):
                 if acc + c >= k:
-                    new_todo[g] = (k - acc, (prefix << shift_bits) | b, fixed + shift_bits)
+                    nxt = (k - acc, (prefix << bits) | b, fx + bits)
+                    if c <= max_rows_to_driver or fx + bits >= 32:
+                        small[g] = nxt
+                    else:
+                        new_todo[g] = nxt
                     break
                 acc += c
+        if small:
+            cond = F.lit(False)
+            for g, (_, prefix, fx) in small.items():
+                cond = cond | ((F.col(group_col) == F.lit(g)) & (F.shiftright(F.col(h_col), 32 - fx) == F.lit(prefix)))
+            rows = df.where(cond).select(F.col(group_col).alias("g"), F.col(h_col).alias("h"),
+                                         F.col(id_col).alias("id")).collect()   # bounded: small buckets only
+            per: dict = {}
+            for r in rows:
+                per.setdefault(r["g"], []).append((r["h"], r["id"]))
+            for g, (k, prefix, fx) in small.items():
+                mine = sorted(x for x in per.get(g, []) if (x[0] >> (32 - fx)) == prefix)
+                result[g] = mine[k - 1]
         todo = new_todo
-    # all 32 bits fixed: the remaining rows of each group share one h; order by id
-    for g, (k, h_val, _) in todo.items():
-        ties = (df.where((F.col(group_col) == F.lit(g)) & (F.col(h_col) == F.lit(h_val)))
-                .select(id_col).orderBy(id_col).limit(k).collect())
-        result[g] = (h_val, ties[-1][id_col])
-    return result
+        fixed += bits
+        if not todo:
+            return result

@@ -21,9 +21,8 @@ def stratified_split(df: DataFrame, label: str = LABEL_COL, test_size: float = T
                      seed: int = SEED, id_col: str = ID_COL) -> DataFrame:
     """SPL1: adds ``split`` = 'test' | 'train', stratified by ``label``."""
     h = df.withColumn("_h", keyed_hash(id_col, seed))
-    counts = {r[0]: r[1] for r in h.groupBy(label).count().collect()}  # one row per class
-    k = {g: int(_round_half_up(test_size * n)) for g, n in counts.items()}
-    cuts = hash_cut(h, "_h", id_col, label, k)
+    cuts = hash_cut(h, "_h", id_col, label,
+                    lambda totals: {g: _round_half_up(test_size * n) for g, n in totals.items()})
     is_test = F.lit(False)
     for g, (hv, idv) in cuts.items():
         is_test = is_test | ((F.col(label) == F.lit(g)) & (

@@ -254,14 +254,14 @@ def q_filter_contract(spark, sf):
 
 @query("filter_ranges")
 def q_filter_ranges(spark, sf):
-    return risk.apply_filters(TB.customers(spark, sf), None, (12, 48), (20.0, 25.0)) \
+    return risk.apply_filters(TB.customers(spark, sf), None, (24, 60), (60.0, 80.0)) \
         .select(ID_COL, "tenure", "MonthlyCharges")
 
 
 @query("apply_filters")
 def q_apply_filters(spark, sf):
     sc = TB.scored(spark, sf)
-    return risk.apply_filters(sc, ["Month-to-month", "Two year"], (6, 60), (20.0, 30.0)) \
+    return risk.apply_filters(sc, ["Month-to-month", "Two year"], (12, 66), (55.0, 85.0)) \
         .select(ID_COL, SCORE_COL)
 
 

@@ -235,9 +235,9 @@ register("sample_per_band", f"""SELECT risk_band, pick, customerID FROM (
     row_number() OVER (PARTITION BY {BAND} ORDER BY {H}, customerID) AS pick FROM scored) WHERE pick <= 3""")
 register("filter_contract", "SELECT customerID, Contract FROM customers WHERE Contract IN ('Month-to-month', 'One year')")
 register("filter_ranges", "SELECT customerID, tenure, MonthlyCharges FROM customers "
-                          "WHERE tenure BETWEEN 12 AND 48 AND MonthlyCharges BETWEEN 20.0::DOUBLE AND 25.0::DOUBLE")
+                          "WHERE tenure BETWEEN 24 AND 60 AND MonthlyCharges BETWEEN 60.0::DOUBLE AND 80.0::DOUBLE")
 register("apply_filters", "SELECT customerID, churn_proba FROM scored WHERE Contract IN ('Month-to-month', 'Two year') "
-                          "AND tenure BETWEEN 6 AND 60 AND MonthlyCharges BETWEEN 20.0::DOUBLE AND 30.0::DOUBLE")
+                          "AND tenure BETWEEN 12 AND 66 AND MonthlyCharges BETWEEN 55.0::DOUBLE AND 85.0::DOUBLE")
 register("filter_coverage", "SELECT count(*) FILTER (WHERE Contract IN ('One year') AND tenure BETWEEN 0 AND 72 "
                             "AND MonthlyCharges BETWEEN 0 AND 120) AS n_shown, count(*) AS n_total FROM scored")
 register("high_risk_view", f"""SELECT customerID, tenure, MonthlyCharges, TotalCharges, churn_proba, {BAND} AS risk_band,

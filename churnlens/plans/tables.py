@@ -11,16 +11,28 @@ from pyspark.sql import functions as F
 
 from churnlens.operators import prepare, split as splitting
 from churnlens.schema import ID_COL, LABEL_COL, SCORE_COL
+from churnlens.session import checkpoint_root
 from churnlens.sources.fixture import customer_view, rule_score_col
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Build a base table once per session: a reliable checkpoint in the shared
+    checkpoint folder (lineage cut, survives executor loss without recompute)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MATERIALIZED:
+        checkpoint_root(spark)
+        _MATERIALIZED[key] = build().checkpoint(eager=True)
+    return _MATERIALIZED[key]
+
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
-    return customer_view(spark, sf)
+    return materialized(spark, sf, "customers", lambda: customer_view(spark, sf))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    df, _ = prepare.clean(customers(spark, sf))
-    return df
+    return materialized(spark, sf, "cleaned", lambda: prepare.clean(customers(spark, sf))[0])
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,12 +44,14 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf: str) -> DataFrame:
-    c = cleaned(spark, sf)
-    return prepare.encode_features(c, prepare.fit_categories(c))
+    def build():
+        c = cleaned(spark, sf)
+        return prepare.encode_features(c, prepare.fit_categories(c))
+    return materialized(spark, sf, "encoded", build)
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.stratified_split(encoded(spark, sf))
+    return materialized(spark, sf, "split", lambda: splitting.stratified_split(encoded(spark, sf)))
 
 
 def scaled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
@@ -80,15 +94,21 @@ def customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
 _MODELS: dict = {}
 
 
+_PREPARED: dict = {}
+
+
 def prepared(spark: SparkSession, sf: str) -> dict:
     from churnlens.plans.jobs import prepare_data
-    return prepare_data(customers(spark, sf))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PREPARED:
+        _PREPARED[key] = prepare_data(customers(spark, sf))
+    return _PREPARED[key]
 
 
 def trained(spark: SparkSession, sf: str) -> tuple:
     """(model, prepared tables): trained once per scale factor and session."""
     from churnlens.operators.model import train
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         prep = prepared(spark, sf)
         model = train(prep["train_balanced"], prep["features"], LABEL_COL)
