@@ -34,12 +34,13 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     each minority row gets total // n copies and the first total % n rows in
     keyed-hash order one more (cut found by ``hash_cut``, no global sort).
     New row = base + u * (neighbour - base) with a neighbour drawn from the
-    k nearest minority rows (exact pivot kNN, or LSH with ``knn='lsh'``).
+    k nearest minority rows (exact pivot kNN; ``knn='lsh'`` approximate;
+    ``knn='auto'`` exact up to 50,000 minority rows, LSH beyond).
     Output: the input rows plus synthetic rows (``is_synthetic`` = 1, id
     ``syn-<base>-<i>``), features as doubles.
     """
     from churnlens.functions.scalars import keyed_hash, keyed_uniform
-    from churnlens.operators.neighbors import feature_vector, knn_all, knn_all_lsh
+    from churnlens.operators.neighbors import feature_vector, knn_all, knn_all_lsh, knn_auto
     from churnlens.operators.select import hash_cut
 
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -77,7 +78,8 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     copies = copies.withColumn("j", (F.lit(1) + keyed_hash(F.concat(key, F.lit(":nb")), seed) % F.lit(k_eff))
                                .cast("int")) \
         .withColumn("u", keyed_uniform(F.concat(key, F.lit(":u")), seed))
-    nn = (knn_all(mino, k=k_eff, id_col=id_col) if knn == "exact" else knn_all_lsh(mino, k=k_eff, id_col=id_col)) \
+    knn_fn = {"exact": knn_all, "lsh": knn_all_lsh, "auto": knn_auto}[knn]
+    nn = knn_fn(mino, k=k_eff, id_col=id_col) \
         .select(F.col(id_col), F.col("rank").alias("j"), "neighbor_id")
     nvec = mino.select(F.col(id_col).alias("neighbor_id"), F.col("vec").alias("nvec"))
     syn = copies.join(nn, [id_col, "j"]).join(nvec, "neighbor_id")

@@ -13,7 +13,13 @@ of copies becomes one row plus its first k+1 ids). Distinct vectors are then
 cut into Voronoi cells around pivots. For each cell a proven upper bound of the
 k-th neighbour distance is derived from the pivot, and a vector is copied only
 to the cells it can be a neighbour in (triangle inequality). Pairs are formed
-per cell among members and those candidates only, never across the table.
+per cell among members and those candidates only.
+
+Cost: pruning works when the data has low intrinsic dimension (clusters);
+in high-dimensional, evenly spread data (k-th neighbour distance close to the
+typical pairwise distance) no metric bound prunes and the exact join becomes
+quadratic. ``knn_all_lsh`` is the scale mode for that case, and ``knn_auto``
+switches to it above ``EXACT_LIMIT`` rows.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import Window as W
 from churnlens.functions.scalars import keyed_hash, squared_distance
 
 MAX_TARGETS = 10_000
+EXACT_LIMIT = 50_000
 MAX_PIVOTS = 2048
 SLACK = 1e-9
 
@@ -86,9 +93,9 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
            .select("vec").collect())
     pivots = [list(map(float, r["vec"])) for r in piv]
     p = len(pivots)
-    piv_arr = F.array(*[F.array(*[F.lit(x) for x in pv]) for pv in pivots])
 
     # C. distance to every pivot, own cell = nearest pivot (ties: lowest index)
+    piv_arr = F.array(*[F.array(*[F.lit(x) for x in pv]) for pv in pivots])
     withd = vecs.withColumn("pd", F.transform(piv_arr, lambda pv: _dist(pv, F.col("vec"))))
     withd = withd.withColumn("d0", F.array_min("pd"))
     withd = withd.withColumn("cell", F.array_position("pd", F.col("d0")).cast("int") - 1).cache()
@@ -168,3 +175,12 @@ def knn_all_lsh(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str
     w = W.partitionBy("id").orderBy("distance", "neighbor_id")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("id").alias(id_col), "rank", "neighbor_id", "distance"))
+
+
+def knn_auto(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
+             exact_limit: int = EXACT_LIMIT, seed: int = 42) -> DataFrame:
+    """Exact kNN up to ``exact_limit`` rows, LSH beyond (one count decides)."""
+    n = df.count()
+    if n <= exact_limit:
+        return knn_all(df, k, id_col, vec, seed=seed)
+    return knn_all_lsh(df, k, id_col, vec, seed=seed)
