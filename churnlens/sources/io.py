@@ -87,7 +87,13 @@ def load_model(path: str):
 
 def export_high_risk(df: DataFrame, path: str, threshold: float = HIGH_RISK, p: str = SCORE_COL) -> None:
     """SNK5: all high-risk rows and columns as CSV with a header."""
-    df.where(F.col(p) >= F.lit(threshold)).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(df.where(F.col(p) >= F.lit(threshold)), path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; blanks are kept as written (no whitespace trimming)."""
+    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
