@@ -12,8 +12,11 @@ target survive a window group limit (partial top-n before the shuffle).
 of copies becomes one row plus its first k+1 ids). Distinct vectors are then
 cut into Voronoi cells around pivots. For each cell a proven upper bound of the
 k-th neighbour distance is derived from the pivot, and a vector is copied only
-to the cells it can be a neighbour in (triangle inequality). Pairs are formed
-per cell among members and those candidates only.
+to the cells it can be a neighbour in (triangle inequality). Within a cell,
+members and candidates are cut into blocks of at most ``BLOCK`` rows; each
+(cell, member block, candidate block) group computes its distances with NumPy
+(summed left to right, as the SQL oracle) and emits only the k+1 nearest per
+member, so neither a pair table nor an unbounded group is ever formed.
 
 Cost: pruning works when the data has low intrinsic dimension (clusters);
 in high-dimensional, evenly spread data (k-th neighbour distance close to the
@@ -35,6 +38,7 @@ from churnlens.functions.scalars import keyed_hash, squared_distance
 MAX_TARGETS = 10_000
 EXACT_LIMIT = 50_000
 MAX_PIVOTS = 2048
+BLOCK = 2048
 SLACK = 1e-9
 
 
@@ -130,11 +134,50 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
                          .alias("cell"))
     members = withd.select("vec", "vid", "m", "cell")
 
-    # F. pairs per cell, pruned by the cell bound; k+1 nearest distinct vectors per member
-    pairs = members.join(cands, "cell").withColumn("distance", _dist(F.col("vec"), F.col("cvec")))
-    pairs = pairs.where(F.col("distance") <= F.element_at(theta_arr, F.col("cell") + 1))
+    # F. per cell, member blocks x candidate blocks (each at most BLOCK rows): distances
+    #    with NumPy, pruned by the cell bound, only the k+1 nearest per member leave a block
+    n_mem = {r["cell"]: r["count"] for r in members.groupBy("cell").count().collect()}     # <= p rows
+    n_cand = {r["cell"]: r["count"] for r in cands.groupBy("cell").count().collect()}      # <= p rows
+    mb = F.array(*[F.lit(max(1, math.ceil(n_mem.get(c, 0) / BLOCK))) for c in range(p)])
+    cb = F.array(*[F.lit(max(1, math.ceil(n_cand.get(c, 0) / BLOCK))) for c in range(p)])
+    mem_b = (members.withColumn("mb", F.pmod(F.xxhash64("vid"), F.element_at(mb, F.col("cell") + 1)))
+             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.element_at(cb, F.col("cell") + 1) - 1))))
+    cand_b = (cands.withColumn("cb", F.pmod(F.xxhash64("cvid"), F.element_at(cb, F.col("cell") + 1)))
+              .withColumn("mb", F.explode(F.sequence(F.lit(0), F.element_at(mb, F.col("cell") + 1) - 1))))
+    theta_by_cell = {c: theta[c] * (1 + SLACK) + SLACK for c in range(p)}
+    keep = k + 1
+
+    def block_topk(left, right):
+        import numpy as np
+        import pandas as pd
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"vid": pd.Series([], dtype=object), "vec": pd.Series([], dtype=object),
+                                 "cvec": pd.Series([], dtype=object), "cvid": pd.Series([], dtype=object),
+                                 "distance": pd.Series([], dtype=float)})
+        right = right.sort_values("cvid", kind="stable").reset_index(drop=True)
+        a = np.stack(left["vec"].to_numpy()).astype(float)
+        c = np.stack(right["cvec"].to_numpy()).astype(float)
+        acc = np.zeros((a.shape[0], c.shape[0]))
+        for j in range(a.shape[1]):                       # left-to-right sum, as the SQL oracle
+            diff = a[:, j][:, None] - c[:, j][None, :]
+            acc += diff * diff
+        dist = np.sqrt(acc)
+        dist[dist > theta_by_cell[int(left["cell"].iloc[0])]] = np.inf
+        order = np.argsort(dist, axis=1, kind="stable")[:, :keep]     # ties keep cvid order
+        rows_i = np.repeat(np.arange(a.shape[0]), order.shape[1])
+        cols_j = order.reshape(-1)
+        d = dist[rows_i, cols_j]
+        ok = np.isfinite(d)
+        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows_i[ok]], "vec": left["vec"].to_numpy()[rows_i[ok]],
+                             "cvec": right["cvec"].to_numpy()[cols_j[ok]], "cvid": right["cvid"].to_numpy()[cols_j[ok]],
+                             "distance": d[ok]})
+
+    found = (mem_b.groupBy("cell", "mb", "cb")
+             .cogroup(cand_b.select("cell", "mb", "cb", "cvec", "cvid").groupBy("cell", "mb", "cb"))
+             .applyInPandas(block_topk, "vid string, vec array<double>, cvec array<double>, cvid string, "
+                                        "distance double"))
     wv = W.partitionBy("vid").orderBy("distance", "cvid")
-    best = pairs.withColumn("vr", F.row_number().over(wv)).where(F.col("vr") <= k + 1) \
+    best = found.withColumn("vr", F.row_number().over(wv)).where(F.col("vr") <= k + 1) \
         .select("vid", "vec", "cvec", "distance")
 
     # G. expand neighbour vectors to their first ids; first k+1 rows per member vector
