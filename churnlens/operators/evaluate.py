@@ -33,7 +33,12 @@ def score_counts(df: DataFrame, label: str = LABEL_COL, p: str = SCORE_COL,
 
 
 def running_totals(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of ``c`` over rows with key <= this key (keys distinct)."""
+    """Adds ``cum_<c>`` = sum of ``c`` over rows with key <= this key (keys distinct).
+
+    ``df`` (one row per distinct key, far smaller than the scored table) is
+    cached because the sketch, the bucket totals and the windows all read it.
+    """
+    df = df.cache()
     stats = df.agg(F.approx_count_distinct(key).alias("nd")).first()
     n_buckets = max(1, min(MAX_BUCKETS, math.ceil((stats["nd"] or 0) / ROWS_PER_BUCKET)))
     if n_buckets == 1:

@@ -78,6 +78,11 @@ def global_importance(attr: DataFrame, n: int = 15) -> DataFrame:
     return agg.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(n)
 
 
+def importance_for_chart(attr: DataFrame, n: int = 12) -> DataFrame:
+    """TOP3: the n most important features in ascending order (bar-chart order)."""
+    return global_importance(attr, n).orderBy(F.col("mean_abs_shap").asc(), F.col("feature").desc())
+
+
 def factor_bars(top: DataFrame) -> DataFrame:
     """XAI6: bar length int(|phi| / (max |phi| + 1e-9) * 100) among the shown factors."""
     w = W.partitionBy(ID_COL)

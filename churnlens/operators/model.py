@@ -52,13 +52,23 @@ def gbt_params(p: dict, max_iter_cap: int | None = DEFAULT_MAX_ITER) -> dict:
 
 
 def train(df: DataFrame, features: list[str], label: str = LABEL_COL, params: dict | None = None,
-          weight_col: str | None = None, max_iter_cap: int | None = DEFAULT_MAX_ITER) -> PipelineModel:
-    """TRN1: assembler + GBT fitted on ``df`` (cached for the iterations)."""
+          weight_col: str | None = None, max_iter_cap: int | None = DEFAULT_MAX_ITER,
+          id_col: str = "customerID", max_memory_mb: int = 512) -> PipelineModel:
+    """TRN1: assembler + GBT fitted on ``df`` (cached for the iterations).
+
+    Row subsampling in Spark's trees is seeded per partition, so the rows are
+    first hash-partitioned on the key and sorted within partitions: the same
+    seed then gives the same model whatever the input partitioning was.
+    """
     kw = gbt_params({**REFERENCE_DEFAULTS, **(params or {})}, max_iter_cap)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic", **kw)
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic",
+                        maxMemoryInMB=max_memory_mb, **kw)
     if weight_col:
         gbt.setWeightCol(weight_col)
+    if id_col in df.columns:
+        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n_parts, id_col).sortWithinPartitions(id_col)
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features],
                      F.col(label).cast("double").alias(label),
                      *([F.col(weight_col)] if weight_col else [])).cache()

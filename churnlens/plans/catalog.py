@@ -663,3 +663,13 @@ def q_score_stream(spark, sf):
     raw.repartition(4).write.mode("overwrite").parquet(in_dir)   # arriving files
     return run_to_completion(spark, in_dir, prep["fitted"], model, scratch_path(spark, "stream_out"),
                              scratch_path(spark, "stream_ckpt"))
+
+
+@query("training_importance")
+def q_training_importance(spark, sf):
+    """PIP2 end to end on the derived customer table written as CSV: load, profile,
+    prepare, train, evaluate, explain a keyed sample of 200 test rows, top 10 features."""
+    path = scratch_path(spark, "customers_csv")
+    io.write_csv(TB.customers(spark, sf), path)
+    out = jobs.train_job(spark, path, fmt="csv", explain_rows=200)
+    return out["importance"]

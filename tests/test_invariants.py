@@ -267,3 +267,17 @@ def test_tune_best_is_max_of_trials(spark):
     assert len(t) == 3
     top = t.sort_values(["f1", "trial"], ascending=[False, True]).iloc[0]
     assert best["max_depth"] == top.params["max_depth"]
+
+
+def test_same_seed_same_model_any_partitioning(spark):
+    from churnlens.operators.model import score, train
+    from churnlens.plans import tables
+    from churnlens.operators.prepare import encoded_feature_names
+    df, _ = tables.scaled_split(spark, SF_SMALL)
+    feats = encoded_feature_names(df)
+    tr = df.where("split = 'train'")
+    p = {"n_estimators": 5, "max_depth": 3}
+    a = score(train(tr.repartition(1), feats, "label", p), df).select("customerID", "churn_proba").toPandas()
+    b = score(train(tr.repartition(11), feats, "label", p), df).select("customerID", "churn_proba").toPandas()
+    a, b = a.sort_values("customerID"), b.sort_values("customerID")
+    assert np.allclose(a.churn_proba.to_numpy(), b.churn_proba.to_numpy())
