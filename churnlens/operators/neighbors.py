@@ -104,28 +104,27 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
     withd = withd.withColumn("d0", F.array_min("pd"))
     withd = withd.withColumn("cell", F.array_position("pd", F.col("d0")).cast("int") - 1).cache()
 
-    # D. per cell: radius U; per pivot: weighted (k+1)-th distance r (top k+1 vectors per pivot)
+    # D. per cell: radius U and r = distance from the pivot to its (k+1)-th nearest member
+    #    (weighted by copies). Any k+1 rows bound the k-th neighbour distance, and the
+    #    cell's own members are the natural ones: N rows in, at most p * (k + 1) out.
     radius = {r["cell"]: r["U"] for r in withd.groupBy("cell").agg(F.max("d0").alias("U")).collect()}
-    near = (withd.select("m", F.posexplode("pd").alias("pivot", "d"))
-            .withColumn("r", F.row_number().over(W.partitionBy("pivot").orderBy("d")))
-            .where(F.col("r") <= k + 1).select("pivot", "d", "m").collect())  # <= p * (k + 1) rows
-    by_pivot: dict = {}
+    near = (withd.select("cell", "d0", "m")
+            .withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("d0")))
+            .where(F.col("r") <= k + 1).select("cell", "d0", "m").collect())
+    by_cell: dict = {}
     for row in near:
-        by_pivot.setdefault(row["pivot"], []).append((row["d"], row["m"]))
+        by_cell.setdefault(row["cell"], []).append((row["d0"], row["m"]))
     theta = {}
     for c in range(p):
         acc, r_c = 0, math.inf
-        for d, m in sorted(by_pivot.get(c, [])):
+        for d, m in sorted(by_cell.get(c, [])):
             acc += m
             if acc >= k + 1:
                 r_c = d
                 break
-        theta[c] = radius.get(c, 0.0) + r_c
+        theta[c] = radius.get(c, 0.0) + r_c          # inf for a cell with fewer than k+1 rows
     bounds = [(radius.get(c, 0.0) + theta[c]) * (1 + SLACK) + SLACK for c in range(p)]
-    if any(math.isinf(b) for b in bounds):   # fewer than k+1 rows in all: every vector is a candidate
-        bounds = [math.inf] * p
     bound_arr = F.array(*[F.lit(b) for b in bounds])
-    theta_arr = F.array(*[F.lit(theta[c] * (1 + SLACK) + SLACK) for c in range(p)])
 
     # E. candidates: copy a vector to every cell whose bound it is within
     cands = withd.select(F.col("vec").alias("cvec"), F.col("vid").alias("cvid"), F.col("m").alias("cm"),
@@ -144,7 +143,7 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.element_at(cb, F.col("cell") + 1) - 1))))
     cand_b = (cands.withColumn("cb", F.pmod(F.xxhash64("cvid"), F.element_at(cb, F.col("cell") + 1)))
               .withColumn("mb", F.explode(F.sequence(F.lit(0), F.element_at(mb, F.col("cell") + 1) - 1))))
-    theta_by_cell = {c: theta[c] * (1 + SLACK) + SLACK for c in range(p)}
+    theta_by_cell = {c: theta[c] * (1 + SLACK) + SLACK for c in range(p)}   # inf stays inf
     keep = k + 1
 
     def block_topk(left, right):

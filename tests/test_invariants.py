@@ -229,14 +229,15 @@ def test_hash_cut_matches_sort(spark):
         assert cuts[g] == (exp.h, exp.id)
 
 
-def test_knn_exact_with_duplicates_matches_brute_force(spark):
+@pytest.mark.parametrize("n_pivots", [7, 150])
+def test_knn_exact_with_duplicates_matches_brute_force(spark, n_pivots):
     from churnlens.operators.neighbors import knn_all
     rng = np.random.default_rng(3)
     pts = np.round(rng.normal(size=(300, 4)), 3)
     pts[:100] = pts[0]                       # a hot group of 100 identical vectors
     rows = [(f"r{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "customerID string, vec array<double>")
-    got = knn_all(df, k=5, n_pivots=7).toPandas()
+    got = knn_all(df, k=5, n_pivots=n_pivots).toPandas()   # 150 pivots: many cells below k+1 rows
     ids = [r[0] for r in rows]
     d = np.sqrt(((pts[:, None, :] - pts[None]) ** 2).sum(2))
     for i, rid in enumerate(ids):
