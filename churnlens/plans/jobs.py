@@ -30,7 +30,7 @@ def prepare_data(df_raw: DataFrame, test_size: float = TEST_SIZE, seed: int = SE
     scaled = prepare.apply_scaler(sp, stats)
     train = scaled.where(F.col("split") == "train")
     test = scaled.where(F.col("split") == "test")
-    train_bal = smote(train, feats, LABEL_COL, k=5, seed=seed) if use_smote else \
+    train_bal = smote(train, feats, LABEL_COL, k=5, seed=seed, knn="auto") if use_smote else \
         train.select(ID_COL, LABEL_COL, F.lit(0).alias("is_synthetic"), *[F.col(f"`{f}`") for f in feats])
     fitted = prepare.Fitted(cats, medians, stats, tuple(feats))
     if out_dir:
