@@ -104,9 +104,9 @@ def risk_kpis(df: DataFrame, p: str = SCORE_COL, by: list[str] | None = None) ->
     g = df.groupBy(*by) if by else df
     out = g.agg(*aggs)
     return out.withColumns({
-        "share_high": F.col("n_high") / F.col("n"),
-        "share_medium": F.col("n_medium") / F.col("n"),
-        "share_low": F.col("n_low") / F.col("n"),
+        "share_high": F.try_divide(F.col("n_high"), F.col("n")),
+        "share_medium": F.try_divide(F.col("n_medium"), F.col("n")),
+        "share_low": F.try_divide(F.col("n_low"), F.col("n")),
     })
 
 
