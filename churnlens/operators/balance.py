@@ -26,7 +26,7 @@ COPY_CHUNK = 100_000
 
 
 def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5, seed: int = 42,
-          id_col: str = "customerID", knn: str = "exact") -> DataFrame:
+          id_col: str = "customerID", knn: str = "exact", snap_flags: list[str] | None = None) -> DataFrame:
     """BAL1: SMOTE on the minority class until it equals the majority; SET1 union.
 
     Every random choice is a keyed hash of (id, copy number, seed), so the result
@@ -37,7 +37,8 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     k nearest minority rows (exact pivot kNN; ``knn='lsh'`` approximate;
     ``knn='auto'`` exact up to 50,000 minority rows, LSH beyond).
     Output: the input rows plus synthetic rows (``is_synthetic`` = 1, id
-    ``syn-<base>-<i>``), features as doubles.
+    ``syn-<base>-<i>``), features as doubles. Columns in ``snap_flags`` (0/1
+    flags) are rounded back to 0 or 1 in the synthetic rows.
     """
     from churnlens.functions.scalars import keyed_hash, keyed_uniform
     from churnlens.operators.neighbors import feature_vector, knn_all, knn_all_lsh, knn_auto
@@ -87,5 +88,7 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     syn = syn.select(F.concat(F.lit("syn-"), F.col(id_col), F.lit("-"), F.col("i").cast("string")).alias(id_col),
                      F.lit(minority).cast(dict(df.dtypes)[label]).alias(label), F.lit(1).alias("is_synthetic"),
                      new.alias("_v"))
-    syn = syn.select(id_col, label, "is_synthetic", *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
+    snap = set(snap_flags or [])
+    syn = syn.select(id_col, label, "is_synthetic", *[
+        (F.round(F.col("_v")[i]) if f in snap else F.col("_v")[i]).alias(f) for i, f in enumerate(features)])
     return base_out.unionByName(syn)

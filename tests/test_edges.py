@@ -162,3 +162,12 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
         ._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,10)]" in plan
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
+def test_smote_snap_flags(spark):
+    from churnlens.operators.balance import smote
+    rows = [(f"m{i}", 0, float(i), float(i % 2)) for i in range(8)] + \
+           [("a", 1, 100.0, 0.0), ("b", 1, 104.0, 1.0), ("c", 1, 110.0, 1.0)]
+    df = spark.createDataFrame(rows, "customerID string, label int, x double, flag double")
+    out = smote(df, ["x", "flag"], "label", k=2, snap_flags=["flag"]).toPandas()
+    assert set(out.flag.unique()) <= {0.0, 1.0}
