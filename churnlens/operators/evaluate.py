@@ -37,12 +37,15 @@ def running_totals(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
     ``df`` (one row per distinct key, far smaller than the scored table) is
     cached because the sketch, the bucket totals and the windows all read it.
+    Up to ``ROWS_PER_BUCKET`` distinct keys a single window does it (a bounded
+    input); above, keys are bucketed and each bucket's window runs in its own task.
     """
     df = df.cache()
     stats = df.agg(F.approx_count_distinct(key).alias("nd")).first()
     n_buckets = max(1, min(MAX_BUCKETS, math.ceil((stats["nd"] or 0) / ROWS_PER_BUCKET)))
-    if n_buckets == 1:
-        bucketed = df.withColumn("_b", F.lit(0))
+    if n_buckets == 1:   # few distinct keys: one window, no offsets needed
+        w1 = W.orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select("*", *[F.sum(c).over(w1).alias(f"cum_{c}") for c in cols])
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         edges = sorted(set(df.agg(F.percentile_approx(key, probs, 10000)).first()[0]))

@@ -282,3 +282,14 @@ def test_same_seed_same_model_any_partitioning(spark):
     b = score(train(tr.repartition(11), feats, "label", p), df).select("customerID", "churn_proba").toPandas()
     a, b = a.sort_values("customerID"), b.sort_values("customerID")
     assert np.allclose(a.churn_proba.to_numpy(), b.churn_proba.to_numpy())
+
+
+def test_running_totals_bucketed_equals_single_window(spark, monkeypatch):
+    from churnlens.operators import evaluate as E
+    from churnlens.plans import tables
+    sc = tables.scored(spark, SF_MID)
+    a = E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True)
+    monkeypatch.setattr(E, "ROWS_PER_BUCKET", 100)     # force about 14 buckets
+    b = E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True)
+    assert len(a) == len(b)
+    assert np.allclose(a.fillna(-1).to_numpy(), b.fillna(-1).to_numpy())
