@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 
 from churnlens.functions.scalars import keyed_hash, squared_distance
 
-MAX_TARGETS = 10_000
+MAX_TARGETS = 1_000
 EXACT_LIMIT = 50_000
 MAX_PIVOTS = 2048
 BLOCK = 2048

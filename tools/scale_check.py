@@ -34,12 +34,12 @@ def main():
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     max_c = cust.agg(F.max("c_custkey")).first()[0] + 1
     max_o = orders.agg(F.max("o_orderkey")).first()[0] + 1
-    r = spark.range(reps).withColumnRenamed("id", "rep")
-    cust_r = cust.join(F.broadcast(r), how="inner").select(
+    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    cust_r = cust.select("*", rep).select(
         (F.col("c_custkey") + F.col("rep") * max_c).alias("c_custkey"),
         F.format_string("Customer#%012d", F.col("c_custkey") + F.col("rep") * max_c).alias("c_name"),
         "c_nationkey", "c_acctbal", "c_mktsegment")
-    orders_r = orders.join(F.broadcast(r), how="inner").select(
+    orders_r = orders.select("*", rep).select(
         (F.col("o_orderkey") + F.col("rep") * max_o).alias("o_orderkey"),
         (F.col("o_custkey") + F.col("rep") * max_c).alias("o_custkey"),
         "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
