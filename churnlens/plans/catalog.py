@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions import scalars as S
-from churnlens.operators import prepare, profile, risk
+from churnlens.operators import evaluate, explain, messages, neighbors, prepare, profile, risk, segments, treeshap
+from churnlens.operators import model as M
 from churnlens.operators import split as splitting
+from churnlens.plans import jobs
 from churnlens.plans import tables as TB
+from churnlens.session import scratch_path
+from churnlens.sources import io
 from churnlens.schema import CATEGORICAL_COLS, ID_COL, LABEL_COL, NUMERIC_COLS, SCORE_COL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,10 +307,6 @@ def q_attach_raw(spark, sf):
 
 # ================================================================ evaluation
 
-from churnlens.operators import evaluate, explain, messages, segments  # noqa: E402
-from churnlens.sources import io  # noqa: E402
-from churnlens.session import scratch_path  # noqa: E402
-
 
 def _pred(spark, sf):
     return risk.predict(TB.scored(spark, sf))
@@ -525,8 +525,6 @@ def q_messages_roundtrip(spark, sf):
 
 # ================================================================ neighbours
 
-from churnlens.operators import neighbors  # noqa: E402
-
 
 @query("similar_customers")
 def q_similar_customers(spark, sf):
@@ -573,9 +571,6 @@ def q_smote(spark, sf):
 
 # ================================================================ model, segments, attributions (rows-only)
 
-from churnlens.operators import model as M, treeshap  # noqa: E402
-from churnlens.plans import jobs  # noqa: E402
-
 
 @query("column_types")
 def q_column_types(spark, sf):

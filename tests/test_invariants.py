@@ -293,3 +293,15 @@ def test_running_totals_bucketed_equals_single_window(spark, monkeypatch):
     b = E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True)
     assert len(a) == len(b)
     assert np.allclose(a.fillna(-1).to_numpy(), b.fillna(-1).to_numpy())
+
+
+def test_train_job_with_tuning(spark, tmp_path):
+    from churnlens.plans import jobs, tables
+    from churnlens.sources.io import write_csv
+    write_csv(tables.customers(spark, SF_SMALL), str(tmp_path / "c"))
+    out = jobs.train_job(spark, str(tmp_path / "c"), out_dir=str(tmp_path / "o"), optimize=True, fmt="csv",
+                         n_trials=2, max_iter_cap=3, explain_rows=20)
+    assert out["trials"].count() == 2
+    assert 0.0 <= out["metrics"]["roc_auc"] <= 1.0
+    assert out["importance"].count() == 10
+    assert (tmp_path / "o" / "model").exists()
