@@ -18,10 +18,22 @@ from churnlens.sources import io
 
 
 def prepare_data(df_raw: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED,
-                 use_smote: bool = True, out_dir: str | None = None) -> dict:
+                 use_smote: bool = True, out_dir: str | None = None, fit_on: str = "all") -> dict:
     """PIP1: clean -> encode -> split -> test ids -> scale (fit on train, before
-    balancing) -> SMOTE on train -> optional write. Returns tables and state."""
-    cleaned, medians = prepare.clean(df_raw)
+    balancing) -> SMOTE on train -> optional write. Returns tables and state.
+
+    ``fit_on='all'`` fits the fill median on every row, as the reference does
+    (test rows leak into it); ``fit_on='train'`` fits it on the training rows
+    only. The split depends on the key and label alone, so it is known before
+    cleaning.
+    """
+    medians = None
+    if fit_on == "train":
+        keys = splitting.stratified_split(
+            df_raw.select(ID_COL, prepare.encode_target_col().alias(LABEL_COL)), LABEL_COL, test_size, seed)
+        train_raw = df_raw.join(keys.where(F.col("split") == "train").select(ID_COL), ID_COL, "left_semi")
+        medians = {"TotalCharges": prepare.fit_median(train_raw, "TotalCharges")}
+    cleaned, medians = prepare.clean(df_raw, medians)
     cats = prepare.fit_categories(cleaned)
     enc = prepare.encode_features(cleaned, cats).persist(StorageLevel.MEMORY_AND_DISK)
     feats = prepare.encoded_feature_names(enc)

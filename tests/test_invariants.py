@@ -305,3 +305,15 @@ def test_train_job_with_tuning(spark, tmp_path):
     assert 0.0 <= out["metrics"]["roc_auc"] <= 1.0
     assert out["importance"].count() == 10
     assert (tmp_path / "o" / "model").exists()
+
+
+def test_median_fit_on_train_only(spark):
+    from churnlens.plans import jobs, tables
+    from churnlens.operators.prepare import to_number
+    raw = tables.customers(spark, SF_SMALL)
+    prep = jobs.prepare_data(raw, use_smote=False, fit_on="train")
+    train_ids = prep["train"].select("customerID")
+    vals = to_number(raw.join(train_ids, "customerID", "left_semi")).select("TotalCharges").toPandas()
+    assert prep["fitted"].medians["TotalCharges"] == float(vals.TotalCharges.dropna().median())
+    all_vals = to_number(raw).select("TotalCharges").toPandas().TotalCharges.dropna()
+    assert jobs.prepare_data(raw, use_smote=False)["fitted"].medians["TotalCharges"] == float(all_vals.median())
