@@ -87,3 +87,27 @@ def train_job(spark: SparkSession, path: str, out_dir: str | None = None, optimi
     importance = explain.global_importance(attr, 10)
     return {"churn_rate": churn, "model": model, "metrics": metrics, "scored": scored, "importance": importance,
             "base_value": base, "trials": trials, "prepared": prep}
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``spark-submit churnlens/plans/jobs.py <customers> <out_dir> [--csv] [--optimize] [--trials N]``."""
+    import argparse
+    import json
+    ap = argparse.ArgumentParser(description="Train, evaluate and explain the churn model.")
+    ap.add_argument("path")
+    ap.add_argument("out_dir")
+    ap.add_argument("--csv", action="store_true", help="input is CSV with a header (default: Parquet)")
+    ap.add_argument("--optimize", action="store_true", help="random search before the final fit")
+    ap.add_argument("--trials", type=int, default=50)
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("churnlens-train").getOrCreate()
+    out = train_job(spark, args.path, args.out_dir, args.optimize, "csv" if args.csv else "parquet", args.trials)
+    out["metrics"]["class_report"].write.mode("overwrite").parquet(f"{args.out_dir}/class_report")
+    out["metrics"]["roc"].write.mode("overwrite").parquet(f"{args.out_dir}/roc")
+    out["importance"].write.mode("overwrite").parquet(f"{args.out_dir}/importance")
+    print(json.dumps({"churn_rate": out["churn_rate"], "f1": out["metrics"]["f1"],
+                      "roc_auc": out["metrics"]["roc_auc"], "base_value": out["base_value"]}))
+
+
+if __name__ == "__main__":
+    main()
