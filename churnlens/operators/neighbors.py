@@ -139,9 +139,10 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
     n_cand = {r["cell"]: r["count"] for r in cands.groupBy("cell").count().collect()}      # <= p rows
     mb = F.array(*[F.lit(max(1, math.ceil(n_mem.get(c, 0) / BLOCK))) for c in range(p)])
     cb = F.array(*[F.lit(max(1, math.ceil(n_cand.get(c, 0) / BLOCK))) for c in range(p)])
-    mem_b = (members.withColumn("mb", F.pmod(F.xxhash64("vid"), F.element_at(mb, F.col("cell") + 1)))
+    # block keys are ints on both sides: equal keys must hash to the same shuffle partition
+    mem_b = (members.withColumn("mb", F.pmod(F.xxhash64("vid"), F.element_at(mb, F.col("cell") + 1)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.element_at(cb, F.col("cell") + 1) - 1))))
-    cand_b = (cands.withColumn("cb", F.pmod(F.xxhash64("cvid"), F.element_at(cb, F.col("cell") + 1)))
+    cand_b = (cands.withColumn("cb", F.pmod(F.xxhash64("cvid"), F.element_at(cb, F.col("cell") + 1)).cast("int"))
               .withColumn("mb", F.explode(F.sequence(F.lit(0), F.element_at(mb, F.col("cell") + 1) - 1))))
     theta_by_cell = {c: theta[c] * (1 + SLACK) + SLACK for c in range(p)}   # inf stays inf
     keep = k + 1

@@ -317,3 +317,22 @@ def test_median_fit_on_train_only(spark):
     assert prep["fitted"].medians["TotalCharges"] == float(vals.TotalCharges.dropna().median())
     all_vals = to_number(raw).select("TotalCharges").toPandas().TotalCharges.dropna()
     assert jobs.prepare_data(raw, use_smote=False)["fitted"].medians["TotalCharges"] == float(all_vals.median())
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_knn_blocks_match_brute_force(spark, monkeypatch, block):
+    """Several member and candidate blocks per cell (block keys must line up across the cogroup)."""
+    from churnlens.operators import neighbors
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    pts = np.round(rng.normal(size=(400, 6)), 4)
+    rows = [(f"p{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)]
+    got = neighbors.knn_all(spark.createDataFrame(rows, "customerID string, vec array<double>"), k=4,
+                            n_pivots=5).toPandas()
+    assert len(got) == 400 * 4
+    d = np.sqrt(((pts[:, None, :] - pts[None]) ** 2).sum(2))
+    ids = [r[0] for r in rows]
+    for i in range(0, 400, 37):
+        order = sorted((d[i, j], ids[j]) for j in range(400) if j != i)[:4]
+        mine = got[got.customerID == ids[i]].sort_values("rank")
+        assert mine.neighbor_id.tolist() == [o[1] for o in order]
