@@ -171,3 +171,11 @@ def test_smote_snap_flags(spark):
     df = spark.createDataFrame(rows, "customerID string, label int, x double, flag double")
     out = smote(df, ["x", "flag"], "label", k=2, snap_flags=["flag"]).toPandas()
     assert set(out.flag.unique()) <= {0.0, 1.0}
+
+
+def test_column_types_inferred_from_values(spark):
+    from churnlens.operators.profile import column_types
+    df = spark.createDataFrame([("a", "1", "1.5", " "), ("b", "2", "2", "3")],
+                               "customerID string, ints string, nums string, blanky string")
+    got = {r.column_name: r.inferred for r in column_types(df).collect()}
+    assert got == {"customerID": "string", "ints": "int", "nums": "double", "blanky": "string"}
