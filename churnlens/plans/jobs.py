@@ -44,6 +44,13 @@ def prepare_data(df_raw: DataFrame, test_size: float = TEST_SIZE, seed: int = SE
     test = scaled.where(F.col("split") == "test")
     train_bal = smote(train, feats, LABEL_COL, k=5, seed=seed, knn="auto") if use_smote else \
         train.select(ID_COL, LABEL_COL, F.lit(0).alias("is_synthetic"), *[F.col(f"`{f}`") for f in feats])
+    if use_smote:
+        # the balanced table is the end of a long plan (kNN, copies): write it once to
+        # the shared checkpoint folder so training and counts read it, not recompute it
+        from churnlens.session import scratch_path
+        path = scratch_path(df_raw.sparkSession, "train-balanced")
+        train_bal.write.mode("overwrite").parquet(path)
+        train_bal = df_raw.sparkSession.read.parquet(path)
     fitted = prepare.Fitted(cats, medians, stats, tuple(feats))
     if out_dir:
         io.write_processed(scaled, f"{out_dir}/processed")
