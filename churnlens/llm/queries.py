@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, counts
+from . import chat, counts, idfile, pack
 from .common import table
 
 QUERIES = {
     "op1_chat_format": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op2_token_counts": counts.query,
+    "op6_token_ids": lambda spark, d: idfile.query(table(spark, d, "documents")),
+    "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
 }
 
 ORACLE = {
