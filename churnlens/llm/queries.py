@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, pack
+from . import chat, counts, idfile, pack, simhash
 from .common import table
 
 QUERIES = {
     "op1_chat_format": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op2_token_counts": counts.query,
+    "op3_simhash_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
     "op6_token_ids": lambda spark, d: idfile.query(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
 }
