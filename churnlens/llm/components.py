@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")) \
         .unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def label_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each of n positions by the edges (a, b) of one block."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if (label == before).all():
+            return label

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, pack, simhash, topk
+from . import chat, counts, idfile, pack, pq, simhash, topk
 from .common import table
 
 QUERIES = {
     "op1_chat_format": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op2_token_counts": counts.query,
     "op3_simhash_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
+    "op4_embedding_dedup": lambda spark, d: pq.query(table(spark, d, "embeddings")),
     "op5_topk_search": lambda spark, d: topk.query(table(spark, d, "embeddings")),
     "op6_token_ids": lambda spark, d: idfile.query(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, written
-from .components import components
+from .components import components, label_components
 
 WIDTH, RADIUS = 3, 2
 BUCKET = 4096
@@ -142,28 +142,9 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, apart: np.ndar
     return np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :len(right)])
 
 
-class _Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def _forest_edges(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[list, list]:
+def _forest_edges(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning-forest edges of the links inside each group (rows sorted by group)."""
-    forest = _Forest(len(fp))
+    found = [], []
     ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(fp))
     start = 0
     while start < len(fp):
@@ -176,12 +157,12 @@ def _forest_edges(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[list,
                 apart = group[a][:, None] != group[b][None, :] if stop - start <= BLOCK else None
                 p, q = close_pairs(fp[a], fp[b], radius, apart)
                 p, q = p + i, q + j
-                for x, y in zip(p[p < q].tolist(), q[p < q].tolist()):
-                    forest.join(x, y)
+                found[0].append(p[p < q])
+                found[1].append(q[p < q])
         start = stop
-    roots = [forest.root(i) for i in range(len(fp))]
-    linked = [i for i, r in enumerate(roots) if r != i]
-    return fp[linked].view(np.int64).tolist(), fp[[roots[i] for i in linked]].view(np.int64).tolist()
+    roots = label_components(len(fp), *map(np.concatenate, found))
+    linked = np.flatnonzero(roots != np.arange(len(fp)))
+    return fp[linked].view(np.int64), fp[roots[linked]].view(np.int64)
 
 
 def links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
