@@ -28,7 +28,7 @@ import sys
 import numpy as np
 
 CUTS = {"byte_bpe_50k.json": "before", "word_bpe_49k.json": "drop"}
-KEEP = 1_500_000
+KEEP = 1_000_000
 PIECE = 1 << 21          # bytes hashed at a time
 JOINED = 1 << 14         # characters the library encodes at a time
 
@@ -154,7 +154,7 @@ class Encoder:
         at = np.cumsum(counts) - counts + len(self.flat)
         self.flat = np.concatenate([self.flat, *ids])
         h, at, n = np.concatenate([self.h, h]), np.concatenate([self.at, at]), np.concatenate([self.n, counts])
-        order = np.argsort(h)
+        order = np.argsort(h, kind="stable")  # two sorted runs: merged in linear time
         self.h, self.at, self.n = h[order], at[order], n[order]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,16 +193,14 @@ def encoder(path: str, cut: str | None = None) -> Encoder:
     return kept[path, cut]
 
 
-def batches(column, limit: int = 1 << 24):
+def batches(column, limit: int = 1 << 22):
     """An Arrow string column as lists of UTF-8 texts (null: empty) of about ``limit`` bytes; yields (offset, texts)."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (size == 0 or size + len(texts[j]) <= limit):
-            size += len(texts[j]) + 1
-            j += 1
-        yield i, texts[i:j]
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))
+        yield i, [t or b"" for t in column.slice(i, j - i).cast(pa.large_binary()).to_pylist()]
         i = j
