@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, pack, pq, simhash, topk
+from . import chat, counts, idfile, mix, pack, pq, simhash, topk
 from .common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_embedding_dedup": lambda spark, d: pq.query(table(spark, d, "embeddings")),
     "op5_topk_search": lambda spark, d: topk.query(table(spark, d, "embeddings")),
     "op6_token_ids": lambda spark, d: idfile.query(table(spark, d, "documents")),
+    "op7_source_mix": lambda spark, d: mix.query(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
 }
 
