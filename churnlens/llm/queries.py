@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, mix, pack, pq, simhash, topk
+from . import chat, counts, idfile, mix, pack, pq, simhash, topk, toxicity
 from .common import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_token_ids": lambda spark, d: idfile.query(table(spark, d, "documents")),
     "op7_source_mix": lambda spark, d: mix.query(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE = {
