@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, mix, pack, pq, simhash, topk, toxicity
+from . import chat, counts, idfile, mix, pack, passages, pq, simhash, topk, toxicity
 from .common import table
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_source_mix": lambda spark, d: mix.query(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
     "op9_toxicity": toxicity.query,
+    "op10_substring_dedup": lambda spark, d: passages.query(table(spark, d, "documents")),
 }
 
 ORACLE = {
