@@ -193,17 +193,54 @@ def links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _keyed(reps, radius).repartition("k", "v").sortWithinPartitions("k", "v", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links) for every row."""
+def _labelled(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component_id) of every distinct fingerprint."""
     prints = written(fingerprints(docs, width), "simhash")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(reps, radius)).select(F.col("node").alias("fp"), "root")
     joined = reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joined.join(least, "root").select("fp", "component_id")
+    return prints, joined.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable by links) for every row."""
+    prints, labels = _labelled(docs, width, radius)
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with the smallest doc_id; of several rows with it, one.
+    A component without any doc_id keeps one of its rows. Columns as in ``docs``."""
+    prints, labels = _labelled(docs, width, radius)
+    labels = written(labels, "simhash-labels")
+    own = prints.join(labels, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = written(own.select(F.col("doc_id").alias("_kept"), "n"), "simhash-kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(own, F.col("`doc_id`").cast("bigint") == F.col("_kept"))
+    if not own.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_kept"])
+    kept = kept.select(*columns)
+    nameless = docs.where(F.col("`doc_id`").isNull())
+    if nameless.select("`doc_id`").isEmpty():
+        return kept
+
+    def run(texts):
+        import pandas as pd
+
+        for part in texts:
+            yield pd.Series(np.array([fingerprint(t.encode() if isinstance(t, str) else b"", width) for t in part], np.uint64).view(np.int64))
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    print_of = F.pandas_udf(run, "bigint")(F.col("`text`").cast("string"))
+    alone = labels.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    return kept.unionAll(nameless.withColumn("_fp", print_of).join(alone, "_fp").dropDuplicates(["_root"]).select(*columns))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -312,11 +312,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(chars, index, _fit(sorted(((r["f"], r["toxic"]) for r in got)), len(index)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a column ``score`` after their own (which must not have one)."""
-    chars, index, w = model.chars, model.index, model.weights
-    # only the text crosses to Python; the rest is joined back in place by the Arrow UDF
-    state = docs.sparkSession.sparkContext.broadcast((vars(chars), index, w))
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The documents with their score in a further column ``name``."""
+    # bounded by the alphabet and FEATURES; only the text crosses to Python
+    state = docs.sparkSession.sparkContext.broadcast((vars(model.chars), model.index, model.weights))
 
     def run(texts):
         import pandas as pd
@@ -334,7 +333,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     import pandas as pd
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("`text`").cast("string")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("`text`").cast("string")))
+
+
+def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The documents with scores below ``limit``; columns as in ``docs``."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels), name).where(F.col(name) < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
