@@ -14,8 +14,8 @@ Rates become copies: floor(r_i), and one more for the documents of a source
 with the smallest u_i - (r_i - floor(r_i)), u_i a hash of the document. The cut
 is found from histograms of that key (two rounds of ``BINS`` bins a source) and
 stays below the target; what is left, if over ``NEAR`` of it, is filled the
-same way from documents no larger than that, at most ``FILLS`` times. Reruns
-agree.
+same way by one copy more of documents no larger than that, in ``FILLS`` rounds
+at most, within the cap. Reruns agree.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn and share
 the whole size; none exceeds cap times its own size, and the excess is shared
@@ -132,51 +132,70 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     rated = _by_source(keyed, fixed, "lam double, mean double, tilted double, flat double") \
         .withColumn("rate", F.least(rate, F.lit(float(cap)))) \
         .select("doc_id", "source", "size", "source_size", "target", "key", "rate", F.floor("rate").alias("base"),
-                (u - (F.col("rate") - F.floor("rate"))).alias("at"), (F.col("rate") > F.floor("rate")).alias("open"))
+                (u - (F.col("rate") - F.floor("rate"))).alias("at"), (F.col("rate") > F.floor("rate")).alias("open"),
+                F.when(F.col("size") > 0, F.pmod(F.xxhash64("doc_id", F.lit("fill")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+                .otherwise(1.0).alias("fill"), F.when(F.col("rate") > 0, cap).otherwise(0).alias("cap"))
     rated = written(rated, "rates")
     cut = _cuts(rated, stats)
-    done = _by_source(rated, list(cut.items()), f"rules {RULES}")
+    done = _by_source(rated, [(k, *v) for k, v in cut.items()], f"cut double, rules {RULES}")
     return done.select("doc_id", "source", "size", "source_size", "target", "rate",
-                       (F.col("base") + (F.col("open") & _taken()).cast("int")).cast("bigint").alias("copies"))
-
-
-def _cuts(rated: DataFrame, stats: dict[int, dict]) -> dict[int, list[tuple[float, float]]]:
-    """Per source, rules (largest size, key): a document gets one copy more if it is no larger than a rule's size
-    and its key is below the rule's. The first rule stops before the target, further ones fill what is left."""
+                       (F.col("base") + _extra() + (_room() & _filled()).cast("int")).cast("bigint").alias("copies"))
+
+
+def _below(rows: DataFrame, need: dict[int, float]) -> dict[int, float]:
+    """Per source, the key up to which its rows (key, size, at in [-1, 1)) have no more words than needed, by two
+    rounds of histograms; ``need`` is lowered by those words."""
+    low, width = {k: -1.0 for k in need}, 2.0
+    for _ in range(2):
+        hist = _by_source(rows, list(low.items()), "low double") \
+            .withColumn("bin", F.floor((F.col("at") - F.col("low")) * F.lit(BINS / width)).cast("int")) \
+            .where(F.col("bin").between(0, BINS - 1)).groupBy("key", "bin").agg(F.sum("size").alias("w")).collect()
+        bins: dict[int, dict[int, int]] = {k: {} for k in need}
+        for r in hist:
+            bins[r["key"]][r["bin"]] = r["w"]
+        width /= BINS
+        for k in need:
+            edge = BINS
+            for b, w in sorted(bins[k].items()):
+                if need[k] < w:
+                    edge = b
+                    break
+                need[k] -= w
+            low[k] += edge * width
+    return low
+
+
+def _cuts(rated: DataFrame, stats: dict[int, dict]) -> dict[int, tuple[float, list[tuple[float, float]]]]:
+    """Per source, the cut and fill rules (largest size, fill key): a document with a broken rate gets one copy more
+    below the cut, and one more if a rule's size and key exceed its own and the cap allows it."""
     taken = {r["key"]: r["w"] for r in rated.groupBy("key").agg(F.sum(F.col("size") * F.col("base")).alias("w")).collect()}
-    need = {k: s["target"] - taken.get(k, 0) for k, s in stats.items()}
+    need = {k: max(0.0, s["target"] - taken.get(k, 0)) for k, s in stats.items()}
+    cut = _below(rated.where("open").select("key", "size", "at"), need)
     rules: dict[int, list[tuple[float, float]]] = {k: [] for k in stats}
     for _ in range(FILLS):
-        todo = [k for k in stats if need[k] > NEAR * stats[k]["target"] and need[k] >= 1]
+        todo = {k: need[k] for k in stats if need[k] > NEAR * stats[k]["target"] and need[k] >= 1}
         if not todo:
             break
-        limit = {k: need[k] for k in todo}
-        rest = _by_source(rated.where("open").select("key", "size", "at"), [(k, limit[k], rules[k]) for k in todo],
-                          f"most double, rules {RULES}").where((F.col("size") <= F.col("most")) & ~_taken())
-        low, width = {k: -1.0 for k in todo}, 2.0
-        for _ in range(2):
-            part = _by_source(rest.select("key", "size", "at"), list(low.items()), "low double")
-            hist = part.withColumn("bin", F.floor((F.col("at") - F.col("low")) * F.lit(BINS / width)).cast("int")) \
-                .where(F.col("bin").between(0, BINS - 1)).groupBy("key", "bin").agg(F.sum("size").alias("w")).collect()
-            bins: dict[int, dict[int, int]] = {k: {} for k in todo}
-            for r in hist:
-                bins[r["key"]][r["bin"]] = r["w"]
-            width /= BINS
-            for k in todo:
-                edge = BINS
-                for b, w in sorted(bins[k].items()):
-                    if need[k] < w:
-                        edge = b
-                        break
-                    need[k] -= w
-                low[k] += edge * width
-        for k in todo:
-            rules[k].append((limit[k], low[k]))
-    return rules
-
-
-def _taken() -> Column:
-    return F.exists("rules", lambda r: (F.col("size") <= r["most"]) & (F.col("at") < r["below"]))
+        rest = _by_source(rated, [(k, cut[k], n, rules[k]) for k, n in todo.items()], f"cut double, most double, rules {RULES}") \
+            .where((F.col("size") <= F.col("most")) & _room() & ~_filled())
+        limit = dict(todo)
+        below = _below(rest.select("key", "size", F.col("fill").alias("at")), todo)
+        for k, n in todo.items():
+            need[k] = n
+            rules[k].append((limit[k], below[k]))
+    return {k: (cut[k], rules[k]) for k in stats}
+
+
+def _extra() -> Column:
+    return (F.col("open") & (F.col("at") < F.col("cut"))).cast("int")
+
+
+def _room() -> Column:
+    return F.col("base") + _extra() < F.col("cap")
+
+
+def _filled() -> Column:
+    return F.exists("rules", lambda r: (F.col("size") <= r["most"]) & (F.col("fill") < r["below"]))
 
 
 def copies(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:

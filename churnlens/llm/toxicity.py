@@ -58,7 +58,7 @@ EDGE = "\x02"
 _LEAD = re.compile(r"^[^\w@$!|+(€£¡µ#*]+|[^\w]+$")
 _SHAPED = re.compile("[" + re.escape("".join(SHAPES)) + "]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*,/~]\w){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*,/~]\w){2,}(?=[^\w\s]*(?:\s|$))")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[a-zß-ɏ]+")
 
