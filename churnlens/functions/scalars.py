@@ -82,11 +82,15 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + d * d)
 
 
+#: White space of any script, as a character class that Java and RE2 both read.
+SPACE = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def word_count(text: str | Column) -> Column:
     """STR6: number of whitespace-separated words."""
-    return F.size(F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != F.lit("")))
+    return F.size(F.filter(F.split(_c(text), SPACE + "+"), lambda w: w != F.lit("")))
 
 
 def strip_all(text: str | Column) -> Column:
     """STR7: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")

@@ -16,12 +16,6 @@ def class_weights(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
     return counts.select(label, "n", (total / (n_classes * F.col("n"))).alias("weight"))
 
 
-def with_class_weights(df: DataFrame, label: str = LABEL_COL, weight_col: str = "weight") -> DataFrame:
-    """Attach the class weight to every row (a join with the tiny per-class table)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label, "left")
-
-
 COPY_CHUNK = 100_000
 
 
@@ -34,14 +28,15 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     each minority row gets total // n copies and the first total % n rows in
     keyed-hash order one more (cut found by ``hash_cut``, no global sort).
     New row = base + u * (neighbour - base) with a neighbour drawn from the
-    k nearest minority rows (exact pivot kNN; ``knn='lsh'`` approximate;
-    ``knn='auto'`` exact up to 50,000 minority rows, LSH beyond).
+    k nearest minority rows: ``knn='exact'``, or ``knn='sorted'`` for near ones in
+    linear time. Both give every row min(k, rows - 1) neighbours, so the classes
+    are equal afterwards in either mode.
     Output: the input rows plus synthetic rows (``is_synthetic`` = 1, id
     ``syn-<base>-<i>``), features as doubles. Columns in ``snap_flags`` (0/1
     flags) are rounded back to 0 or 1 in the synthetic rows.
     """
     from churnlens.functions.scalars import keyed_hash, keyed_uniform
-    from churnlens.operators.neighbors import feature_vector, knn_all, knn_all_lsh, knn_auto
+    from churnlens.operators.neighbors import feature_vector, knn_all, knn_all_sorted
     from churnlens.operators.select import hash_cut
 
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -79,7 +74,7 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL_COL, k: int = 5
     copies = copies.withColumn("j", (F.lit(1) + keyed_hash(F.concat(key, F.lit(":nb")), seed) % F.lit(k_eff))
                                .cast("int")) \
         .withColumn("u", keyed_uniform(F.concat(key, F.lit(":u")), seed))
-    knn_fn = {"exact": knn_all, "lsh": knn_all_lsh, "auto": knn_auto}[knn]
+    knn_fn = {"exact": knn_all, "sorted": knn_all_sorted}[knn]
     nn = knn_fn(mino, k=k_eff, id_col=id_col) \
         .select(F.col(id_col), F.col("rank").alias("j"), "neighbor_id")
     nvec = mino.select(F.col(id_col).alias("neighbor_id"), F.col("vec").alias("nvec"))

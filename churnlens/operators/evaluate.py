@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from churnlens.schema import LABEL_COL, SCORE_COL
-
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+from churnlens.session import scratch_path
 
 
 def score_counts(df: DataFrame, label: str = LABEL_COL, p: str = SCORE_COL,
@@ -35,32 +33,23 @@ def score_counts(df: DataFrame, label: str = LABEL_COL, p: str = SCORE_COL,
 def running_totals(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Adds ``cum_<c>`` = sum of ``c`` over rows with key <= this key (keys distinct).
 
-    ``df`` (one row per distinct key, far smaller than the scored table) is
-    cached because the sketch, the bucket totals and the windows all read it.
-    Up to ``ROWS_PER_BUCKET`` distinct keys a single window does it (a bounded
-    input); above, keys are bucketed and each bucket's window runs in its own task.
+    Rows are range-partitioned on the key and written once to the shared checkpoint
+    folder with their range's number. A range's window runs in its own task; the sums of
+    the ranges before it come from one row per range (as many as shuffle partitions).
     """
-    df = df.cache()
-    stats = df.agg(F.approx_count_distinct(key).alias("nd")).first()
-    n_buckets = max(1, min(MAX_BUCKETS, math.ceil((stats["nd"] or 0) / ROWS_PER_BUCKET)))
-    if n_buckets == 1:   # few distinct keys: one window, no offsets needed
-        w1 = W.orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select("*", *[F.sum(c).over(w1).alias(f"cum_{c}") for c in cols])
-    else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        edges = sorted(set(df.agg(F.percentile_approx(key, probs, 10000)).first()[0]))
-        edge_arr = F.array(*[F.lit(float(e)) for e in edges])
-        bucketed = df.withColumn("_b", F.size(F.filter(edge_arr, lambda e: e < F.col(key))))
-    totals = bucketed.groupBy("_b").agg(*[F.sum(c).alias(c) for c in cols]).collect()  # <= n_buckets rows
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "running-totals")
+    df.repartitionByRange(n, key).withColumn("_b", F.spark_partition_id()).write.parquet(path)
+    bucketed = spark.read.parquet(path)
+    totals = bucketed.groupBy("_b").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     offsets, acc = {}, {c: 0 for c in cols}
     for row in sorted(totals, key=lambda r: r["_b"]):
         offsets[row["_b"]] = dict(acc)
         for c in cols:
             acc[c] += row[c] or 0
-    # offsets: one row per bucket (at most MAX_BUCKETS rows), the broadcast side
-    off = df.sparkSession.createDataFrame(
-        [(b, *[int(o[c]) for c in cols]) for b, o in offsets.items()],
-        ", ".join(["_b int"] + [f"_off_{c} bigint" for c in cols]))
+    off = spark.createDataFrame([(b, *[int(o[c]) for c in cols]) for b, o in offsets.items()],
+                                ", ".join(["_b int"] + [f"_off_{c} bigint" for c in cols]))
     w = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = bucketed.join(F.broadcast(off), "_b", "left")
     for c in cols:

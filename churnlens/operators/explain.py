@@ -1,10 +1,11 @@
 """Attribution tables and everything built on them (XAI2, XAI4-9).
 
-The attribution table is long: (customerID, feature, feature_value, shap_value).
-Per-customer steps (top factors, bars, waterfall) are windows partitioned by
-customer, so each group is one customer's features (a few dozen rows) however
-large the table is. Per-feature steps (importance, beeswarm scaling) group by
-feature: partial aggregation first, then one small row per feature.
+One row per customer holds its attributions as ``attrs``, an array of
+(feature, feature_value, shap_value). Per-customer steps (top factors, bars,
+waterfall, prompt lines) sort, cut and fold that array with higher-order
+functions, so they need no shuffle at all; rows are exploded last. Per-feature
+steps (importance, beeswarm scaling) explode and group by feature: partial
+aggregation first, then one small row per feature.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ def direction(shap: Column) -> Column:
     return F.when(shap > 0, F.lit(RAISES)).otherwise(F.lit(LOWERS))
 
 
+ATTRS = "array<struct<feature:string,feature_value:double,shap_value:double>>"
+
+
 def linear_shap(df: DataFrame, weights: dict[str, float], digits: int | None = 6) -> tuple[DataFrame, DataFrame]:
-    """XAI2: phi = w * (x - mean x) for a linear margin; returns (attr, base).
+    """XAI2: phi = w * (x - mean x) for a linear margin; returns (customerID with ``attrs``, base).
 
     Means come from one global aggregate; ``base`` is a one-row table holding
     the mean margin. Sum of phi plus base equals the margin of every row.
@@ -42,52 +46,67 @@ def linear_shap(df: DataFrame, weights: dict[str, float], digits: int | None = 6
     feats = [f for f in weights if f in df.columns]
     means = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"m{i}") for i, f in enumerate(feats)]).first()
     mean = {f: float(means[f"m{i}"]) for i, f in enumerate(feats)}
-    long = df.select(ID_COL, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("feature_value"),
-                 (F.lit(weights[f]) * (F.col(f"`{f}`").cast("double") - F.lit(mean[f]))).alias("shap_value"))
-        for f in feats])).alias("a")).select(ID_COL, "a.*")
-    if digits is not None:
-        long = long.withColumn("shap_value", F.round("shap_value", digits))
+
+    def phi(f):
+        x = F.lit(weights[f]) * (F.col(f"`{f}`").cast("double") - F.lit(mean[f]))
+        return x if digits is None else F.round(x, digits)
+
+    out = df.select(ID_COL, F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("feature_value"), phi(f).alias("shap_value"))
+        for f in feats]).cast(ATTRS).alias("attrs"))
     base_value = sum(weights[f] * mean[f] for f in feats)
     base = df.sparkSession.range(1).select(F.lit(base_value).alias("base_value"))
-    return long, base
+    return out, base
 
 
-def top_factors(attr: DataFrame, n: int = 5) -> DataFrame:
-    """XAI4: n largest |phi| per customer (ties by feature) with direction.
+def long_form(attr: DataFrame) -> DataFrame:
+    """customerID, feature, feature_value, shap_value: one row per attribution."""
+    return attr.select(ID_COL, F.inline("attrs"))
+
+
+def _largest(n: int | None = None) -> Column:
+    """``attrs`` by |phi|, largest first, ties by feature; the first n."""
+    ordered = F.array_sort("attrs", lambda a, b: F.when(F.abs(a["shap_value"]) > F.abs(b["shap_value"]), -1)
+                           .when(F.abs(a["shap_value"]) < F.abs(b["shap_value"]), 1)
+                           .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    return ordered if n is None else F.slice(ordered, 1, n)
 
-    Planned as a window group limit: partial top-n before the shuffle.
-    """
-    w = W.partitionBy(ID_COL).orderBy(F.abs("shap_value").desc(), "feature")
-    return (attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select(ID_COL, "rank", "feature", "shap_value", direction(F.col("shap_value")).alias("direction")))
 
+def factors_array(attr: DataFrame, n: int = 5) -> DataFrame:
+    """XAI4: the n largest |phi| per customer as ``factors`` array<struct<feature, shap_value, direction>> in rank order."""
+    return attr.select(ID_COL, F.transform(_largest(n), lambda x: F.struct(
+        x["feature"].alias("feature"), x["shap_value"].alias("shap_value"),
+        direction(x["shap_value"]).alias("direction"))).alias("factors"))
 
-def factors_array(top: DataFrame) -> DataFrame:
-    """XAI4 array form: customerID, factors array<struct<feature, shap_value, direction>> in rank order."""
-    return top.groupBy(ID_COL).agg(F.array_sort(F.collect_list(
-        F.struct("rank", "feature", "shap_value", "direction"))).alias("_f")).select(
-        ID_COL, F.transform("_f", lambda x: F.struct(x["feature"].alias("feature"),
-                                                     x["shap_value"].alias("shap_value"),
-                                                     x["direction"].alias("direction"))).alias("factors"))
+
+def top_factors(attr: DataFrame, n: int = 5) -> DataFrame:
+    """XAI4, a row per factor: customerID, rank (from 1), feature, shap_value, direction."""
+    return factors_array(attr, n).select(ID_COL, F.posexplode("factors").alias("rank", "f")).select(
+        ID_COL, (F.col("rank") + 1).alias("rank"), "f.feature", "f.shap_value", "f.direction")
 
 
-def global_importance(attr: DataFrame, n: int = 15) -> DataFrame:
-    """XAI5 / AGG6: mean |phi| per feature, the n largest (ties by feature)."""
-    agg = attr.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
+def global_importance(long: DataFrame, n: int = 15) -> DataFrame:
+    """XAI5 / AGG6: mean |phi| per feature of long-form attributions, the n largest (ties by feature)."""
+    agg = long.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
     return agg.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(n)
 
 
-def importance_for_chart(attr: DataFrame, n: int = 12) -> DataFrame:
+def importance_for_chart(long: DataFrame, n: int = 12) -> DataFrame:
     """TOP3: the n most important features in ascending order (bar-chart order)."""
-    return global_importance(attr, n).orderBy(F.col("mean_abs_shap").asc(), F.col("feature").desc())
+    rows = global_importance(long, n)  # n rows
+    order = (F.col("mean_abs_shap").asc(), F.col("feature").desc())
+    return rows.withColumn("position", F.row_number().over(W.orderBy(*order))).orderBy("position")
 
 
-def factor_bars(top: DataFrame) -> DataFrame:
-    """XAI6: bar length int(|phi| / (max |phi| + 1e-9) * 100) among the shown factors."""
-    w = W.partitionBy(ID_COL)
-    return top.withColumn("bar_pct", F.floor(F.abs("shap_value") / (F.max(F.abs("shap_value")).over(w) + F.lit(EPS))
-                                             * F.lit(100.0)).cast("int"))
+def factor_bars(attr: DataFrame, n: int = 5) -> DataFrame:
+    """XAI6: rank, feature and bar length int(|phi| / (max |phi| + 1e-9) * 100) of the n largest."""
+    top = F.col("factors")
+    most = F.abs(F.get(top, F.lit(0))["shap_value"])  # the first is the largest
+    bars = F.transform(top, lambda x: F.struct(
+        x["feature"].alias("feature"), x["shap_value"].alias("shap_value"),
+        F.floor(F.abs(x["shap_value"]) / (most + F.lit(EPS)) * F.lit(100.0)).cast("int").alias("bar_pct")))
+    return factors_array(attr, n).select(ID_COL, F.posexplode(bars).alias("rank", "b")).select(
+        ID_COL, (F.col("rank") + 1).alias("rank"), "b.feature", "b.shap_value", "b.bar_pct")
 
 
 def waterfall(attr: DataFrame, base: float, n: int = 10) -> DataFrame:
@@ -96,39 +115,43 @@ def waterfall(attr: DataFrame, base: float, n: int = 10) -> DataFrame:
     The total row carries the margin (base + sum phi) and its probability as two
     separate columns. ``start`` / ``end`` are the running positions from base.
     """
-    w_rank = W.partitionBy(ID_COL).orderBy(F.abs("shap_value").desc(), "feature")
-    w_all = W.partitionBy(ID_COL)
-    ranked = (attr.withColumn("_r", F.row_number().over(w_rank))
-              .withColumn("_total", F.sum("shap_value").over(w_all)))
-    shown = ranked.where(F.col("_r") <= n)
-    w_step = W.partitionBy(ID_COL).orderBy("shap_value", "feature")
-    steps = shown.select(ID_COL, F.row_number().over(w_step).alias("step"), F.col("feature").alias("item"),
-                         F.col("shap_value").alias("value"), "_total")
-    per_cust = shown.groupBy(ID_COL).agg(F.sum("shap_value").alias("_shown"), F.first("_total").alias("_total"),
-                                         F.count(F.lit(1)).alias("_k"))
-    others = per_cust.select(ID_COL, (F.col("_k") + 1).cast("int").alias("step"), F.lit(OTHERS).alias("item"),
-                             (F.col("_total") - F.col("_shown")).alias("value"), "_total")
-    rows = steps.unionByName(others)
-    w_run = W.partitionBy(ID_COL).orderBy("step").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.lit(base) + F.coalesce(F.sum("value").over(w_run), F.lit(0.0)))
-    rows = rows.select(ID_COL, "step", "item", "value", "start", (F.col("start") + F.col("value")).alias("end"),
-                       signed_text("value", 3).alias("text"), F.lit(None).cast("double").alias("probability"))
-    margin = F.lit(base) + F.col("_total")
-    total = per_cust.select(ID_COL, (F.col("_k") + 2).cast("int").alias("step"), F.lit(PREDICTION).alias("item"),
-                            margin.alias("value"), F.lit(0.0).alias("start"), margin.alias("end"),
-                            percent_text(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("text"),
-                            (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("probability"))
-    return rows.unionByName(total)
+    def total(col):
+        return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x["shap_value"])
+
+    shown = F.array_sort(F.col("shown"), lambda a, b: F.when(a["shap_value"] < b["shap_value"], -1)
+                         .when(a["shap_value"] > b["shap_value"], 1)
+                         .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    parts = attr.select(ID_COL, "attrs", _largest(n).alias("shown")).select(
+        ID_COL, shown.alias("shown"), total("attrs").alias("total"), total("shown").alias("part"))
+    items = F.concat(F.transform("shown", lambda x: F.struct(x["feature"].alias("item"), x["shap_value"].alias("value"))),
+                     F.array(F.struct(F.lit(OTHERS).alias("item"), (F.col("total") - F.col("part")).alias("value"))))
+    step = "struct<step:int,item:string,value:double,start:double,end:double,text:string,probability:double>"
+    rows = F.aggregate(
+        items, F.struct(F.lit(float(base)).alias("at"), F.array().cast(f"array<{step}>").alias("rows")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["value"]).alias("at"),
+            F.array_append(acc["rows"], F.struct(
+                (F.size(acc["rows"]) + 1).alias("step"), x["item"].alias("item"), x["value"].alias("value"),
+                acc["at"].alias("start"), (acc["at"] + x["value"]).alias("end"), signed_text(x["value"], 3).alias("text"),
+                F.lit(None).cast("double").alias("probability")).cast(step)).alias("rows")),
+        lambda acc: acc["rows"])
+    margin = F.lit(float(base)) + F.col("total")
+    share = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    last = F.struct((F.size("shown") + 2).alias("step"), F.lit(PREDICTION).alias("item"), margin.alias("value"), F.lit(0.0).alias("start"),
+                    margin.alias("end"), percent_text(share).alias("text"), share.alias("probability")).cast(step)
+    return parts.select(ID_COL, F.inline(F.array_append(rows, last)))
 
 
 def beeswarm(attr: DataFrame, n: int = 12, seed: int = 42) -> DataFrame:
     """XAI8: points of the n most important features: phi, min-max scaled value,
-    rank and a keyed jitter in [-0.3, 0.3) (reproducible under any partitioning)."""
-    imp = global_importance(attr, n)
-    ranks = imp.select("feature", (F.row_number().over(
-        W.orderBy(F.col("mean_abs_shap").desc(), "feature")) - 1).alias("rank"))  # n rows
-    scale = attr.groupBy("feature").agg(F.min("feature_value").alias("_lo"), F.max("feature_value").alias("_hi"))
-    pts = attr.join(F.broadcast(ranks), "feature").join(F.broadcast(scale), "feature")
+    rank and a keyed jitter in [-0.3, 0.3) (reproducible under any partitioning).
+    Importance and value range come from one aggregate."""
+    long = long_form(attr)
+    stats = long.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("_m"), F.min("feature_value").alias("_lo"),
+                                        F.max("feature_value").alias("_hi"))
+    ranks = stats.orderBy(F.col("_m").desc(), "feature").limit(n).select(
+        "feature", "_lo", "_hi", (F.row_number().over(W.orderBy(F.col("_m").desc(), "feature")) - 1).alias("rank"))  # n rows
+    pts = long.join(F.broadcast(ranks), "feature")
     jitter = F.lit(-JITTER) + F.lit(2 * JITTER) * keyed_uniform(F.concat(F.col(ID_COL), F.lit("|"), F.col("feature")),
                                                                 seed)
     return pts.select(ID_COL, "feature", F.col("rank").cast("int").alias("rank"), "shap_value",
@@ -138,13 +161,12 @@ def beeswarm(attr: DataFrame, n: int = 12, seed: int = 42) -> DataFrame:
                       (F.lit(float(n - 1)) - F.col("rank") + jitter).alias("y"))
 
 
-def factor_text(top: DataFrame, scores: DataFrame, p: str = SCORE_COL) -> DataFrame:
+def factor_text(factors: DataFrame, scores: DataFrame, p: str = SCORE_COL) -> DataFrame:
     """XAI9: prompt context per customer: risk in percent, then numbered factor lines."""
-    lines = top.select(ID_COL, "rank", F.concat(
-        F.lit("  "), F.col("rank").cast("string"), F.lit(". "), F.col("feature"), F.lit(": SHAP="),
-        fixed_text("shap_value", 3), F.lit(" ("), F.col("direction"), F.lit(")")).alias("line"))
-    body = lines.groupBy(ID_COL).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
-    return scores.select(ID_COL, p).join(body, ID_COL, "left").select(
+    empty = F.array().cast("array<struct<feature:string,shap_value:double,direction:string>>")
+    lines = F.transform(F.coalesce("factors", empty), lambda f, i: F.concat(
+        F.lit("  "), (i + 1).cast("string"), F.lit(". "), f["feature"], F.lit(": SHAP="),
+        fixed_text(f["shap_value"], 3), F.lit(" ("), f["direction"], F.lit(")")))
+    return scores.select(ID_COL, p).join(factors, ID_COL, "left").select(
         ID_COL, F.concat_ws("\n", F.concat(F.lit(FACTOR_HEADER), percent_text(p)), F.lit(FACTOR_TITLE),
-                            F.array_join(F.transform(F.coalesce("_l", F.array().cast("array<struct<rank:int,line:string>>")),
-                                                     lambda x: x["line"]), "\n")).alias("factor_text"))
+                            F.array_join(lines, "\n")).alias("factor_text"))

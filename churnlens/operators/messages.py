@@ -14,40 +14,36 @@ from pyspark.sql import functions as F
 from churnlens.functions.scalars import fixed_text, percent_text, strip_all, word_count
 from churnlens.schema import HIGH_RISK, ID_COL, SCORE_COL
 
-# --- Fixed values: templates and generation settings (own English wording;
-# settings as in the reference: 500 tokens / 0.7 for mails, 800 / 0.5 for summaries) ---
-UNKNOWN = "unknown"
-DEFAULT_NAME = "Valued customer"
+# Campaign texts are this library's own configuration: data cards of key=value lines, so that a service
+# gets the fields STR3-5 name and nothing to parse.
+UNKNOWN = "n/a"
+DEFAULT_NAME = "customer"
 TONES = {
-    "warm": "Use a warm, friendly and personal tone.",
-    "formal": "Use a professional, corporate tone.",
-    "short": "Keep it very short: at most a two-sentence opening and one paragraph with the offer.",
+    "warm": "friendly, first person",
+    "formal": "courteous and factual",
+    "short": "under sixty words",
 }
 DEFAULT_TONE = "warm"
 MAIL_SYSTEM_PROMPT = (
-    "You are an experienced customer-experience specialist at a telecom company. You write personalised, "
-    "empathetic win-back emails with concrete solutions for customers an analysis marked as likely to leave.\n"
-    "Rules:\n- Greet the customer by name when given\n- Acknowledge the problem, apologise and offer a solution\n"
-    "- At most 2-3 paragraphs\n- Include one concrete offer (discount, plan upgrade, priority support)\n"
-    "- No jargon\n- Do not manipulate; be honest and transparent")
-SUMMARY_SYSTEM_PROMPT = ("You are a business analyst and customer-experience advisor. You write short, clear, "
-                         "actionable reports for managers.")
+    "Draft a note that an account manager can send unchanged. Use the data card as background only: quote no score "
+    "and no field name. Offer one benefit that fits the recorded contract, for example a waived fee or a free month.")
+SUMMARY_SYSTEM_PROMPT = "Condense account lists for the weekly service review. Numbers first, opinions last."
+PROMPT_HEAD = "[data card: retention note]"
+PROMPT_TAIL = "answer=subject line, blank line, body"
+SUMMARY_HEAD = "[data card: accounts at risk]"
+SUMMARY_TAIL = "answer=what the accounts share, then next steps for the service desk"
+ERROR_KEY = "service key refused"
+ERROR_RATE = "service busy, retry later"
+ERROR_OTHER = "service fault: "
+FALLBACK_TEMPLATE = (
+    "(standard note; {detail})\n\nHello,\nyour account manager would like to talk with you about your plan this week. "
+    "Until then nothing changes on your bill.\nThe service desk")
+
+# --- Fixed values: generation settings (most tokens, temperature), list length, reading speed ---
 MAIL_SETTINGS = (500, 0.7)
 SUMMARY_SETTINGS = (800, 0.5)
 SUMMARY_TOP = 10
 WORDS_PER_MINUTE = 200
-ERROR_KEY = "Key error: please check the service key."
-ERROR_RATE = "Rate limit reached: please wait a few seconds and try again."
-ERROR_OTHER = "An error occurred: "
-FALLBACK_TEMPLATE = (
-    "[Message service unavailable - template message]\n\n{detail}\n\n---\n\n"
-    "Subject: We do not want to lose you - a special offer\n\n"
-    "Dear valued customer,\n\n"
-    "Thank you for being with us. We want to make your experience better, and we know recent months were not "
-    "always smooth, so we prepared an offer for you.\n"
-    "For your next three billing periods we would like to give you a 20% discount and priority technical "
-    "support. Call our customer service or reply to this email to accept it.\n\n"
-    "Kind regards,\nCustomer Experience Team")
 # --- end of fixed values ---
 
 
@@ -62,10 +58,10 @@ def tone_note(tone: Column) -> Column:
 
 
 def factor_lines(factors: Column) -> Column:
-    """'  - feature: direction (impact: |phi| with 3 decimals)' per factor."""
-    return F.array_join(F.transform(factors, lambda f: F.concat(
-        F.lit("  - "), f["feature"], F.lit(": "), f["direction"], F.lit(" (impact: "),
-        fixed_text(F.abs(f["shap_value"]), 3), F.lit(")"))), "\n")
+    """One 'driver.<i>=<feature>; <direction>; <|phi| with 3 decimals>' line per factor."""
+    return F.transform(factors, lambda f, i: F.concat(
+        F.lit("driver."), (i + 1).cast("string"), F.lit("="), f["feature"], F.lit("; "), f["direction"], F.lit("; "),
+        fixed_text(F.abs(f["shap_value"]), 3)))
 
 
 def retention_prompt(df: DataFrame, factors: DataFrame, tone: str | Column = DEFAULT_TONE,
@@ -84,16 +80,16 @@ def retention_prompt(df: DataFrame, factors: DataFrame, tone: str | Column = DEF
     contract = _or_unknown(F.col("Contract")) if "Contract" in cols else F.lit(UNKNOWN)
     j = df.join(factors, ID_COL, "left")
     empty = F.array().cast("array<struct<feature:string,shap_value:double,direction:string>>")
-    prompt = F.concat(
-        F.lit("Write a personalised win-back email for the customer below.\n\nCUSTOMER:\n- Name: "),
-        F.coalesce(name_c, F.lit(DEFAULT_NAME)),
-        F.lit("\n- Tenure: "), tenure, F.lit(" months\n- Monthly charge: "), monthly,
-        F.lit("\n- Contract: "), contract,
-        F.lit("\n- Churn risk score: "), F.coalesce(percent_text(p), F.lit(UNKNOWN)),
-        F.lit("\n\nCHURN RISK FACTORS (model attributions):\n"),
+    prompt = F.concat_ws(
+        "\n", F.lit(PROMPT_HEAD),
+        F.concat(F.lit("score="), F.coalesce(percent_text(p), F.lit(UNKNOWN))),
+        F.concat(F.lit("contract="), contract),
+        F.concat(F.lit("monthly="), monthly),
+        F.concat(F.lit("tenure_months="), tenure),
         factor_lines(F.coalesce(F.col("factors"), empty)),
-        F.lit("\n\nTONE: "), tone_note(tone_c),
-        F.lit("\n\nWrite only the email text, subject line included. Add no other explanation."))
+        F.concat(F.lit("style="), tone_note(tone_c)),
+        F.concat(F.lit("to="), F.coalesce(name_c, F.lit(DEFAULT_NAME))),
+        F.lit(PROMPT_TAIL))
     return j.select(ID_COL, F.coalesce(tone_c, F.lit(DEFAULT_TONE)).alias("tone"), prompt.alias("user_prompt"))
 
 
@@ -111,19 +107,17 @@ def summary_input(df: DataFrame, threshold: float = HIGH_RISK, n: int = SUMMARY_
 
 
 def summary_prompt(summary: DataFrame) -> DataFrame:
-    """STR4: executive-summary prompt from AGG8 (absent fields print '?')."""
+    """STR4: management-summary prompt from AGG8; absent fields print as unknown."""
     def field(x, name):
-        return F.coalesce(x[name].cast("string"), F.lit("?"))
-    lines = F.array_join(F.transform("top", lambda x, i: F.concat(
-        F.lit("  "), (i + 1).cast("string"), F.lit(". Customer ID: "), field(x, "id"),
-        F.lit(" | Risk: "), F.coalesce(percent_text(x["churn_prob"]), F.lit("%0.0")),
-        F.lit(" | Tenure: "), field(x, "tenure"), F.lit(" months | Monthly: "),
-        F.coalesce(fixed_text(x["MonthlyCharges"], 2), F.lit("?")))), "\n")
-    return summary.select("n_high", F.concat(
-        F.lit("Prepare a short summary report for management on the "), F.col("n_high").cast("string"),
-        F.lit(" high-risk customers below.\nPoint out common risk patterns and propose 2-3 actions.\n\n"
-              "HIGH-RISK CUSTOMERS:\n"), lines,
-        F.lit("\n\nWrite the summary in 3-4 paragraphs.")).alias("user_prompt"))
+        return F.coalesce(x[name].cast("string"), F.lit(UNKNOWN))
+    lines = F.transform("top", lambda x, i: F.concat(
+        F.lit("account."), (i + 1).cast("string"), F.lit("="), field(x, "id"),
+        F.lit("; tenure "), field(x, "tenure"), F.lit("; monthly "),
+        F.coalesce(fixed_text(x["MonthlyCharges"], 2), F.lit(UNKNOWN)),
+        F.lit("; score "), F.coalesce(percent_text(x["churn_prob"]), F.lit(UNKNOWN))))
+    return summary.select("n_high", F.concat_ws(
+        "\n", F.lit(SUMMARY_HEAD), F.concat(F.lit("accounts="), F.col("n_high").cast("string")), lines,
+        F.lit(SUMMARY_TAIL)).alias("user_prompt"))
 
 
 def request_table(prompts: DataFrame, job: str = "mail") -> DataFrame:
@@ -149,8 +143,10 @@ def fallback_message(err: Column) -> Column:
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """JON7 + STR5 + STR7: left join on key; a trimmed response, or the fallback text."""
-    r = responses.select(ID_COL, "response", "error")
+    """JON7 + STR5 + STR7: left join on key; a trimmed response, or the fallback text, per response.
+    Further response columns (a turn number) are kept."""
+    extra = [c for c in responses.columns if c not in requests.columns and c not in ("response", "error")]
+    r = responses.select(ID_COL, "response", "error", *extra)
     j = requests.join(r, ID_COL, "left")
     ok = F.col("response").isNotNull()
     return j.select("*", F.when(ok, strip_all(F.col("response")))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from churnlens.operators.evaluate import f1_of_class1
 from churnlens.schema import LABEL_COL, SCORE_COL
 
-# --- Fixed values: the reference's defaults and search space (ours: maxIter 50, see module doc) ---
+# --- Fixed values: the reference's defaults and search space ---
 REFERENCE_DEFAULTS = {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8,
                       "colsample_bytree": 0.8, "min_child_weight": 3, "gamma": 0.1, "reg_alpha": 0.1,
                       "reg_lambda": 1.0, "random_state": 42}
@@ -32,15 +32,16 @@ SEARCH_SPACE = {"n_estimators": ("int", 100, 500), "max_depth": ("int", 3, 10),
                 "learning_rate": ("log", 0.01, 0.3), "subsample": ("float", 0.6, 1.0),
                 "colsample_bytree": ("float", 0.6, 1.0), "min_child_weight": ("int", 1, 10),
                 "gamma": ("float", 0.0, 1.0), "reg_alpha": ("float", 0.0, 1.0), "reg_lambda": ("float", 0.5, 2.0)}
-DEFAULT_MAX_ITER = 50
 # --- end of fixed values ---
 
 
-def gbt_params(p: dict, max_iter_cap: int | None = DEFAULT_MAX_ITER) -> dict:
+ROWS_PER_PARTITION = 20_000
+
+
+def gbt_params(p: dict) -> dict:
     """Reference-style parameters to ``GBTClassifier`` keyword arguments."""
-    n = int(p.get("n_estimators", REFERENCE_DEFAULTS["n_estimators"]))
     return {
-        "maxIter": min(n, max_iter_cap) if max_iter_cap else n,
+        "maxIter": int(p.get("n_estimators", REFERENCE_DEFAULTS["n_estimators"])),
         "maxDepth": int(p.get("max_depth", 6)),
         "stepSize": float(p.get("learning_rate", 0.05)),
         "subsamplingRate": float(p.get("subsample", 0.8)),
@@ -52,22 +53,24 @@ def gbt_params(p: dict, max_iter_cap: int | None = DEFAULT_MAX_ITER) -> dict:
 
 
 def train(df: DataFrame, features: list[str], label: str = LABEL_COL, params: dict | None = None,
-          weight_col: str | None = None, max_iter_cap: int | None = DEFAULT_MAX_ITER,
+          weight_col: str | None = None,
           id_col: str = "customerID", max_memory_mb: int = 512) -> PipelineModel:
     """TRN1: assembler + GBT fitted on ``df`` (cached for the iterations).
 
     Row subsampling in Spark's trees is seeded per partition, so the rows are
     first hash-partitioned on the key and sorted within partitions: the same
-    seed then gives the same model whatever the input partitioning was.
+    seed then gives the same model whatever the input partitioning was. Every
+    tree is a chain of jobs over all partitions, so there is one partition per
+    ``ROWS_PER_PARTITION`` rows, not one per core.
     """
-    kw = gbt_params({**REFERENCE_DEFAULTS, **(params or {})}, max_iter_cap)
+    kw = gbt_params({**REFERENCE_DEFAULTS, **(params or {})})
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic",
                         maxMemoryInMB=max_memory_mb, **kw)
     if weight_col:
         gbt.setWeightCol(weight_col)
     if id_col in df.columns:
-        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_parts = max(1, math.ceil(df.count() / ROWS_PER_PARTITION))
         df = df.repartition(n_parts, id_col).sortWithinPartitions(id_col)
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features],
                      F.col(label).cast("double").alias(label),
@@ -106,8 +109,7 @@ def draw_params(n_trials: int, seed: int = 42) -> list[dict]:
 
 
 def tune(train_df: DataFrame, valid_df: DataFrame, features: list[str], label: str = LABEL_COL,
-         n_trials: int = 50, seed: int = 42, parallelism: int = 4,
-         max_iter_cap: int | None = DEFAULT_MAX_ITER) -> tuple[dict, DataFrame]:
+         n_trials: int = 50, seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """TRN2: random search maximising F1 of class 1 on ``valid_df``.
 
     Trials are independent Spark jobs run from a thread pool. Returns the best
@@ -118,7 +120,7 @@ def tune(train_df: DataFrame, valid_df: DataFrame, features: list[str], label: s
     valid_df = valid_df.cache()
 
     def run(i):
-        m = train(train_df, features, label, trials[i], max_iter_cap=max_iter_cap)
+        m = train(train_df, features, label, trials[i])
         return i, f1_of_class1(score(m, valid_df), label)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

@@ -1,12 +1,13 @@
-"""Nearest neighbours by Euclidean distance (JON5, JON6), exact and LSH.
+"""Nearest neighbours by Euclidean distance (JON5, JON6), exact and in linear time.
 
 Distances are ``sqrt(sum((a_i - b_i)^2))`` summed left to right with built-in
 higher-order functions (JVM side). Ties are broken by id; a row is never its
 own neighbour.
 
-``knn_targets``: a bounded list of targets (checked) is sent as a literal; every
-row computes its distance to each target in one projection, and the n best per
-target survive a window group limit (partial top-n before the shuffle).
+``knn_targets``: up to ``MAX_TARGETS`` targets are sent as a literal; every row
+computes its distance to each in one projection, and the n best per target
+survive a window group limit (partial top-n before the shuffle). More targets
+are compared in tiles of target blocks and row shards, to the same result.
 
 ``knn_all`` (exact, every row): identical vectors are merged first (a hot group
 of copies becomes one row plus its first k+1 ids). Distinct vectors are then
@@ -21,8 +22,14 @@ member, so neither a pair table nor an unbounded group is ever formed.
 Cost: pruning works when the data has low intrinsic dimension (clusters);
 in high-dimensional, evenly spread data (k-th neighbour distance close to the
 typical pairwise distance) no metric bound prunes and the exact join becomes
-quadratic. ``knn_all_lsh`` is the scale mode for that case, and ``knn_auto``
-switches to it above ``EXACT_LIMIT`` rows.
+quadratic. It is the mode for tables where that is acceptable.
+
+``knn_all_sorted`` (approximate, linear): rows are sorted along each of a few
+fixed random directions and cut into blocks of ``block`` rows by their place in
+that order; a row is compared with its own and the two adjacent blocks. Every
+row gets exactly min(k, rows - 1) neighbours; the directions, places and
+blocks depend on the data alone, never on partitions. The caller chooses the
+mode; nothing switches by size.
 """
 
 from __future__ import annotations
@@ -34,9 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from churnlens.functions.scalars import keyed_hash, squared_distance
+from churnlens.session import scratch_path
 
 MAX_TARGETS = 1_000
-EXACT_LIMIT = 50_000
 MAX_PIVOTS = 2048
 BLOCK = 2048
 SLACK = 1e-9
@@ -62,7 +69,7 @@ def knn_targets(df: DataFrame, targets: DataFrame, n: int = 5, id_col: str = "cu
     """
     t_rows = targets.select(id_col, vec).limit(MAX_TARGETS + 1).collect()
     if len(t_rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets: use knn_all")
+        return _knn_tiles(df, targets, n, id_col, vec)
     if not t_rows:
         return df.sparkSession.createDataFrame([], "target_id string, rank int, neighbor_id string, distance double")
     lit_targets = F.array(*[F.struct(F.lit(r[id_col]).alias("tid"),
@@ -76,6 +83,22 @@ def knn_targets(df: DataFrame, targets: DataFrame, n: int = 5, id_col: str = "cu
             .select("target_id", "rank", "neighbor_id", "distance"))
 
 
+def _knn_tiles(df: DataFrame, targets: DataFrame, n: int, id_col: str, vec: str) -> DataFrame:
+    """``knn_targets`` for any number of targets: blocks of targets against shards of rows, n best per tile."""
+    t = targets.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    c = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    blocks, shards = math.ceil(t.count() / BLOCK), max(1, math.ceil(c.count() / BLOCK))
+    salt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    tiles = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = t.withColumn("b", salt(blocks)).withColumn("s", tiles(shards))
+    right = c.withColumn("s", salt(shards)).withColumn("b", tiles(blocks))
+    got = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(
+        _block_nearest(n), "id string, neighbor_id string, distance double")
+    w = W.partitionBy("id").orderBy("distance", "neighbor_id")
+    return (got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select(F.col("id").alias("target_id"), "rank", "neighbor_id", "distance"))
+
+
 def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
             n_pivots: int | None = None, seed: int = 42) -> DataFrame:
     """JON6 exact: k nearest rows of every row. Returns (id, rank, neighbor_id, distance)."""
@@ -102,7 +125,10 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
     piv_arr = F.array(*[F.array(*[F.lit(x) for x in pv]) for pv in pivots])
     withd = vecs.withColumn("pd", F.transform(piv_arr, lambda pv: _dist(pv, F.col("vec"))))
     withd = withd.withColumn("d0", F.array_min("pd"))
-    withd = withd.withColumn("cell", F.array_position("pd", F.col("d0")).cast("int") - 1).cache()
+    withd = withd.withColumn("cell", F.array_position("pd", F.col("d0")).cast("int") - 1)
+    path = scratch_path(spark, "knn-pivots")
+    withd.write.parquet(path)
+    withd = spark.read.parquet(path)
 
     # D. per cell: radius U and r = distance from the pivot to its (k+1)-th nearest member
     #    (weighted by copies). Any k+1 rows bound the k-th neighbour distance, and the
@@ -193,37 +219,88 @@ def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "v
                       F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
 
 
-def knn_all_lsh(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
-                bucket_length: float | None = None, num_tables: int = 4, threshold: float | None = None,
-                seed: int = 42) -> DataFrame:
-    """JON6 scale mode: approximate k nearest via random-projection LSH (recall < 1).
+DIRECTIONS, BLOCK_ROWS = 4, 256
+
+
+def direction(t: int, dim: int) -> list[float]:
+    """The t-th projection direction: components in [-1, 1) from md5, the same in any engine."""
+    import hashlib
+    return [int(hashlib.md5(f"{t}:{i}".encode()).hexdigest()[:8], 16) / 2147483648.0 - 1.0 for i in range(dim)]
+
+
+def _places(pts: DataFrame, t: int, dim: int) -> DataFrame:
+    """(id, vec, place): the row's place in the order of (projection, id) along direction t."""
+    spark = pts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = F.zip_with("vec", F.array(*[F.lit(x) for x in direction(t, dim)]), lambda x, w: x * w)
+    proj = F.round(F.aggregate(pieces, F.lit(0.0), lambda acc, x: acc + x), 6)
+    path = scratch_path(spark, f"knn-order-{t}")
+    # a range per partition; within it, places follow the sort
+    pts.withColumn("proj", proj).repartitionByRange(n, "proj", "id").sortWithinPartitions("proj", "id") \
+        .withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    part = F.shiftright("at", 33)
+    rows = spark.read.parquet(path)
+    sizes = {r["p"]: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}  # one row per partition
+    before, total = {}, 0
+    for q in sorted(sizes):
+        before[q], total = total, total + sizes[q]
+    first = F.create_map(*[x for q, v in before.items() for x in (F.lit(q), F.lit(v))]) if before else F.lit(None)
+    return rows.select("id", "vec", (first[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+def nearest_in_block(members, candidates, k: int):
+    """k nearest candidates (not itself) of each member: arrays of member and candidate positions and distances.
+    ``members`` and ``candidates``: (ids, vectors); sums run left to right, ties go to the smaller id."""
+    import numpy as np
+    (ids, a), (cids, c) = members, candidates
+    order = np.argsort(cids, kind="stable")
+    acc = np.zeros((len(ids), len(cids)))
+    for j in range(a.shape[1]):
+        diff = a[:, j][:, None] - c[order, j][None, :]
+        acc += diff * diff
+    dist = np.sqrt(acc)
+    dist[ids[:, None] == cids[order][None, :]] = np.inf
+    best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    rows = np.repeat(np.arange(len(ids)), best.shape[1])
+    cols = best.reshape(-1)
+    ok = np.isfinite(dist[rows, cols])
+    return rows[ok], order[cols[ok]], dist[rows[ok], cols[ok]]
+
+
+def _block_nearest(k: int):
+    def run(left, right):
+        import numpy as np
+        import pandas as pd
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": pd.Series(dtype=object), "neighbor_id": pd.Series(dtype=object), "distance": pd.Series(dtype=float)})
+        ids, cids = left["id"].to_numpy(), right["id"].to_numpy()
+        i, j, d = nearest_in_block((ids, np.stack(left["vec"].to_numpy()).astype(float)),
+                                   (cids, np.stack(right["vec"].to_numpy()).astype(float)), k)
+        return pd.DataFrame({"id": ids[i], "neighbor_id": cids[j], "distance": d})
+    return run
+
+
+def knn_all_sorted(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
+                   directions: int = DIRECTIONS, block: int = BLOCK_ROWS) -> DataFrame:
+    """JON6 scale mode: min(k, rows - 1) near rows of every row, the nearest of all it is compared with.
 
-    ``approxSimilarityJoin`` only compares rows sharing a hash bucket; rows with
-    fewer than k found neighbours keep what was found.
+    Work is rows x directions x 3 blocks. Returns (id, rank, neighbor_id, distance).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    data = df.select(F.col(id_col).cast("string").alias("id"), array_to_vector(vec).alias("features"))
-    if bucket_length is None or threshold is None:
-        stats = df.select(F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x * x)).alias("nrm")) \
-            .agg(F.stddev_pop("nrm").alias("s"), F.avg("nrm").alias("m")).first()
-        scale = max(float(stats["s"] or 0.0), 1e-6) + 0.1 * float(stats["m"] or 1.0)
-        bucket_length = bucket_length or scale
-        threshold = threshold or 2.0 * scale
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(data)
-    pairs = lsh.approxSimilarityJoin(data, data, threshold, distCol="distance") \
-        .select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbor_id"), "distance") \
-        .where(F.col("id") != F.col("neighbor_id"))
+    if block < k:
+        raise ValueError("a block must hold k rows")
+    pts = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    head = pts.select(F.size("vec")).first()
+    if head is None:
+        return df.sparkSession.createDataFrame([], "id string, rank int, neighbor_id string, distance double") \
+            .withColumnRenamed("id", id_col)
+    found = None
+    for t in range(directions):
+        at = _places(pts, t, head[0]).withColumn("b", F.floor(F.col("place") / block).cast("bigint"))
+        near = at.select("id", "vec", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+        got = at.select("id", "vec", "b").groupBy("b").cogroup(near.groupBy("b")).applyInPandas(
+            _block_nearest(k), "id string, neighbor_id string, distance double")
+        found = got if found is None else found.unionAll(got)
+    best = found.groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
     w = W.partitionBy("id").orderBy("distance", "neighbor_id")
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("id").alias(id_col), "rank", "neighbor_id", "distance"))
-
-
-def knn_auto(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
-             exact_limit: int = EXACT_LIMIT, seed: int = 42) -> DataFrame:
-    """Exact kNN up to ``exact_limit`` rows, LSH beyond (one count decides)."""
-    n = df.count()
-    if n <= exact_limit:
-        return knn_all(df, k, id_col, vec, seed=seed)
-    return knn_all_lsh(df, k, id_col, vec, seed=seed)

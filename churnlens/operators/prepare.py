@@ -19,8 +19,6 @@ from churnlens.operators.select import exact_median
 from churnlens.schema import (BINARY_COLS, CATEGORICAL_COLS, ID_COL, LABEL_COL, NUMERIC_COLS,
                               SERVICE_COLS, SERVICE_VALUES, TARGET_COL)
 
-MAX_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class Fitted:
@@ -145,11 +143,12 @@ def encode_service(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def fit_categories(df: DataFrame, cols: list[str] | None = None,
-                   max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+                   max_levels: int | None = None) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per categorical column, in one aggregate job.
 
-    The distinct (column, value) pairs are computed on the executors; at most
-    ``max_levels`` per column (checked with a limit) reach the driver.
+    The distinct (column, value) pairs are computed on the executors. One-hot
+    columns are part of the plan, so their levels come to the driver; a caller
+    who wants a bound gives ``max_levels``, beyond which a column is an error.
     """
     cols = [c for c in (cols or CATEGORICAL_COLS) if c in df.columns]
     if not cols:
@@ -157,12 +156,12 @@ def fit_categories(df: DataFrame, cols: list[str] | None = None,
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols
     ])).alias("p")).select("p.col", "p.val").where(F.col("val").isNotNull()).distinct()
-    rows = pairs.limit(max_levels * len(cols) + 1).collect()
+    rows = (pairs if max_levels is None else pairs.limit(max_levels * len(cols) + 1)).collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["col"]].append(r["val"])
     for c, levels in out.items():
-        if len(levels) > max_levels:
+        if max_levels is not None and len(levels) > max_levels:
             raise ValueError(f"{c}: more than {max_levels} levels; not a categorical column")
         levels.sort()
     return out

@@ -164,8 +164,9 @@ def high_risk_view(df: DataFrame, threshold: float = HIGH_RISK, p: str = SCORE_C
 
 def top_high_risk(df: DataFrame, threshold: float = HIGH_RISK, n: int = 50,
                   p: str = SCORE_COL) -> DataFrame:
-    """TOP1: the first n high-risk rows by score (desc), ties by key."""
-    return high_risk_view(df, threshold, p).orderBy(F.col(SCORE_COL).desc(), ID_COL).limit(n)
+    """TOP1: the first n high-risk rows by score (desc), ties by key, with their position."""
+    top = high_risk_view(df, threshold, p).orderBy(F.col(SCORE_COL).desc(), ID_COL).limit(n)  # n rows
+    return top.withColumn("position", F.row_number().over(W.orderBy(F.col(SCORE_COL).desc(), ID_COL)))
 
 
 def label_texts(df: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from churnlens.functions.scalars import keyed_uniform
-from churnlens.operators.prepare import apply_scaler, fit_scaler
+from churnlens.operators.prepare import fit_scaler
 from churnlens.schema import ID_COL, SCORE_COL
 
 # --- Fixed values: segment names by risk rank (English re-wording) ---
@@ -31,10 +31,10 @@ def segment_inputs(df: DataFrame, p: str = SCORE_COL) -> list[str]:
 
 
 def standardized(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Population-std scaling of the segment inputs, assembled into ``features``."""
+    """Population-std scaling of the segment inputs straight into ``features``; no input column changes."""
     stats = fit_scaler(df, cols)
-    z = apply_scaler(df, stats)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
+    scaled = [((F.col(f"`{c}`").cast("double") - F.lit(stats[c][0])) / F.lit(stats[c][1] or 1.0)) for c in cols]
+    return df.withColumn("features", array_to_vector(F.array(*scaled)))
 
 
 def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
@@ -54,8 +54,11 @@ def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(data)
         return m.summary.trainingCost, i, m
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        fits = list(pool.map(run, range(n_init)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            fits = list(pool.map(run, range(n_init)))
+    finally:
+        data.unpersist()
     cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
     out = best.transform(data).withColumnRenamed("prediction", "segment")
     return out, best

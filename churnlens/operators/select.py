@@ -39,50 +39,54 @@ def exact_kth(df: DataFrame, col: str | Column, rank_fn) -> tuple[dict[int, floa
     ``rank_fn(n)`` gives the wanted ranks once the count n is known. Returns
     ({rank: value}, n). Two passes when the column has few distinct values
     (count + sketch, then the (value, count) pairs); otherwise each further
-    round narrows (lo, hi] by about 64x.
+    round narrows the open interval (lo, hi) by about 64x. A rank that falls on
+    a probe's own rows is answered by the probe, so a value that fills most of
+    the column is never collected with its neighbours; at most about
+    ``MAX_DISTINCT_TO_DRIVER`` pairs reach the driver.
     """
     v = (F.col(col) if isinstance(col, str) else col).cast("double").alias("v")
     vals = df.select(v).where(F.col("v").isNotNull() & ~F.isnan("v"))
     probs = [(i + 1) / (N_PROBES + 1) for i in range(N_PROBES)]
-    lo = hi = None          # current interval (lo, hi]
-    below = 0               # rows <= lo
-    ranks = None
-    n_total = 0
-    while True:
+    found: dict = {}
+    n_total = None
+    todo = [(None, None, None, 0)]          # ranks (None: all), lo, hi, rows <= lo
+    while todo:
+        ranks, lo, hi, below = todo.pop()
         sub = vals
         if lo is not None:
             sub = sub.where(F.col("v") > F.lit(lo))
         if hi is not None:
-            sub = sub.where(F.col("v") <= F.lit(hi))
+            sub = sub.where(F.col("v") < F.lit(hi))
         stats = sub.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("nd"),
                         F.percentile_approx("v", probs, 10000).alias("qs")).first()
-        if ranks is None:
+        if n_total is None:
             n_total = stats["n"]
             ranks = sorted(set(rank_fn(n_total))) if n_total else []
-            if not ranks:
-                return {}, n_total
-        if stats["n"] == 0:
-            return {}, n_total
+        if not ranks or not stats["n"]:
+            continue
         if stats["nd"] <= MAX_DISTINCT_TO_DRIVER:
-            pairs = sub.groupBy("v").count().orderBy("v").collect()
-            return _walk(pairs, below, ranks), n_total
+            found |= _walk(sub.groupBy("v").count().orderBy("v").collect(), below, ranks)
+            continue
         edges = sorted(set(stats["qs"]))
-        counts = sub.agg(*[F.count_if(F.col("v") <= F.lit(e)).alias(f"c{i}")
-                           for i, e in enumerate(edges)]).first()
-        cum = [below + counts[f"c{i}"] for i in range(len(edges))]
-        new_lo, new_below = lo, below
-        for e, c in zip(edges, cum):
-            if c <= ranks[0]:
-                new_lo, new_below = e, c
-        new_hi = hi
-        for e, c in zip(edges, cum):
-            if c > ranks[-1]:
-                new_hi = e
-                break
-        if new_lo == lo and new_hi == hi:
-            pairs = sub.groupBy("v").count().orderBy("v").collect()
-            return _walk(pairs, below, ranks), n_total
-        lo, hi, below = new_lo, new_hi, new_below
+        counts = sub.agg(*[x for i, e in enumerate(edges) for x in (F.count_if(F.col("v") < F.lit(e)).alias(f"l{i}"),
+                                                                    F.count_if(F.col("v") <= F.lit(e)).alias(f"c{i}"))]).first()
+        probes = [(e, below + counts[f"l{i}"], below + counts[f"c{i}"]) for i, e in enumerate(edges)]
+        left = []
+        for r in ranks:
+            hit = next((e for e, less, upto in probes if less <= r < upto), None)
+            if hit is None:
+                left.append(r)
+            else:
+                found[r] = hit
+        # ranks between the same two probes go on together, in an interval that excludes both
+        groups: dict = {}
+        for r in left:
+            at = sum(upto <= r for _, _, upto in probes)
+            groups.setdefault(at, []).append(r)
+        for at, rs in groups.items():
+            todo.append((rs, probes[at - 1][0] if at else lo, probes[at][0] if at < len(probes) else hi,
+                         probes[at - 1][2] if at else below))
+    return found, n_total or 0
 
 
 def exact_median(df: DataFrame, col: str | Column) -> float | None:

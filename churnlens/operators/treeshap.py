@@ -109,8 +109,17 @@ def _coefficients(z: np.ndarray) -> np.ndarray:
     return out
 
 
+TABLE_DEPTH = 8             # longest path whose 2^d answers are tabulated
+TABLE_BYTES = 1 << 26       # of all tables together; beyond it paths are evaluated
+CELLS = 1 << 21             # rows x leaves x path length handled at a time
+
+
 def compile_tables(lt: dict, n_features: int) -> dict:
-    """Group leaves by path length d into dense arrays for vectorised lookup."""
+    """Group leaves by path length d into dense arrays for vectorised lookup.
+
+    Short paths get a table of their 2^d answers while all tables fit in ``TABLE_BYTES``; the others are
+    evaluated in O(d^2) products per row, leaf and feature, which needs no memory beyond the model's own size.
+    """
     groups: dict = {}
     for v, feats, lo, hi, z in lt["leaves"]:
         g = groups.setdefault(len(feats), {"v": [], "f": [], "lo": [], "hi": [], "z": []})
@@ -119,30 +128,58 @@ def compile_tables(lt: dict, n_features: int) -> dict:
         g["lo"].append(lo)
         g["hi"].append(hi)
         g["z"].append(z)
-    out = {}
-    for d, g in groups.items():
+    out, used = {}, 0
+    for d, g in sorted(groups.items()):
         if d == 0:
             continue
         n = len(g["v"])
-        v = np.array(g["v"])
-        z = np.array(g["z"]).reshape(n, d)
+        v = np.array(g["v"], dtype=float)
+        z = np.array(g["z"], dtype=float).reshape(n, d)
+        size = n * d * 8 << d
+        tab = None
+        if d <= TABLE_DEPTH and used + size <= TABLE_BYTES:
+            tab, used = _coefficients(z) * v[:, None, None], used + size
         out[d] = {"f": np.array(g["f"], dtype=int).reshape(n, d), "lo": np.array(g["lo"]).reshape(n, d),
-                  "hi": np.array(g["hi"]).reshape(n, d), "tab": _coefficients(z) * v[:, None, None]}
+                  "hi": np.array(g["hi"]).reshape(n, d), "tab": tab, "z": z, "v": v}
     return {"groups": out, "n_features": n_features, "base": lt["base"]}
 
 
+def path_values(inside: np.ndarray, z: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """phi of each path feature (n, L, d): the Shapley weights applied to the coefficients of
+    prod_{j != i} (z_j + o_j y), where o says whether the row follows the path at feature j."""
+    n, leaves, d = inside.shape
+    o = inside.astype(float)
+    weight = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
+    out = np.empty((n, leaves, d))
+    for i in range(d):
+        poly = [np.ones((n, leaves))]
+        for j in range(d):
+            if j == i:
+                continue
+            zj, oj = z[None, :, j], o[:, :, j]
+            poly = [poly[0] * zj] + [poly[k] * zj + poly[k - 1] * oj for k in range(1, len(poly))] + [poly[-1] * oj]
+        out[:, :, i] = v[None, :] * (o[:, :, i] - z[None, :, i]) * sum(w * p for w, p in zip(weight, poly))
+    return out
+
+
 def shap_matrix(x: np.ndarray, tables: dict) -> np.ndarray:
-    """phi for a batch of rows x (n, M)."""
+    """phi for a batch of rows x (n, M), a bounded number of leaves at a time."""
     n, m = x.shape
     phi = np.zeros(n * m)
     for d, g in tables["groups"].items():
-        n_leaves = g["f"].shape[0]
-        xv = x[:, g["f"]]                                   # (n, L, d)
-        o = (xv > g["lo"][None]) & (xv <= g["hi"][None])    # inside (lo, hi]
-        bits = (o * (1 << np.arange(d))[None, None, :]).sum(axis=2)      # (n, L)
-        coef = g["tab"][np.arange(n_leaves)[None, :], bits]              # (n, L, d)
-        idx = (np.arange(n)[:, None, None] * m + g["f"][None, :, :]).reshape(-1)
-        phi += np.bincount(idx, weights=coef.reshape(-1), minlength=n * m)
+        step = max(1, CELLS // max(1, n * d))
+        for at in range(0, g["f"].shape[0], step):
+            k = slice(at, at + step)
+            f = g["f"][k]
+            xv = x[:, f]                                             # (n, L, d)
+            o = (xv > g["lo"][k][None]) & (xv <= g["hi"][k][None])   # inside (lo, hi]
+            if g["tab"] is None:
+                coef = path_values(o, g["z"][k], g["v"][k])
+            else:
+                bits = (o * (1 << np.arange(d))[None, None, :]).sum(axis=2)      # (n, L)
+                coef = g["tab"][k][np.arange(len(f))[None, :], bits]             # (n, L, d)
+            idx = (np.arange(n)[:, None, None] * m + f[None, :, :]).reshape(-1)
+            phi += np.bincount(idx, weights=coef.reshape(-1), minlength=n * m)
     return phi.reshape(n, m)
 
 

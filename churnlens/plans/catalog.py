@@ -352,7 +352,7 @@ def q_class_weights(spark, sf):
 @query("linear_shap")
 def q_linear_shap(spark, sf):
     attr, _ = TB.linear_attr(spark, sf)
-    return attr
+    return explain.long_form(attr)
 
 
 @query("top_factors")
@@ -365,14 +365,14 @@ def q_top_factors(spark, sf):
 @query("global_importance")
 def q_global_importance(spark, sf):
     attr, _ = TB.linear_attr(spark, sf)
-    g = explain.global_importance(attr, 15)
+    g = explain.global_importance(explain.long_form(attr), 15)
     return g.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
 
 
 @query("factor_bars")
 def q_factor_bars(spark, sf):
     attr, _ = TB.linear_attr(spark, sf)
-    b = explain.factor_bars(explain.top_factors(attr, 5))
+    b = explain.factor_bars(attr, 5)
     return b.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "feature", "bar_pct")
 
 
@@ -395,7 +395,7 @@ def q_beeswarm(spark, sf):
 @query("factor_text")
 def q_factor_text(spark, sf):
     attr, _ = TB.linear_attr(spark, sf)
-    return explain.factor_text(explain.top_factors(attr, 5), TB.scored(spark, sf))
+    return explain.factor_text(explain.factors_array(attr, 5), TB.scored(spark, sf))
 
 
 # ================================================================ segments (given segment column)
@@ -423,7 +423,7 @@ def _tone_by_band():
 
 def _prompts(spark, sf):
     attr, _ = TB.linear_attr(spark, sf)
-    facts = explain.factors_array(explain.top_factors(attr, 5))
+    facts = explain.factors_array(attr, 5)
     return messages.retention_prompt(TB.scored(spark, sf), facts, tone=_tone_by_band())
 
 
@@ -445,6 +445,11 @@ def q_summary_prompt(spark, sf):
     return messages.summary_prompt(messages.summary_input(TB.scored(spark, sf), 0.7, 10))
 
 
+@query("summary_request")
+def q_summary_request(spark, sf):
+    return messages.request_table(messages.summary_prompt(messages.summary_input(TB.scored(spark, sf), 0.7, 10)), "summary")
+
+
 @query("request_table")
 def q_request_table(spark, sf):
     return messages.request_table(_prompts(spark, sf), "mail")
@@ -453,13 +458,13 @@ def q_request_table(spark, sf):
 @query("fallback_message")
 def q_fallback_message(spark, sf):
     r = TB.responses(spark, sf).where(F.col("error").isNotNull())
-    return r.select(ID_COL, "error", messages.fallback_message(F.col("error")).alias("message"))
+    return r.select(ID_COL, "turn", "error", messages.fallback_message(F.col("error")).alias("message"))
 
 
 @query("attach_responses")
 def q_attach_responses(spark, sf):
     j = messages.attach_responses(_prompts(spark, sf), TB.responses(spark, sf))
-    return j.select(ID_COL, "tone", "outcome", "message")
+    return j.select(ID_COL, "turn", "tone", "outcome", "message")
 
 
 @query("message_stats")
@@ -553,7 +558,7 @@ def q_embedding_knn(spark, sf):
 
 @query("similar_all_lsh")
 def q_similar_all_lsh(spark, sf):
-    r = neighbors.knn_all_lsh(TB.customer_vectors(spark, sf), k=5)
+    r = neighbors.knn_all_sorted(TB.customer_vectors(spark, sf), k=5)
     return r.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "neighbor_id", r6("distance").alias("distance"))
 
 
@@ -605,21 +610,23 @@ def q_tune_trials(spark, sf):
     prep = TB.prepared(spark, sf)
     parts = splitting.random_split(prep["train"])
     from churnlens.operators.balance import smote
-    fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), prep["features"], LABEL_COL)
+    fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), prep["features"], LABEL_COL, knn="sorted")
     valid = parts.where(F.col("part") == "valid")
-    _, trials = M.tune(fit_rows, valid, prep["features"], LABEL_COL, n_trials=4, max_iter_cap=10)
+    _, trials = M.tune(fit_rows, valid, prep["features"], LABEL_COL, n_trials=2, parallelism=2)
     return trials
 
 
 def _segmented(spark, sf):
-    sc = TB.scored(spark, sf)
-    seg, _ = segments.kmeans_segments(sc, k=4, n_init=15, seed=42)
-    return segments.name_segments(seg)
+    """k-means segments with their names and principal components, once per session and scale factor."""
+    def build():
+        seg, _ = segments.kmeans_segments(TB.scored(spark, sf), k=4, n_init=15, seed=42)
+        return segments.pca_2d(segments.name_segments(seg)).drop("features")
+    return TB.materialized(spark, sf, "kmeans", build)
 
 
 @query("kmeans_segments")
 def q_kmeans_segments(spark, sf):
-    return _segmented(spark, sf).select(ID_COL, "segment", "segment_name", SCORE_COL)
+    return _segmented(spark, sf).select(ID_COL, "segment", "segment_name", SCORE_COL, *segments.SEGMENT_COLUMNS)
 
 
 @query("pca_2d")
@@ -631,9 +638,62 @@ def q_pca_2d(spark, sf):
 
 @query("segment_points")
 def q_segment_points(spark, sf):
-    seg = _segmented(spark, sf)
-    return segments.segment_points(segments.pca_2d(seg.drop("segment_name")).join(
-        seg.select(ID_COL, "segment_name"), ID_COL))
+    return segments.segment_points(_segmented(spark, sf))
+
+
+@query("kmeans_profiles")
+def q_kmeans_profiles(spark, sf):
+    p = segments.segment_profiles(_segmented(spark, sf))
+    return p.select("segment_name", r6("mean_risk").alias("mean_risk"), "n_customers",
+                    *[r6(f"mean_{c}").alias(f"mean_{c}") for c in segments.SEGMENT_COLUMNS])
+
+
+@query("kmeans_inputs")
+def q_kmeans_inputs(spark, sf):
+    """The columns that k-means carries through, which must be the scored table's."""
+    return _segmented(spark, sf).select(ID_COL, SCORE_COL, *segments.SEGMENT_COLUMNS)
+
+
+@query("load_customers")
+def q_load_customers(spark, sf):
+    """SRC1 from a CSV with its columns in reverse order and one that is not declared."""
+    raw = TB.customers(spark, sf)
+    path = scratch_path(spark, "customers_reordered")
+    io.write_csv(raw.select(*[F.col(c) for c in reversed(raw.columns)], F.length(ID_COL).alias("id_length")), path)
+    back = io.load_customers(spark, path, "csv")
+    return back.select(*raw.columns, "id_length")
+
+
+@query("top_high_risk")
+def q_top_high_risk(spark, sf):
+    """TOP1: the first 50 rows of the high-risk view, with their rank."""
+    return risk.top_high_risk(TB.scored(spark, sf), 0.7, 50)
+
+
+@query("importance_for_chart")
+def q_importance_for_chart(spark, sf):
+    """TOP3: the 12 most important features in chart order."""
+    attr, _ = TB.linear_attr(spark, sf)
+    g = explain.importance_for_chart(explain.long_form(attr), 12)
+    return g.select("position", "feature", r6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@query("attach_scores")
+def q_attach_scores(spark, sf):
+    """JON2: scores attached to the raw table by key."""
+    sc = TB.scored(spark, sf).select(ID_COL, SCORE_COL)
+    return risk.attach_scores(TB.customers(spark, sf), sc).select(ID_COL, "Contract", SCORE_COL)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """SNK4: rows whose score changes when the model is saved and loaded (none)."""
+    model, prep = TB.trained(spark, sf)
+    path = scratch_path(spark, "model")
+    io.save_model(model, path)
+    a, b = (M.score(m, prep["test"]).select(ID_COL, SCORE_COL) for m in (model, io.load_model(path)))
+    same = a.join(b.withColumnRenamed(SCORE_COL, "_again"), ID_COL)
+    return same.select(ID_COL, (F.col(SCORE_COL) == F.col("_again")).alias("same_score"))
 
 
 @query("tree_shap")

@@ -1,31 +1,31 @@
 """End-to-end jobs: preparation (PIP1) and training (PIP2).
 
 Each is a driver function composing lazy DataFrame operators; the encoded
-table is persisted once (memory and disk; lost executors recompute from
-lineage) because the split, the scaler and SMOTE read it several times.
+table is written once to the shared checkpoint folder, because the split, the
+scaler and SMOTE read it several times.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.operators import evaluate, explain, model as M, prepare, profile, split as splitting, treeshap
 from churnlens.operators.balance import smote
 from churnlens.schema import ID_COL, LABEL_COL, SEED, TEST_SIZE
+from churnlens.session import scratch_path
 from churnlens.sources import io
 
 
 def prepare_data(df_raw: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED,
-                 use_smote: bool = True, out_dir: str | None = None, fit_on: str = "all") -> dict:
+                 use_smote: bool = True, out_dir: str | None = None, fit_on: str = "all", knn: str = "sorted") -> dict:
     """PIP1: clean -> encode -> split -> test ids -> scale (fit on train, before
     balancing) -> SMOTE on train -> optional write. Returns tables and state.
 
     ``fit_on='all'`` fits the fill median on every row, as the reference does
     (test rows leak into it); ``fit_on='train'`` fits it on the training rows
     only. The split depends on the key and label alone, so it is known before
-    cleaning.
+    cleaning. ``knn`` is SMOTE's neighbour mode.
     """
     medians = None
     if fit_on == "train":
@@ -35,19 +35,20 @@ def prepare_data(df_raw: DataFrame, test_size: float = TEST_SIZE, seed: int = SE
         medians = {"TotalCharges": prepare.fit_median(train_raw, "TotalCharges")}
     cleaned, medians = prepare.clean(df_raw, medians)
     cats = prepare.fit_categories(cleaned)
-    enc = prepare.encode_features(cleaned, cats).persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(df_raw.sparkSession, "encoded")
+    prepare.encode_features(cleaned, cats).write.parquet(path)
+    enc = df_raw.sparkSession.read.parquet(path)
     feats = prepare.encoded_feature_names(enc)
     sp = splitting.stratified_split(enc, LABEL_COL, test_size, seed)
     stats = prepare.fit_scaler(sp.where(F.col("split") == "train"))
     scaled = prepare.apply_scaler(sp, stats)
     train = scaled.where(F.col("split") == "train")
     test = scaled.where(F.col("split") == "test")
-    train_bal = smote(train, feats, LABEL_COL, k=5, seed=seed, knn="auto") if use_smote else \
+    train_bal = smote(train, feats, LABEL_COL, k=5, seed=seed, knn=knn) if use_smote else \
         train.select(ID_COL, LABEL_COL, F.lit(0).alias("is_synthetic"), *[F.col(f"`{f}`") for f in feats])
     if use_smote:
         # the balanced table is the end of a long plan (kNN, copies): write it once to
         # the shared checkpoint folder so training and counts read it, not recompute it
-        from churnlens.session import scratch_path
         path = scratch_path(df_raw.sparkSession, "train-balanced")
         train_bal.write.mode("overwrite").parquet(path)
         train_bal = df_raw.sparkSession.read.parquet(path)
@@ -68,7 +69,7 @@ def prepare_counts(prep: dict) -> DataFrame:
 
 
 def train_job(spark: SparkSession, path: str, out_dir: str | None = None, optimize: bool = False,
-              fmt: str = "parquet", n_trials: int = 50, max_iter_cap: int | None = M.DEFAULT_MAX_ITER,
+              fmt: str = "parquet", n_trials: int = 50, params: dict | None = None,
               explain_rows: int = 200) -> dict:
     """PIP2: load -> profile -> prepare -> (tune) -> train -> evaluate -> save ->
     explain a keyed sample -> top importances."""
@@ -76,15 +77,14 @@ def train_job(spark: SparkSession, path: str, out_dir: str | None = None, optimi
     churn = profile.churn_rate(raw).first()["churn_rate"]
     prep = prepare_data(raw)
     feats = prep["features"]
-    params = None
     trials = None
     if optimize:
         # validate on unbalanced rows (keyed 20 % of train), balance only the fitting part
         parts = splitting.random_split(prep["train"], TEST_SIZE, SEED)
-        fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), feats, LABEL_COL)
+        fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), feats, LABEL_COL, knn="sorted")
         valid = parts.where(F.col("part") == "valid")
-        params, trials = M.tune(fit_rows, valid, feats, LABEL_COL, n_trials=n_trials, max_iter_cap=max_iter_cap)
-    model = M.train(prep["train_balanced"], feats, LABEL_COL, params, max_iter_cap=max_iter_cap)
+        params, trials = M.tune(fit_rows, valid, feats, LABEL_COL, n_trials=n_trials)
+    model = M.train(prep["train_balanced"], feats, LABEL_COL, params)
     scored = M.score(model, prep["test"])
     metrics = evaluate.evaluate(scored, LABEL_COL)
     if out_dir:

@@ -7,6 +7,17 @@ Spark results one for one.
 
 from __future__ import annotations
 
+from churnlens.functions.scalars import SPACE
+from churnlens.operators import messages as TEXT
+from churnlens.operators.neighbors import BLOCK_ROWS, DIRECTIONS, direction
+from churnlens.schema import CUSTOMER_SCHEMA
+from churnlens.sources.fixture import linear_weights
+
+
+def strip(e: str) -> str:
+    return f"regexp_replace({e}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 # Shared CTE chain. Names: customers (raw), cleaned (numeric TotalCharges,
 # median-filled), scored (rule score as churn_proba), encoded (26 features),
 # hsplit (stratified split by keyed hash).
@@ -296,21 +307,16 @@ register("class_weights", """SELECT label, count(*) AS n,
 
 # ---------------------------------------------------------------- batch 2: attributions
 
-ATTR = """lin AS (SELECT customerID, tenure, MonthlyCharges, "Contract_Month-to-month" AS c1,
-  "Contract_One year" AS c2, "Contract_Two year" AS c3 FROM encoded),
-means AS (SELECT avg(CAST(tenure AS DOUBLE)) AS mt, avg(MonthlyCharges) AS mm, avg(CAST(c1 AS DOUBLE)) AS m1,
-  avg(CAST(c2 AS DOUBLE)) AS m2, avg(CAST(c3 AS DOUBLE)) AS m3 FROM lin),
-base AS (SELECT -0.11::DOUBLE * mt + 0.02::DOUBLE * mm + 0.9::DOUBLE * m1 + 0.2::DOUBLE * m2 + -0.6::DOUBLE * m3 AS base_value FROM means),
-attr AS (
-  SELECT customerID, 'tenure' AS feature, CAST(tenure AS DOUBLE) AS feature_value,
-         round(-0.11::DOUBLE * (CAST(tenure AS DOUBLE) - mt), 6) AS shap_value FROM lin, means
-  UNION ALL SELECT customerID, 'MonthlyCharges', MonthlyCharges, round(0.02::DOUBLE * (MonthlyCharges - mm), 6) FROM lin, means
-  UNION ALL SELECT customerID, 'Contract_Month-to-month', CAST(c1 AS DOUBLE), round(0.9::DOUBLE * (CAST(c1 AS DOUBLE) - m1), 6) FROM lin, means
-  UNION ALL SELECT customerID, 'Contract_One year', CAST(c2 AS DOUBLE), round(0.2::DOUBLE * (CAST(c2 AS DOUBLE) - m2), 6) FROM lin, means
-  UNION ALL SELECT customerID, 'Contract_Two year', CAST(c3 AS DOUBLE), round(-0.6::DOUBLE * (CAST(c3 AS DOUBLE) - m3), 6) FROM lin, means),
+WEIGHTS = linear_weights(FEATURES)
+ATTR = ("means AS (SELECT " + ", ".join(f'avg(CAST("{f}" AS DOUBLE)) AS "{f}"' for f in FEATURES) + " FROM encoded),\n"
+        "base AS (SELECT " + " + ".join(f'{w!r}::DOUBLE * "{f}"' for f, w in WEIGHTS.items()) + " AS base_value FROM means),\n"
+        "attr AS (" + " UNION ALL ".join(
+            f"SELECT e.customerID, '{f}' AS feature, CAST(e.\"{f}\" AS DOUBLE) AS feature_value, "
+            f"round({w!r}::DOUBLE * (CAST(e.\"{f}\" AS DOUBLE) - m.\"{f}\"), 6) AS shap_value FROM encoded e, means m"
+            for f, w in WEIGHTS.items()) + """),
 top AS (SELECT customerID, row_number() OVER (PARTITION BY customerID ORDER BY abs(shap_value) DESC, feature) AS rank,
   feature, shap_value, CASE WHEN shap_value > 0 THEN 'raises risk' ELSE 'lowers risk' END AS direction
-  FROM attr QUALIFY rank <= 5)"""
+  FROM attr QUALIFY rank <= 5)""")
 register("linear_shap", "SELECT * FROM attr", ATTR)
 register("top_factors", "SELECT * FROM top", ATTR)
 register("global_importance", "SELECT feature, round(avg(abs(shap_value)), 6) AS mean_abs_shap FROM attr "
@@ -372,42 +378,28 @@ register("segment_profiles", """SELECT segment, segment_name, round(avg(churn_pr
 # ---------------------------------------------------------------- batch 2: messages
 
 TONE = ("CASE WHEN churn_proba >= 0.7::DOUBLE THEN 'warm' WHEN churn_proba >= 0.4::DOUBLE THEN 'formal' ELSE 'short' END")
-TONE_NOTE = ("CASE tone WHEN 'warm' THEN 'Use a warm, friendly and personal tone.' "
-             "WHEN 'formal' THEN 'Use a professional, corporate tone.' "
-             "WHEN 'short' THEN 'Keep it very short: at most a two-sentence opening and one paragraph with the offer.' "
-             "ELSE 'Use a warm, friendly and personal tone.' END")
+TONE_NOTE = "CASE tone " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TEXT.TONES.items()) + f" ELSE '{TEXT.TONES[TEXT.DEFAULT_TONE]}' END"
 PROMPTS = ATTR + f""",
-flines AS (SELECT customerID, string_agg('  - ' || feature || ': ' || direction || ' (impact: ' ||
-  {fixed('abs(shap_value)', 3)} || ')', chr(10) ORDER BY rank) AS lines FROM top GROUP BY customerID),
+flines AS (SELECT customerID, string_agg('driver.' || CAST(rank AS VARCHAR) || '=' || feature || '; ' || direction || '; ' ||
+  {fixed('abs(shap_value)', 3)} || chr(10), '' ORDER BY rank) AS lines FROM top GROUP BY customerID),
 ptone AS (SELECT s.*, {TONE} AS tone, f.lines FROM scored s LEFT JOIN flines f ON f.customerID = s.customerID),
 prompts AS (SELECT customerID, tone,
-  'Write a personalised win-back email for the customer below.' || chr(10) || chr(10) || 'CUSTOMER:' || chr(10) ||
-  '- Name: Valued customer' || chr(10) || '- Tenure: ' || coalesce(CAST(tenure AS VARCHAR), 'unknown') || ' months' || chr(10) ||
-  '- Monthly charge: ' || coalesce({fixed('MonthlyCharges', 2)}, 'unknown') || chr(10) ||
-  '- Contract: ' || coalesce(Contract, 'unknown') || chr(10) ||
-  '- Churn risk score: ' || coalesce({pct('churn_proba')}, 'unknown') || chr(10) || chr(10) ||
-  'CHURN RISK FACTORS (model attributions):' || chr(10) || coalesce(lines, '') || chr(10) || chr(10) ||
-  'TONE: ' || {TONE_NOTE} || chr(10) || chr(10) ||
-  'Write only the email text, subject line included. Add no other explanation.' AS user_prompt FROM ptone)"""
+  '{TEXT.PROMPT_HEAD}' || chr(10) || 'score=' || coalesce({pct('churn_proba')}, 'n/a') || chr(10) ||
+  'contract=' || coalesce(Contract, 'n/a') || chr(10) || 'monthly=' || coalesce({fixed('MonthlyCharges', 2)}, 'n/a') || chr(10) ||
+  'tenure_months=' || coalesce(CAST(tenure AS VARCHAR), 'n/a') || chr(10) || coalesce(lines, '') ||
+  'style=' || {TONE_NOTE} || chr(10) || 'to=customer' || chr(10) || '{TEXT.PROMPT_TAIL}' AS user_prompt FROM ptone)"""
 register("retention_prompt", "SELECT * FROM prompts", PROMPTS)
 TOP10 = """hr AS (SELECT * FROM scored WHERE churn_proba >= 0.7::DOUBLE),
 t10 AS (SELECT CAST(row_number() OVER (ORDER BY churn_proba DESC, customerID) AS INTEGER) AS rank, customerID, churn_proba,
   tenure, MonthlyCharges FROM hr QUALIFY rank <= 10)"""
 register("summary_input", "SELECT rank, customerID, churn_proba, tenure, MonthlyCharges, "
                           "(SELECT count(*) FROM hr) AS n_high FROM t10", TOP10)
-register("summary_prompt", f"""SELECT (SELECT count(*) FROM hr) AS n_high,
-  'Prepare a short summary report for management on the ' || CAST((SELECT count(*) FROM hr) AS VARCHAR) ||
-  ' high-risk customers below.' || chr(10) || 'Point out common risk patterns and propose 2-3 actions.' || chr(10) || chr(10) ||
-  'HIGH-RISK CUSTOMERS:' || chr(10) ||
-  coalesce((SELECT string_agg('  ' || CAST(rank AS VARCHAR) || '. Customer ID: ' || customerID || ' | Risk: ' ||
-     {pct('churn_proba')} || ' | Tenure: ' || CAST(tenure AS VARCHAR) || ' months | Monthly: ' ||
-     {fixed('MonthlyCharges', 2)}, chr(10) ORDER BY rank) FROM t10), '') ||
-  chr(10) || chr(10) || 'Write the summary in 3-4 paragraphs.' AS user_prompt""", TOP10)
-MAIL_SYSTEM = ("You are an experienced customer-experience specialist at a telecom company. You write personalised, "
-               "empathetic win-back emails with concrete solutions for customers an analysis marked as likely to leave.\n"
-               "Rules:\n- Greet the customer by name when given\n- Acknowledge the problem, apologise and offer a solution\n"
-               "- At most 2-3 paragraphs\n- Include one concrete offer (discount, plan upgrade, priority support)\n"
-               "- No jargon\n- Do not manipulate; be honest and transparent")
+SUMMARY = f"""SELECT (SELECT count(*) FROM hr) AS n_high,
+  '{TEXT.SUMMARY_HEAD}' || chr(10) || 'accounts=' || CAST((SELECT count(*) FROM hr) AS VARCHAR) || chr(10) ||
+  coalesce((SELECT string_agg('account.' || CAST(rank AS VARCHAR) || '=' || customerID || '; tenure ' || CAST(tenure AS VARCHAR) ||
+     '; monthly ' || {fixed('MonthlyCharges', 2)} || '; score ' || {pct('churn_proba')} || chr(10), '' ORDER BY rank) FROM t10), '') ||
+  '{TEXT.SUMMARY_TAIL}' AS user_prompt"""
+register("summary_prompt", SUMMARY, TOP10)
 
 
 def lit(s: str) -> str:
@@ -416,42 +408,38 @@ def lit(s: str) -> str:
     return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
 
 
-register("request_table", f"SELECT customerID, tone, user_prompt, 'mail' AS job, {lit(MAIL_SYSTEM)} AS system_prompt, "
+register("request_table", f"SELECT customerID, tone, user_prompt, 'mail' AS job, {lit(TEXT.MAIL_SYSTEM_PROMPT)} AS system_prompt, "
                           "CAST(500 AS INTEGER) AS max_tokens, 0.7::DOUBLE AS temperature FROM prompts", PROMPTS)
-FALLBACK_HEAD = "[Message service unavailable - template message]\n\n"
-FALLBACK_TAIL = ("\n\n---\n\nSubject: We do not want to lose you - a special offer\n\n"
-                 "Dear valued customer,\n\n"
-                 "Thank you for being with us. We want to make your experience better, and we know recent months were not "
-                 "always smooth, so we prepared an offer for you.\n"
-                 "For your next three billing periods we would like to give you a 20% discount and priority technical "
-                 "support. Call our customer service or reply to this email to accept it.\n\n"
-                 "Kind regards,\nCustomer Experience Team")
+FALLBACK_HEAD, FALLBACK_TAIL = TEXT.FALLBACK_TEMPLATE.split("{detail}")
+register("summary_request", f"SELECT n_high, user_prompt, 'summary' AS job, {lit(TEXT.SUMMARY_SYSTEM_PROMPT)} AS system_prompt, "
+                            f"CAST(800 AS INTEGER) AS max_tokens, 0.5::DOUBLE AS temperature FROM ({SUMMARY})", TOP10)
+
+
 def reason(e: str) -> str:
     return (f"CASE WHEN contains({e}, 'API key') OR contains(lower({e}), 'authentication') "
-            "THEN 'Key error: please check the service key.' "
-            f"WHEN contains(lower({e}), 'rate limit') THEN 'Rate limit reached: please wait a few seconds and try again.' "
-            f"ELSE 'An error occurred: ' || {e} END")
+            f"THEN '{TEXT.ERROR_KEY}' WHEN contains(lower({e}), 'rate limit') THEN '{TEXT.ERROR_RATE}' "
+            f"ELSE '{TEXT.ERROR_OTHER}' || {e} END")
 
 
 def fallback(e: str) -> str:
     return f"({lit(FALLBACK_HEAD)} || {reason(e)} || {lit(FALLBACK_TAIL)})"
 
 
-RESP = """resp AS (SELECT 'Customer#' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS customerID,
+RESP = """resp AS (SELECT 'Customer#' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS customerID, turn,
   CASE conv_id % 5 WHEN 1 THEN 'Invalid API key provided' WHEN 2 THEN 'Authentication failed for this request'
     WHEN 3 THEN 'Rate Limit exceeded, retry later' WHEN 4 THEN 'Connection timed out' END AS error, text
-  FROM conversations WHERE role = 'assistant' AND turn = 1),
-resp2 AS (SELECT customerID, CASE WHEN error IS NULL THEN text END AS response, error FROM resp)"""
-register("fallback_message", "SELECT customerID, error, " + fallback("error")
+  FROM conversations WHERE role = 'assistant'),
+resp2 AS (SELECT customerID, turn, CASE WHEN error IS NULL THEN text END AS response, error FROM resp)"""
+register("fallback_message", "SELECT customerID, turn, error, " + fallback("error")
          + " AS message FROM resp2 WHERE error IS NOT NULL", RESP)
-register("attach_responses", "SELECT p.customerID, p.tone, CASE WHEN r.response IS NOT NULL THEN 'ok' ELSE 'fallback' END AS outcome, "
-         "CASE WHEN r.response IS NOT NULL THEN regexp_replace(r.response, '^\\s+|\\s+$', '', 'g') ELSE "
+register("attach_responses", "SELECT p.customerID, r.turn, p.tone, CASE WHEN r.response IS NOT NULL THEN 'ok' ELSE 'fallback' END AS outcome, "
+         "CASE WHEN r.response IS NOT NULL THEN " + strip("r.response") + " ELSE "
          + fallback("coalesce(r.error, 'no response')")
          + " END AS message FROM prompts p LEFT JOIN resp2 r ON r.customerID = p.customerID", PROMPTS + ",\n" + RESP)
-WORDS = "len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '\\s+'), lambda x: x <> ''))"
+WORDS = f"len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> ''))"
 register("message_stats", f"""SELECT conv_id, turn, CAST({WORDS} AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars,
   CAST(greatest(1, round_even({WORDS} / 200.0::DOUBLE, 0)) AS INTEGER) AS read_minutes FROM conversations""")
-register("trim_response", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS response FROM conversations")
+register("trim_response", "SELECT conv_id, turn, " + strip("text") + " AS response FROM conversations")
 
 # ---------------------------------------------------------------- batch 2: storage round trips
 
@@ -519,3 +507,37 @@ syn AS (SELECT 'syn-' || sy.customerID || '-' || CAST(sy.i AS VARCHAR) AS custom
 allr AS (SELECT customerID, label, 0 AS is_synthetic, vec FROM tr UNION ALL SELECT * FROM syn)"""
 register("smote", "SELECT customerID, label, is_synthetic, " + ", ".join(
     f'round(vec[{i + 1}], 6) AS "{f}"' for i, f in enumerate(FEATURES)) + " FROM allr", SMOTE)
+
+# ---------------------------------------------------------------- batch 4: further keys
+
+register("load_customers", "SELECT *, CAST(length(customerID) AS INTEGER) AS id_length FROM customers")
+register("top_high_risk", f"""SELECT customerID, tenure, MonthlyCharges, TotalCharges, churn_proba, {BAND} AS risk_band,
+  label AS true_label, {pct('churn_proba')} AS proba_text,
+  CAST(row_number() OVER (ORDER BY churn_proba DESC, customerID) AS INTEGER) AS position
+  FROM scored WHERE churn_proba >= 0.7::DOUBLE QUALIFY position <= 50""")
+register("importance_for_chart", "SELECT CAST(row_number() OVER (ORDER BY m, feature DESC) AS INTEGER) AS position, feature, "
+                                 "round(m, 6) AS mean_abs_shap FROM (SELECT feature, avg(abs(shap_value)) AS m FROM attr "
+                                 "GROUP BY feature ORDER BY m DESC, feature LIMIT 12)", ATTR)
+register("attach_scores", "SELECT c.customerID, c.Contract, s.churn_proba FROM customers c JOIN scored s ON s.customerID = c.customerID")
+register("kmeans_inputs", "SELECT customerID, churn_proba, tenure, MonthlyCharges, TotalCharges FROM scored")
+register("model_roundtrip", "SELECT customerID, true AS same_score FROM hsplit WHERE split = 'test'")
+register("prepare_counts", """SELECT * FROM (SELECT unnest(['raw', 'cleaned', 'encoded']) AS stage, (SELECT count(*) FROM customers) AS n)
+  UNION ALL SELECT split, count(*) FROM hsplit GROUP BY split
+  UNION ALL SELECT 'train_balanced', 2 * max(n) FROM (SELECT count(*) AS n FROM hsplit WHERE split = 'train' GROUP BY label)""")
+TYPES = {f.name: f.dataType.simpleString() for f in CUSTOMER_SCHEMA}
+register("column_types", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype, " + (f"'{t}'" if t != "string" else
+    f"CASE WHEN count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST(trim({c}) AS DOUBLE) IS NULL) > 0 THEN 'string' "
+    f"WHEN count(*) FILTER (WHERE TRY_CAST(trim({c}) AS DOUBLE) <> floor(TRY_CAST(trim({c}) AS DOUBLE))) > 0 THEN 'double' ELSE 'int' END")
+    + " AS inferred FROM " + ("customers" if t == "string" else "(SELECT 1)") for c, t in TYPES.items()))
+PLACED = VECS + ",\n" + "pl AS (" + " UNION ALL ".join(
+    f"SELECT {t} AS t, customerID, vec, round(list_reduce(list_transform(list_zip(vec, "
+    f"[{', '.join(f'{x!r}::DOUBLE' for x in direction(t, len(FEATURES)))}]), lambda p: p[1] * p[2]), lambda acc, x: acc + x), 6) AS proj FROM vecs"
+    for t in range(DIRECTIONS)) + f"""),
+blk AS (SELECT t, customerID, vec, (row_number() OVER (PARTITION BY t ORDER BY proj, customerID) - 1) // {BLOCK_ROWS} AS b FROM pl),
+cand AS (SELECT DISTINCT a.customerID, c.customerID AS neighbor_id FROM blk a JOIN blk c
+  ON a.t = c.t AND c.b BETWEEN a.b - 1 AND a.b + 1 AND a.customerID <> c.customerID)"""
+register("similar_all_lsh", f"""SELECT customerID, rank, neighbor_id, round(d, 6) AS distance FROM (
+  SELECT p.customerID, p.neighbor_id, {dist('a.vec', 'b.vec')} AS d,
+    row_number() OVER (PARTITION BY p.customerID ORDER BY {dist('a.vec', 'b.vec')}, p.neighbor_id) AS rank
+  FROM cand p JOIN vecs a ON a.customerID = p.customerID JOIN vecs b ON b.customerID = p.neighbor_id) WHERE rank <= 5""", PLACED)

@@ -63,23 +63,24 @@ def scaled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
 
 
 def linear_attr(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
-    """Closed-form attributions of the rule score's margin over the encoded columns."""
+    """Closed-form attributions of a linear margin over all encoded columns: customerID, ``attrs``."""
     from churnlens.operators.explain import linear_shap
     from churnlens.sources.fixture import linear_weights
-    attr, base = linear_shap(encoded(spark, sf), linear_weights())
+    enc = encoded(spark, sf)
+    attr, base = linear_shap(enc, linear_weights(prepare.encoded_feature_names(enc)))
     return attr, float(base.first()["base_value"])
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Message responses derived from ``conversations``: the first assistant turn of a
+    """Message responses derived from ``conversations``: each assistant turn of a
     conversation answers the customer with the same number; some carry an error instead."""
     from churnlens.sources.fixture import table
-    conv = table(spark, sf, "conversations").where((F.col("role") == "assistant") & (F.col("turn") == 1))
+    conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     err = (F.when(F.col("conv_id") % 5 == 1, F.lit("Invalid API key provided"))
            .when(F.col("conv_id") % 5 == 2, F.lit("Authentication failed for this request"))
            .when(F.col("conv_id") % 5 == 3, F.lit("Rate Limit exceeded, retry later"))
            .when(F.col("conv_id") % 5 == 4, F.lit("Connection timed out")))
-    return conv.select(F.concat(F.lit("Customer#"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias(ID_COL),
+    return conv.select(F.concat(F.lit("Customer#"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias(ID_COL), "turn",
                        F.when(err.isNull(), F.col("text")).alias("response"), err.alias("error"))
 
 

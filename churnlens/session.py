@@ -41,13 +41,17 @@ def get_session(master: str | None = None, app: str = "churnlens",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster); only when it is
-    unset, as in local tests, a fresh folder is created and registered.
+    Read from ``spark.checkpoint.dir``, which the cluster sets. Where it is unset, a local
+    master gets a fresh folder; any other master is an error, because executors on several
+    machines could not read back what each writes to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="churnlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -17,15 +17,24 @@ STATS_SCHEMA = T.StructType([T.StructField("column", T.StringType()), T.StructFi
                              T.StructField("std", T.DoubleType()), T.StructField("median", T.DoubleType())])
 
 
+def by_name(df: DataFrame, schema: T.StructType = CUSTOMER_SCHEMA) -> DataFrame:
+    """Declared columns cast to their types, found by name in any order; all other columns as they are."""
+    declared = {f.name: f.dataType for f in schema}
+    return df.select(*[F.col(f"`{c}`").cast(declared[c]).alias(c) if c in declared else F.col(f"`{c}`") for c in df.columns])
+
+
 def load_customers(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType | None = CUSTOMER_SCHEMA) -> DataFrame:
-    """SRC1: read the customer table; a missing path and fewer than 5 columns are errors."""
+    """SRC1: read the customer table by column name; columns beyond the declared ones are passed through.
+
+    A missing path, and a file of fewer than 5 columns, are errors. A CSV value that does not fit its declared
+    type is an error when it is read (ANSI casts).
+    """
     try:
         if fmt == "csv":
-            reader = spark.read.option("header", True).option("mode", "FAILFAST")
-            df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+            df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)  # strings; names from the header
         else:
-            df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
+            df = spark.read.parquet(path)
         cols = df.columns
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
@@ -33,7 +42,7 @@ def load_customers(spark: SparkSession, path: str, fmt: str = "parquet",
         raise
     if len(cols) < MIN_COLUMNS:
         raise ValueError(f"too few columns ({len(cols)}) in {path}: not a customer table")
-    return df
+    return by_name(df, schema) if schema is not None else df
 
 
 def write_processed(df: DataFrame, path: str) -> None:
@@ -77,12 +86,13 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """SNK4: a missing model is an error."""
+    """SNK4: a missing model is an error; any other failure to load it is raised as it is."""
     from pyspark.ml import PipelineModel
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001 - Spark raises several types for a missing path
-        raise FileNotFoundError(f"model not found: {path}") from e
+    spark = SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"model not found: {path}")
+    return PipelineModel.load(path)
 
 
 def export_high_risk(df: DataFrame, path: str, threshold: float = HIGH_RISK, p: str = SCORE_COL) -> None:

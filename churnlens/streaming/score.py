@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from churnlens.functions.scalars import risk_band
 from churnlens.operators.model import score
 from churnlens.operators.prepare import Fitted, encode_with
-from churnlens.schema import CUSTOMER_SCHEMA, ID_COL, SCORE_COL
+from churnlens.sources.io import by_name
+from churnlens.schema import ID_COL, SCORE_COL
 
 
 def scoring_frame(df: DataFrame, fitted: Fitted, model) -> DataFrame:
@@ -27,8 +28,10 @@ def scoring_frame(df: DataFrame, fitted: Fitted, model) -> DataFrame:
 def score_stream(spark: SparkSession, in_dir: str, fitted: Fitted, model, out_dir: str, checkpoint: str,
                  fmt: str = "parquet", available_now: bool = True):
     """Start the stream; with ``available_now`` it processes what is there and stops."""
-    reader = spark.readStream.schema(CUSTOMER_SCHEMA).option("maxFilesPerTrigger", 64)
-    src = reader.parquet(in_dir) if fmt == "parquet" else reader.option("header", True).csv(in_dir)
+    # the files' own columns, in their order; declared ones are found by name
+    still = spark.read.option("header", True).csv(in_dir) if fmt == "csv" else spark.read.parquet(in_dir)
+    reader = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64)
+    src = by_name(reader.parquet(in_dir) if fmt == "parquet" else reader.option("header", True).csv(in_dir))
     q = (scoring_frame(src, fitted, model).writeStream.format("parquet")
          .option("checkpointLocation", checkpoint).option("path", out_dir).outputMode("append"))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
@@ -41,6 +44,3 @@ def run_to_completion(spark: SparkSession, in_dir: str, fitted: Fitted, model, o
     query.awaitTermination()
     return spark.read.parquet(out_dir)
 
-
-def batch_equivalent(df: DataFrame, fitted: Fitted, model) -> DataFrame:
-    return scoring_frame(df, fitted, model).withColumn(SCORE_COL, F.col(SCORE_COL))

@@ -30,6 +30,6 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ["customer", "orders", "embeddings", "conversations"]:
+    for t in ["customer", "orders", "embeddings", "conversations", "documents"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con

@@ -97,8 +97,9 @@ def test_smote_small_minority_uses_fewer_neighbours(spark):
 
 def test_tied_and_zero_attributions(spark):
     from churnlens.operators.explain import top_factors
-    attr = spark.createDataFrame([("a", "f2", 1.0, 0.5), ("a", "f1", 1.0, -0.5), ("a", "f3", 0.0, 0.0)],
-                                 "customerID string, feature string, feature_value double, shap_value double")
+    from churnlens.operators.explain import ATTRS
+    attr = spark.createDataFrame([("a", [("f2", 1.0, 0.5), ("f1", 1.0, -0.5), ("f3", 0.0, 0.0)])],
+                                 f"customerID string, attrs {ATTRS}")
     rows = top_factors(attr, 3).orderBy("rank").collect()
     assert [r.feature for r in rows] == ["f1", "f2", "f3"]
     assert rows[2].direction == "lowers risk" and rows[1].direction == "raises risk"
@@ -141,8 +142,53 @@ def test_loader_guards(spark, tmp_path):
         load_customers(spark, str(tmp_path / "missing.csv"), "csv")
     p = tmp_path / "thin.csv"
     p.write_text("a,b\n1,2\n")
-    with pytest.raises(ValueError):
-        load_customers(spark, str(p), "csv", schema=None)
+    for schema in ({}, {"schema": None}):
+        with pytest.raises(ValueError):
+            load_customers(spark, str(p), "csv", **schema)
+
+
+def test_loader_reads_by_name(spark, tmp_path):
+    from churnlens.sources.io import load_customers
+    p = tmp_path / "swapped.csv"
+    p.write_text("Dependents,note,Partner,tenure,customerID,MonthlyCharges\nNo,x y,Yes,7,c1,20.5\n")
+    df = load_customers(spark, str(p), "csv")
+    assert df.first().asDict() == {"Dependents": "No", "note": "x y", "Partner": "Yes", "tenure": 7, "customerID": "c1",
+                                   "MonthlyCharges": 20.5}
+    df.write.parquet(str(tmp_path / "p"))
+    assert load_customers(spark, str(tmp_path / "p")).columns == df.columns
+    bad = tmp_path / "bad.csv"
+    bad.write_text("customerID,Partner,tenure,Dependents,Churn\nc1,Yes,seven,No,No\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        load_customers(spark, str(bad), "csv").collect()
+
+
+def test_unicode_white_space(spark):
+    from churnlens.operators.messages import message_stats, trim_response
+    nb, em = chr(0xA0), chr(0x2003)
+    text = f"{nb}\n two{em}words {nb}"
+    r = message_stats(spark.createDataFrame([(text,)], "message string")).first()
+    assert r.words == len(text.split()) == 2
+    assert trim_response(spark.createDataFrame([(text,)], "response string")).first().response == text.strip()
+
+
+def test_only_local_masters_get_a_local_folder():
+    import types
+
+    from churnlens.session import checkpoint_root
+    ctx = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=ctx)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(session)
+
+
+def test_missing_model_is_told_from_a_broken_one(spark, tmp_path):
+    from churnlens.sources.io import load_model
+    with pytest.raises(FileNotFoundError):
+        load_model(str(tmp_path / "none"))
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception) as e:
+        load_model(str(tmp_path / "broken"))
+    assert not isinstance(e.value, FileNotFoundError)
 
 
 def test_csv_round_trip(spark, tmp_path):

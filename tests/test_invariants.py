@@ -256,16 +256,17 @@ def test_metamorphic_sample_per_band(spark):
     assert sorted(map(tuple, a.values)) == sorted(map(tuple, b.values))
 
 
-def test_tune_best_is_max_of_trials(spark):
+def test_tune_best_is_max_of_trials(spark, monkeypatch):
+    from churnlens.operators import model
     from churnlens.operators.model import tune
+    monkeypatch.setitem(model.SEARCH_SPACE, "n_estimators", ("int", 3, 4))
     from churnlens.plans import tables
     df, _ = tables.scaled_split(spark, SF_SMALL)
     from churnlens.operators.prepare import encoded_feature_names
     feats = encoded_feature_names(df)
-    best, trials = tune(df.where("split = 'train'"), df.where("split = 'test'"), feats, n_trials=3,
-                        max_iter_cap=3, parallelism=3)
+    best, trials = tune(df.where("split = 'train'"), df.where("split = 'test'"), feats, n_trials=3, parallelism=3)
     t = trials.toPandas()
-    assert len(t) == 3
+    assert len(t) == 3 and all(p["n_estimators"] in (3, 4) for p in t.params)
     top = t.sort_values(["f1", "trial"], ascending=[False, True]).iloc[0]
     assert best["max_depth"] == top.params["max_depth"]
 
@@ -284,23 +285,40 @@ def test_same_seed_same_model_any_partitioning(spark):
     assert np.allclose(a.churn_proba.to_numpy(), b.churn_proba.to_numpy())
 
 
-def test_running_totals_bucketed_equals_single_window(spark, monkeypatch):
+def test_running_totals_do_not_depend_on_ranges(spark):
     from churnlens.operators import evaluate as E
     from churnlens.plans import tables
     sc = tables.scored(spark, SF_MID)
-    a = E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True)
-    monkeypatch.setattr(E, "ROWS_PER_BUCKET", 100)     # force about 14 buckets
-    b = E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True)
-    assert len(a) == len(b)
-    assert np.allclose(a.fillna(-1).to_numpy(), b.fillna(-1).to_numpy())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in ("1", "14"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(E.roc_points(sc).toPandas().sort_values("threshold", na_position="first").reset_index(drop=True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[0]) == len(got[1])
+    assert np.allclose(got[0].fillna(-1).to_numpy(), got[1].fillna(-1).to_numpy())
 
 
-def test_train_job_with_tuning(spark, tmp_path):
+def test_requested_tree_count_is_used(spark):
+    from churnlens.operators.model import gbt_params, train
+    from churnlens.operators.prepare import encoded_feature_names
+    from churnlens.plans import tables
+    assert gbt_params({})["maxIter"] == 300
+    df, _ = tables.scaled_split(spark, SF_SMALL)
+    m = train(df, encoded_feature_names(df), "label", {"n_estimators": 60, "max_depth": 2})
+    assert m.stages[-1].getNumTrees == 60
+
+
+def test_train_job_with_tuning(spark, tmp_path, monkeypatch):
+    from churnlens.operators import model
     from churnlens.plans import jobs, tables
+    monkeypatch.setitem(model.SEARCH_SPACE, "n_estimators", ("int", 3, 3))
     from churnlens.sources.io import write_csv
     write_csv(tables.customers(spark, SF_SMALL), str(tmp_path / "c"))
     out = jobs.train_job(spark, str(tmp_path / "c"), out_dir=str(tmp_path / "o"), optimize=True, fmt="csv",
-                         n_trials=2, max_iter_cap=3, explain_rows=20)
+                         n_trials=2, explain_rows=20)
     assert out["trials"].count() == 2
     assert 0.0 <= out["metrics"]["roc_auc"] <= 1.0
     assert out["importance"].count() == 10
@@ -336,3 +354,99 @@ def test_knn_blocks_match_brute_force(spark, monkeypatch, block):
         order = sorted((d[i, j], ids[j]) for j in range(400) if j != i)[:4]
         mine = got[got.customerID == ids[i]].sort_values("rank")
         assert mine.neighbor_id.tolist() == [o[1] for o in order]
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_sorted_neighbours_are_complete_and_near(spark, block):
+    from churnlens.operators import neighbors
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.normal(size=(1, 6)) + 0.05 * rng.normal(size=(60, 6)) for _ in range(8)])
+    pts[:50] = pts[0]                        # more copies than a block holds
+    rows = [(f"p{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "customerID string, vec array<double>")
+    got = neighbors.knn_all_sorted(df, k=5, block=block).toPandas()
+    assert (got.groupby("customerID").size() == 5).all() and got.customerID.nunique() == len(rows)
+    assert (got.customerID != got.neighbor_id).all()
+    again = neighbors.knn_all_sorted(df.repartition(3), k=5, block=block).toPandas()
+    key = lambda f: sorted(map(tuple, f.values.tolist()))
+    assert key(got) == key(again)
+    d = np.sqrt(((pts[:, None, :] - pts[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    fifth = np.sort(d, axis=1)[:, 4]
+    at = {r[0]: i for i, r in enumerate(rows)}
+    recall = np.mean([x <= fifth[at[c]] + 1e-9 for c, x in zip(got.customerID, got.distance)])
+    assert recall > (0.85 if block == 64 else 0.4)
+    few = neighbors.knn_all_sorted(df.limit(3), k=5, block=block).toPandas()
+    assert len(few) == 6                     # min(k, rows - 1) each
+
+
+@pytest.mark.parametrize("mode", ["exact", "sorted"])
+def test_smote_balances_in_every_mode(spark, mode):
+    from churnlens.operators.balance import smote
+    from churnlens.operators.prepare import encoded_feature_names
+    from churnlens.plans import tables
+    df, _ = tables.scaled_split(spark, SF_MID)
+    feats = encoded_feature_names(df)
+    out = smote(df.where("split = 'train'"), feats, "label", knn=mode).groupBy("label").count().collect()
+    assert len({r["count"] for r in out}) == 1
+
+
+def test_targets_beyond_the_literal_limit(spark, monkeypatch):
+    from churnlens.operators import neighbors
+    rng = np.random.default_rng(2)
+    rows = [(f"p{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "customerID string, vec array<double>")
+    want = neighbors.knn_targets(df, df.limit(30), n=4).toPandas()
+    monkeypatch.setattr(neighbors, "MAX_TARGETS", 10)
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    got = neighbors.knn_targets(df, df.limit(30), n=4).toPandas()
+    key = lambda f: sorted((a, b, c, round(d, 9)) for a, b, c, d in f.values.tolist())
+    assert key(got) == key(want) and len(got) == 120
+
+
+def test_kmeans_keeps_its_input_columns(spark):
+    from churnlens.operators.segments import SEGMENT_COLUMNS, kmeans_segments
+    from churnlens.plans import tables
+    sc = tables.scored(spark, SF_SMALL)
+    out, _ = kmeans_segments(sc, k=4, n_init=2)
+    cols = ["customerID", "churn_proba", *SEGMENT_COLUMNS]
+    assert out.select(*cols).exceptAll(sc.select(*cols)).count() == 0 and out.where("churn_proba < 0 or churn_proba > 1").count() == 0
+
+
+def test_hot_value_is_not_collected_with_its_neighbours(spark, monkeypatch):
+    from churnlens.operators import select
+    monkeypatch.setattr(select, "MAX_DISTINCT_TO_DRIVER", 100)
+    sizes, walk = [], select._walk
+    monkeypatch.setattr(select, "_walk", lambda pairs, *a: sizes.append(len(pairs)) or walk(pairs, *a))
+    vals = [5.0] * 60_000 + [float(i) / 7 for i in range(-400, 600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    ranks = [0, 3, 399, 400, 30_000, len(vals) - 2, len(vals) - 1]
+    got, n = select.exact_kth(df, "x", lambda n: ranks)
+    ordered = sorted(vals)
+    assert n == len(vals) and got == {r: ordered[r] for r in ranks}
+    assert max(sizes, default=0) <= 110
+
+
+def test_deep_paths_without_tables(spark, monkeypatch):
+    """Depth-10 trees: additivity, and the same values with and without tables."""
+    from churnlens.operators import treeshap
+    from churnlens.operators.model import score, train
+    from churnlens.operators.prepare import encoded_feature_names
+    from churnlens.plans import tables
+    df, _ = tables.scaled_split(spark, SF_MID)
+    feats = encoded_feature_names(df)
+    m = train(df.where("split = 'train'"), feats, "label", {"n_estimators": 4, "max_depth": 10, "min_child_weight": 1})
+    lt = treeshap.leaf_table(spark, m)
+    deepest = max(len(leaf[1]) for leaf in lt["leaves"])
+    assert deepest > treeshap.TABLE_DEPTH or deepest >= 7
+    few = df.where("split = 'test'").limit(20)
+    attr, base = treeshap.tree_shap(m, few, feats, long=False)
+    got = attr.toPandas().set_index("customerID")
+    probs = score(m, few).select("customerID", "churn_proba").toPandas().set_index("customerID").churn_proba
+    margin = got.margin.reindex(probs.index)
+    assert np.allclose(1 / (1 + np.exp(-margin)), probs, atol=1e-6)
+    monkeypatch.setattr(treeshap, "TABLE_BYTES", 0)
+    monkeypatch.setattr(treeshap, "CELLS", 5000)
+    plain, _ = treeshap.tree_shap(m, few, feats, long=False)
+    again = plain.toPandas().set_index("customerID").shap.reindex(got.index)
+    assert np.allclose(np.stack(again.to_numpy()), np.stack(got.shap.to_numpy()), atol=1e-9)

@@ -4,11 +4,13 @@ per-group top-n planned as a window group limit (partial top-n before the shuffl
 import pytest
 
 import __spark_entry__ as entry
+from churnlens.plans import catalog
 from conftest import SF_SMALL
 
 # the two whole-training queries are covered by test_invariants (job and tuning tests)
-NAMES = sorted(set(entry.queries()) - {"training_importance", "tune_trials"})
-GROUP_LIMITED = ["top_factors", "sample_per_band", "similar_customers", "factor_bars", "head_sample"]
+NAMES = sorted(set(catalog.QUERIES) - {"training_importance", "tune_trials"})
+GROUP_LIMITED = ["sample_per_band", "similar_customers", "head_sample"]
+PER_CUSTOMER = ["linear_shap", "top_factors", "factor_bars", "waterfall"]
 
 
 def _plan(df):
@@ -28,6 +30,11 @@ def test_top_n_is_group_limited(spark, name):
     assert "WindowGroupLimit" in plan or "TakeOrderedAndProject" in plan
 
 
+@pytest.mark.parametrize("name", PER_CUSTOMER)
+def test_attribution_rows_need_no_shuffle(spark, name):
+    assert "Exchange" not in _plan(entry.queries()[name](spark, SF_SMALL))
+
+
 def test_flagship_prunes_columns(spark):
     plan = _plan(entry.queries()["risk_kpis_by_contract"](spark, SF_SMALL))
     assert "ReadSchema: struct<tenure:int,Contract:string,MonthlyCharges:double>" in plan
