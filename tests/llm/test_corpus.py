@@ -200,6 +200,36 @@ def test_passages_found_and_clean_documents_left(spark, monkeypatch, hot):
         assert kept[i].text == text[i]
 
 
+def test_stars_across_batches(spark):
+    """Links do not depend on how rows are cut into batches, and follow the i-th occurrence."""
+    rng = random.Random(6)
+    rows = sorted({(rng.randint(0, 6), rng.randint(0, 9), rng.randint(0, 400)) for _ in range(500)})
+    by = {}
+    for h, doc, pos in rows:
+        by.setdefault(h, {}).setdefault(doc, []).append(pos)
+    want = []
+    for docs in by.values():
+        first = min(docs)
+        want += [(d, p, first, docs[first][i % len(docs[first])]) for d, places in docs.items() if d != first for i, p in enumerate(places)]
+    frame = spark.createDataFrame(rows, "h bigint, doc bigint, pos int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set(key, size)
+            got = [tuple(r) for r in passages.links(frame.repartition(1), []).collect()]
+            assert sorted(got) == sorted(want)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_runs_of_one_word_are_passages_too(spark):
+    rng = random.Random(2)
+    texts = [" ".join(_words(rng, 30) + ["and"] * n + _words(rng, 30)) for n in (90, 70, 200)]
+    got = passages.query(_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).toPandas()
+    assert got[got.doc_id == 1].n_words.max() >= 65 and got[got.doc_id == 2].n_words.sum() >= 150
+
+
 def test_passages_of_nothing(spark):
     docs = _frame(spark, [])
     assert passages.query(docs).count() == 0 and passages.without(docs).count() == 0
