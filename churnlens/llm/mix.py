@@ -42,6 +42,7 @@ from .common import pick, written
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
 BINS, ROUNDS = 4096, 60
 FILLS, NEAR = 8, 0.001
+MOST_SOURCES, SALTS = 100_000, 64
 RULES = "array<struct<most:double,below:double>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,8 +76,13 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
 
 
 def _by_source(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """Documents joined to a driver-side row per source (``key`` as in ``docs``)."""
-    return docs.join(docs.sparkSession.createDataFrame(rows, "key int, " + schema), "key")
+    """Documents joined to a driver-side row per source (``key`` as in ``docs``): broadcast up to ``MOST_SOURCES`` of
+    them, beyond that joined over ``SALTS`` shares of each source, so that a hot one is many tasks."""
+    small = docs.sparkSession.createDataFrame(rows, "key int, " + schema)
+    if len(rows) <= MOST_SOURCES:
+        return docs.join(F.broadcast(small), "key")
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("salt", (F.rand(1) * SALTS).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
 
 def _solve(docs: DataFrame, stats: dict[int, dict], cap: float) -> dict[int, float]:
@@ -120,6 +126,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     spark = docs.sparkSession
     names = spark.createDataFrame([(k, s["source"], s["size"], s["target"]) for k, s in stats.items()],
                                   "key int, s string, source_size bigint, target double")
+    if len(stats) <= MOST_SOURCES:
+        names = F.broadcast(names)
     keyed = sized.join(names, sized["source"].eqNullSafe(names["s"])).drop("s") if stats else \
         sized.select("*", F.lit(0).alias("key"), F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"))
     keyed = written(keyed, "sizes-keyed")

@@ -30,7 +30,7 @@ def test_targets_share_and_cap():
     assert mix.targets({}) == {} and mix.targets({None: 5}) == {None: 5.0}
 
 
-def test_mix_meets_targets(spark):
+def test_mix_meets_targets(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 50, 200])), rng.choice(["a", "b", "b", "b", "c", "ü", None])) for i in range(1500)]
     rows += [(5000, None, "a"), (5001, "", "b"), (None, "no id", "c"), (7, rows[7][1], rows[7][2]), (5002, None, "none")]
@@ -48,6 +48,7 @@ def test_mix_meets_targets(spark):
         # rates meet the constraint before rounding and are tilted by size alone
         assert (part["size"] * part.rate).sum() == pytest.approx(goal, rel=1e-5, abs=1e-6)
         assert part[part["size"] > 0].groupby("size").rate.nunique().max() in (1, np.nan) or goal == 0
+    monkeypatch.setattr(mix, "MOST_SOURCES", 0)  # the joins without a broadcast, over salted shares
     again = mix.query(docs.repartition(7)).toPandas()
     key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).values))
     assert key(again) == key(got)
