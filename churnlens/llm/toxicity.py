@@ -47,6 +47,7 @@ FIT_ROWS = 40_000
 FEATURES = 2_000
 MIN_DOCS, MIN_Z = 4, 5.0
 PREFIXES = (4, 5, 6)
+HELD = 60_000  # entries of a task's tables, in units; more are passed on or read again
 
 #: Letters that a character may stand for.
 SHAPES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -168,8 +169,9 @@ def features_of(token: str, model: CharModel) -> tuple:
 class Reader:
     """Features of texts, with what is known of tokens kept up to a bound."""
 
-    def __init__(self, model: CharModel, index: dict[str, int] | None = None, keep: int = 400_000):
-        self.model, self.index, self.keep, self.known = model, index, keep, {}
+    def __init__(self, model: CharModel, index: dict[str, int] | None = None):
+        self.model, self.index, self.known = model, index, {}
+        self.keep = HELD if index is None else 4 * HELD  # without an index an entry holds its features' texts
 
     def _token(self, token: str) -> tuple:
         got = self.known.get(token)
@@ -209,7 +211,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         for batch in stream:
             for text in batch.column("text"):
                 seen.update((text.as_py() or "").lower().split())
-                if len(seen) > 400_000:
+                if len(seen) > 3 * HELD:
                     yield rows(seen)
                     seen.clear()
         yield rows(seen)
@@ -283,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for f in reader.read(text or ""):
                     seen.setdefault(f, [0, 0])[toxic] += 1
-                if len(seen) > 500_000:
+                if len(seen) > 3 * HELD:
                     yield rows(pa, seen)
                     seen = {}
         yield rows(pa, seen)
