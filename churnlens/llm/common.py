@@ -13,12 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of rows that cross to a Python worker at a time.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes too, unless the session says how: texts can be long, and
+    10,000 of them at a time would fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, renamed and cast: ``new="old type"``.
 
     Operators begin with this, so any further input column, whatever its name,
     is pruned before it can clash with a working column.
     """
+    bounded_batches(df.sparkSession)
     out = []
     for new, spec in columns.items():
         old, kind = spec.split(" ", 1)
