@@ -17,9 +17,9 @@ Defined cases: a vector that is null or holds a null or non-finite component
 takes no part, as query or as candidate, nor does a null vec_id; vectors of
 different lengths are not compared; empty vectors score 0 with each other;
 equal scores go to the smaller vec_id; repeated rows with one vec_id are not
-candidates of each other and each fill ranks of their own as candidates of
-others, a repeated query id is answered once per distinct vector under its
-smallest copy; an empty table gives no rows; further input columns are ignored.
+candidates of each other, and as candidates of others each fill a rank; rows
+with one query id share one answer, the best of all of them; an empty table
+gives no rows; further input columns are ignored.
 """
 
 from __future__ import annotations
