@@ -105,8 +105,7 @@ def hash_cut(df: DataFrame, h_col: str, id_col: str, group_col: str, k_by_group,
     function of the row count per group returning one. Each pass is a histogram
     of the next 12 hash bits inside the bucket found so far (at most groups x
     4096 rows to the driver); once the bucket holding the k-th row is small, its
-    (h, id) pairs are read and the cut is exact. Returns {group: (h, id)} and
-    sets ``hash_cut.last_totals`` to the rows per group.
+    (h, id) pairs are read and the cut is exact. Returns {group: (h, id)}.
     """
     result: dict = {}
     todo = None                      # group -> (k left, prefix, bits fixed)
@@ -126,7 +125,6 @@ def hash_cut(df: DataFrame, h_col: str, id_col: str, group_col: str, k_by_group,
             by_group.setdefault(row["g"], []).append((row["b"], row["count"]))
         if todo is None:
             totals = {g: sum(c for _, c in lst) for g, lst in by_group.items()}
-            hash_cut.last_totals = totals
             ks = k_by_group(totals) if callable(k_by_group) else k_by_group
             todo = {g: (k, 0, 0) for g, k in ks.items() if k and k > 0}
         new_todo, small = {}, {}
