@@ -720,6 +720,18 @@ def q_score_stream(spark, sf):
                              scratch_path(spark, "stream_ckpt"))
 
 
+@query("stream_rule_score")
+def q_stream_rule_score(spark, sf):
+    """STM1 with the deterministic rule score in place of a model's: every customer, arriving as CSV files."""
+    from churnlens.sources.fixture import rule_score_col
+    from churnlens.streaming.score import start
+    in_dir, out_dir = scratch_path(spark, "stream_csv"), scratch_path(spark, "stream_rule")
+    io.write_csv(TB.customers(spark, sf).repartition(4), in_dir)
+    start(spark, in_dir, lambda df: df.select(ID_COL, rule_score_col().alias(SCORE_COL)).withColumn(
+        "risk_band", S.risk_band(SCORE_COL)), out_dir, scratch_path(spark, "stream_rule_ckpt"), fmt="csv").awaitTermination()
+    return spark.read.parquet(out_dir)
+
+
 @query("training_importance")
 def q_training_importance(spark, sf):
     """PIP2 end to end on the derived customer table written as CSV: load, profile,

@@ -524,6 +524,7 @@ register("model_roundtrip", "SELECT customerID, true AS same_score FROM hsplit W
 register("prepare_counts", """SELECT * FROM (SELECT unnest(['raw', 'cleaned', 'encoded']) AS stage, (SELECT count(*) FROM customers) AS n)
   UNION ALL SELECT split, count(*) FROM hsplit GROUP BY split
   UNION ALL SELECT 'train_balanced', 2 * max(n) FROM (SELECT count(*) AS n FROM hsplit WHERE split = 'train' GROUP BY label)""")
+register("stream_rule_score", f"SELECT customerID, churn_proba, {BAND} AS risk_band FROM scored")
 TYPES = {f.name: f.dataType.simpleString() for f in CUSTOMER_SCHEMA}
 register("column_types", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{t}' AS dtype, " + (f"'{t}'" if t != "string" else

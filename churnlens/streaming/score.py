@@ -9,7 +9,6 @@ Parquet sink with a checkpoint. Map-only, so no watermark or state is needed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from churnlens.functions.scalars import risk_band
 from churnlens.operators.model import score
@@ -25,22 +24,27 @@ def scoring_frame(df: DataFrame, fitted: Fitted, model) -> DataFrame:
     return out.select(ID_COL, SCORE_COL, "prediction", risk_band(SCORE_COL).alias("risk_band"))
 
 
-def score_stream(spark: SparkSession, in_dir: str, fitted: Fitted, model, out_dir: str, checkpoint: str,
-                 fmt: str = "parquet", available_now: bool = True):
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+def start(spark: SparkSession, in_dir: str, transform, out_dir: str, checkpoint: str,
+          fmt: str = "parquet", available_now: bool = True):
+    """A map-only stream of customer files through ``transform`` (DataFrame to DataFrame) into Parquet;
+    with ``available_now`` it processes what is there and stops."""
     # the files' own columns, in their order; declared ones are found by name
     still = spark.read.option("header", True).csv(in_dir) if fmt == "csv" else spark.read.parquet(in_dir)
     reader = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64)
     src = by_name(reader.parquet(in_dir) if fmt == "parquet" else reader.option("header", True).csv(in_dir))
-    q = (scoring_frame(src, fitted, model).writeStream.format("parquet")
+    q = (transform(src).writeStream.format("parquet")
          .option("checkpointLocation", checkpoint).option("path", out_dir).outputMode("append"))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     return q.start()
 
 
+def score_stream(spark: SparkSession, in_dir: str, fitted: Fitted, model, out_dir: str, checkpoint: str,
+                 fmt: str = "parquet", available_now: bool = True):
+    """STM1: start the stream of model scores."""
+    return start(spark, in_dir, lambda df: scoring_frame(df, fitted, model), out_dir, checkpoint, fmt, available_now)
+
+
 def run_to_completion(spark: SparkSession, in_dir: str, fitted: Fitted, model, out_dir: str,
                       checkpoint: str) -> DataFrame:
-    query = score_stream(spark, in_dir, fitted, model, out_dir, checkpoint)
-    query.awaitTermination()
+    score_stream(spark, in_dir, fitted, model, out_dir, checkpoint).awaitTermination()
     return spark.read.parquet(out_dir)
-
