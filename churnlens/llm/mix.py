@@ -214,7 +214,7 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFra
                                             F.col("copies").alias("_c")).distinct()
     n = size_of(F.col("`text`").cast("string"))
     own = F.col("`doc_id`").cast("bigint").eqNullSafe(F.col("_d")) & F.col("`source`").cast("string").eqNullSafe(F.col("_s")) & (n == F.col("_n"))
-    return docs.join(chosen.where("_c > 0"), own).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c")))) \
+    return docs.join(chosen.where("_c > 0").hint("merge"), own).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c")))) \
         .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -217,7 +217,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
     own = prints.join(labels, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     own = written(own.select(F.col("doc_id").alias("_kept"), "n"), "simhash-kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(own, F.col("`doc_id`").cast("bigint") == F.col("_kept"))
+    kept = docs.join(own.hint("merge"), F.col("`doc_id`").cast("bigint") == F.col("_kept"))  # one plan at every size
     if not own.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["_kept"])
     kept = kept.select(*columns)
