@@ -231,6 +231,29 @@ def test_runs_of_one_word_are_passages_too(spark):
     assert got[got.doc_id == 1].n_words.max() >= 65 and got[got.doc_id == 2].n_words.sum() >= 150
 
 
+def test_passages_of_long_words(spark):
+    """Words of 80 to 200 bytes without white space; more than a first cut on both sides of a short run."""
+    rng = random.Random(21)
+    long = lambda n, size: ["".join(rng.choices("abcdefghij", k=size)) for _ in range(n)]
+    rows, want = [], {}
+    for k, (size, n) in enumerate([(80, 60), (130, 60), (200, 60), (130, 200), (200, 200)]):
+        shared = long(n, size)
+        rows += [(2 * k, " ".join(long(20, size) + shared + long(20, size)), "s"), (2 * k + 1, " ".join(long(5, size) + shared + long(30, size)), "s")]
+        want[2 * k + 1] = n
+    got = {r.doc_id: r.n_words for r in passages.query(_frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_alignment_asks_for_more_text():
+    rng = random.Random(22)
+    shared = " ".join(_words(rng, 300)).encode()
+    at = shared.index(b" ", 700) + 1
+    whole = passages.align((shared, 0, False, False), (shared, 0, False, False), [at], [at], 50, 0.8)
+    assert whole == [(0, len(shared), 300, 0, len(shared), 1.0)]
+    part = passages._trimmed(shared[at - 400:at + 400], at - 400, len(shared))
+    assert passages.align(part, part, [at], [at], 50, 0.8) is None
+
+
 def test_passages_of_nothing(spark):
     docs = _frame(spark, [])
     assert passages.query(docs).count() == 0 and passages.without(docs).count() == 0
