@@ -224,6 +224,32 @@ def test_stars_across_batches(spark):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("previous", [False, True])
+def test_split_seeds_have_the_same_partners(spark, monkeypatch, previous):
+    rng = random.Random(7)
+    rows = sorted({(rng.randint(0, 4), rng.randint(0, 60), rng.randint(0, 300)) for _ in range(900)})
+    by = {}
+    for h, doc, pos in rows:
+        by.setdefault(h, {}).setdefault(doc, []).append(pos)
+    want = []
+    for docs in by.values():
+        order = sorted(docs)
+        for k, d in enumerate(order[1:], 1):
+            for src in {order[0], order[k - 1] if previous else order[0]}:
+                want += [(d, p, src, docs[src][i % len(docs[src])]) for i, p in enumerate(docs[d])]
+    frame = spark.createDataFrame(rows, "h bigint, doc bigint, pos int")
+    monkeypatch.setattr(passages, "SALTS", 6)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in ("1", "10000"):
+            spark.conf.set(key, size)
+            for hot in ([], [1, 3], list(by)):
+                assert sorted(tuple(r) for r in passages.links(frame, hot, previous).collect()) == sorted(want)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_runs_of_one_word_are_passages_too(spark):
     rng = random.Random(2)
     texts = [" ".join(_words(rng, 30) + ["and"] * n + _words(rng, 30)) for n in (90, 70, 200)]
