@@ -257,6 +257,38 @@ def test_runs_of_one_word_are_passages_too(spark):
     assert got[got.doc_id == 1].n_words.max() >= 65 and got[got.doc_id == 2].n_words.sum() >= 150
 
 
+def test_runs_whose_pieces_are_in_earlier_documents(spark):
+    rng = random.Random(31)
+    rows, runs = [], {}
+    for k in range(0, 60, 6):
+        run = _words(rng, 62)
+        lone = lambda n: _words(rng, n)
+        lines = [run[i:i + 10] for i in range(0, 60, 10)]
+        texts = [lone(20) + run[:35] + lone(20), lone(20) + run[30:] + lone(20), sum([x + lone(3) for x in lines[::-1]], []),
+                 lone(9) + run[5:53] + lone(30), lone(30) + run + lone(20), lone(10) + run + lone(40)]
+        rows += [(k + i, " ".join(x), "s") for i, x in enumerate(texts)]
+        runs[k + 5] = " ".join(run)
+    text = {i: t.encode() for i, t, _ in rows}
+    got = {(r.doc_id, r.source_id): text[r.doc_id][r.start:r.stop].decode() for r in passages.query(_frame(spark, rows)).collect()}
+    for i, run in runs.items():
+        assert run in got.get((i, i - 1), "")
+
+
+def test_long_links_are_all_shared_runs(spark):
+    """Every run of 12 words against a look at all of them, whatever is hot."""
+    rng = random.Random(33)
+    pool = [rng.choices("abc", k=30) for _ in range(6)]
+    texts = [sum((rng.choice(pool)[rng.randrange(20):] for _ in range(4)), []) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc bigint, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 11):
+            first.setdefault(tuple(t[j:j + 12]), i)
+    want = {(i, first[tuple(t[j:j + 12])]) for i, t in enumerate(texts) for j in range(len(t) - 11)}
+    got = {(r.doc, r.src) for r in passages.long_links(docs, 12, 2).collect()}
+    assert got == {(i, s) for i, s in want if i != s}
+
+
 def test_passages_of_long_words(spark):
     """Words of 80 to 200 bytes without white space; more than a first cut on both sides of a short run."""
     rng = random.Random(21)
