@@ -289,6 +289,27 @@ def test_long_links_are_all_shared_runs(spark):
     assert got == {(i, s) for i, s in want if i != s}
 
 
+def test_fuzzy_passages_equal_brute_force(spark):
+    """A substitution every n words (similarity 0.833 to 0.9): all that an alignment from any shared shingle finds."""
+    rng = random.Random(41)
+    rows, pairs = [], {}
+    for k in range(120):
+        n, shared = (6, 7, 8, 10)[k % 4], _words(rng, 62)
+        other = [w if i % n != n - 1 else "zz" + w for i, w in enumerate(shared)]
+        x, y = (" ".join(_words(rng, 30) + z + _words(rng, 30)) for z in (shared, other))
+        rows += [(2 * k, x, "s"), (2 * k + 1, y, "s")]
+        pairs[2 * k + 1] = (x.encode(), y.encode())
+    want = set()
+    for i, (x, y) in pairs.items():
+        (_, hx, px), (_, hy, py) = (passages.seeds_of([z], 5, 1, 50) for z in (x, y))
+        at = {h: p & passages.BYTE for h, p in zip(hx.tolist(), px.tolist())}
+        if any(passages.align((x, 0, False, False), (y, 0, False, False), [at[h]], [p & passages.BYTE], 50, 0.8)
+               for h, p in zip(hy.tolist(), py.tolist()) if h in at):
+            want.add(i)
+    got = {r.doc_id for r in passages.query(_frame(spark, rows)).collect() if r.source_id == r.doc_id - 1}
+    assert len(want) > 100 and want <= got
+
+
 def test_passages_of_long_words(spark):
     """Words of 80 to 200 bytes without white space; more than a first cut on both sides of a short run."""
     rng = random.Random(21)
