@@ -2,8 +2,8 @@
 
 Restoring: a writer meant plain words, and a noisy channel replaced letters by
 look-alikes (``SHAPES``), put separators between letters, or repeated letters.
-A token that may have passed the channel (look-alikes among letters, a letter
-three times in a row, or single characters in a row between separators) gives a
+A token that may have passed the channel (any look-alike in what is no number,
+a letter three times in a row, or single characters in a row between separators) gives a
 character lattice: keep a letter, read a look-alike as one of its letters, drop
 a separator or keep it as a word break, drop a repetition. Viterbi finds the
 path with the highest sum of channel costs and a character trigram model's
@@ -56,10 +56,13 @@ SHAPES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg"
 SEPARATORS = " .-_*,/~\t\n"
 LOOK, ANY, DROP, BREAK, REPEAT, KEEP = -0.7, -2.0, -0.4, -1.0, -0.3, -9.0
 EDGE = "\x02"
-_LEAD = re.compile(r"^[^\w@$!|+(€£¡µ#*]+|[^\w]+$")
+OUTER = "!(*#+|¡"  # look-alikes that may be punctuation before or after a word
+_MARKS = re.escape("".join(c for c in SHAPES if not c.isalnum()))
+_LEAD = re.compile(rf"^[^\w{_MARKS}]+|[^\w{_MARKS}]+$")
 _SHAPED = re.compile("[" + re.escape("".join(SHAPES)) + "]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*,/~]\w){2,}(?=[^\w\s]*(?:\s|$))")
+_SPACED = re.compile(rf"(?<!\S)[\w{_MARKS}](?:[ .\-_*,/~][\w{_MARKS}]){{2,}}(?=[^\w\s]*(?:\s|$))")
+_PLAINLY = re.compile(r"[$€£+\-#(*]*[\d.,:/%+\-]+[$€£%+*!]*|([\W_])\1*")  # numbers, amounts, rows of one mark
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[a-zß-ɏ]+")
 
@@ -102,8 +105,9 @@ class CharModel:
 def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
     """Best path through the lattice of a lower-cased string. A state is the last two characters
     of the current word; ``spaced`` allows separators to be dropped or to break words."""
-    states = {(EDGE + EDGE, ""): (0.0, "")}
-    for c in noisy:
+    states: dict = {(EDGE + EDGE, ""): (0.0, None)}  # best cost and path, a chain of (path before, character)
+    lead, trail = len(noisy) - len(noisy.lstrip(OUTER)), len(noisy.rstrip(OUTER))
+    for at, c in enumerate(noisy):
         moves: list[tuple[str, float]] = []  # emitted character ("": none) and channel cost
         if c.isalpha():
             moves.append((c, 0.0))
@@ -112,6 +116,8 @@ def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
             moves += [("", DROP), (" ", BREAK)]
         elif not c.isalpha():
             moves.append((c, KEEP))
+            if at < lead or at >= trail:
+                moves.append(("", DROP))
         after: dict = {}
         for (context, last), (cost, out) in states.items():
             if last == c and c.isalpha():  # a repetition of what was just written
@@ -123,25 +129,29 @@ def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
                     key, got = (context, last), (cost + price, out)
                 elif x == " ":
                     key = (EDGE + EDGE, "")
-                    got = (cost + price + model.logp(context, EDGE), out + " ")
+                    got = (cost + price + model.logp(context, EDGE), (out, " "))
                 else:
                     key = (context[1] + x, c)
-                    got = (cost + price + model.logp(context, x), out + x)
+                    got = (cost + price + model.logp(context, x), (out, x))
                 if key not in after or after[key][0] < got[0]:
                     after[key] = got
         states = after
-    return max(((cost + model.logp(context, EDGE), out) for (context, _), (cost, out) in states.items()), default=(0.0, noisy))[1]
+    path = max(((cost + model.logp(context, EDGE), out) for (context, _), (cost, out) in states.items()), key=lambda x: x[0])[1]
+    read = []
+    while path is not None:
+        path, c = path
+        read.append(c)
+    return "".join(reversed(read))
 
 
 def noisy_core(token: str) -> str | None:
     """The part of a lower-cased token that may have passed the channel; None for plain tokens."""
     core = _LEAD.sub("", token)
-    if len(core) < 3 or core.isalpha() and not _THRICE.search(core) or len(core) > 40:
+    if len(core) < 3 or core.isalpha() and not _THRICE.search(core):
         return None
-    letters = sum(map(str.isalpha, core))
-    if letters >= 2 and (_SHAPED.search(core) or _THRICE.search(core)) and 2 * letters >= len(core) - 1:
-        return core
-    return None
+    if _PLAINLY.fullmatch(core) or not (_SHAPED.search(core) or _THRICE.search(core)):
+        return None
+    return core
 
 
 def restore(text: str, model: CharModel) -> str:

@@ -93,6 +93,20 @@ def test_decode_is_the_best_path(chars):
         assert toxicity.decode(noisy, chars) == best
 
 
+def test_heavily_hidden_words_are_restored():
+    words = "asshole dumbass shit idiot moron scum as the and word plain hole class pass grass shirt ship ass hello well said ass dumbass".split()
+    counts = {}
+    for w in words:
+        s = toxicity.EDGE * 2 + w + toxicity.EDGE
+        for i in range(len(s) - 2):
+            counts[s[i:i + 3]] = counts.get(s[i:i + 3], 0) + 20
+    chars = toxicity.CharModel(counts)
+    hidden = {"dumba$$": "dumbass", "a$$": "ass", "sh!+": "shit", "@$$h0l3": "asshole", "4$$h0l3": "asshole", "5h17": "shit",
+              "id" + "i" * 5000 + "ot": "idiot", "$ h i t": "shit", "i.d.!.o.t": "idiot", "word!": "word", "(word": "word",
+              "1234": "1234", "$5.00": "$5.00", "50$": "50$", "2024-01-02": "2024-01-02", "***": "***"}
+    assert {x: toxicity.restore(x, chars) for x in hidden} == hidden
+
+
 def _labelled(spark, n=600):
     rng = random.Random(9)
     plain = ["".join(rng.choices("abdehlnorstu", k=rng.randint(2, 8))) for _ in range(400)]
