@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, mix, pack, passages, pq, simhash, topk, toxicity
+from . import chat, counts, idfile, lines, mix, pack, passages, pq, simhash, topk, toxicity
 from .common import table
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
     "op9_toxicity": toxicity.query,
     "op10_substring_dedup": lambda spark, d: passages.query(table(spark, d, "documents")),
+    "op12_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
 }
 
 ORACLE = {
     "op1_chat_format": chat.ORACLE,
     "op2_token_counts": counts.ORACLE,
     "op5_topk_search": topk.ORACLE,
+    "op12_line_dedup": lines.ORACLE,
 }
