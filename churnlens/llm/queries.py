@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, lines, mix, pack, passages, pq, simhash, topk, toxicity
+from . import chat, counts, idfile, lines, mix, nra, pack, passages, pq, simhash, topk, toxicity
 from .common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_substring_dedup": lambda spark, d: passages.query(table(spark, d, "documents")),
     "op12_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
+    "op13_ranked_search": nra.query,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op2_token_counts": counts.ORACLE,
     "op5_topk_search": topk.ORACLE,
     "op12_line_dedup": lines.ORACLE,
+    "op13_ranked_search": nra.ORACLE,
 }
