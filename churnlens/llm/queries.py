@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, idfile, lines, mix, nra, pack, passages, pq, simhash, topk, toxicity
+from . import chat, counts, idfile, lines, merkle, mix, nra, pack, passages, pq, simhash, topk, toxicity
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_packing": lambda spark, d: pack.query(table(spark, d, "documents")),
     "op9_toxicity": toxicity.query,
     "op10_substring_dedup": lambda spark, d: passages.query(table(spark, d, "documents")),
+    "op11_merkle_manifest": lambda spark, d: merkle.query(table(spark, d, "documents")),
     "op12_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
     "op13_ranked_search": nra.query,
 }
@@ -24,6 +25,7 @@ ORACLE = {
     "op1_chat_format": chat.ORACLE,
     "op2_token_counts": counts.ORACLE,
     "op5_topk_search": topk.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op12_line_dedup": lines.ORACLE,
     "op13_ranked_search": nra.ORACLE,
 }
