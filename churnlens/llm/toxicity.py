@@ -5,15 +5,20 @@ look-alikes (``SHAPES``), put separators between letters, or repeated letters.
 A token that may have passed the channel (any look-alike in what is no number,
 a letter three times in a row, or single characters in a row between separators) gives a
 character lattice: keep a letter, read a look-alike as one of its letters, drop
-a separator or keep it as a word break, drop a repetition. Viterbi finds the
-path with the highest sum of channel costs and a character trigram model's
-log-probabilities. All other tokens are taken as they are.
+a separator or keep it as a word break, drop a repetition (cheap in a run of
+three or more, dear for a double letter). Viterbi finds the path with the highest
+sum of channel costs and a character trigram model's log-probabilities.
+
+The plain reading of a token, its letters between ordinary punctuation or a row
+of one mark, is a path of its own without channel costs. Where the character
+model has met all its trigrams it is taken at once, else it competes with the
+lattice. All other tokens are taken as they are. Patterns are linear in a text.
 
 Character model: trigrams over the distinct words of the whole corpus that
 occur at least twice, so that copies and boilerplate weigh no more than other
 text; counted by Spark from all documents, the vocabulary growing with them.
-Trigrams are over Latin letters (to U+024F), so what the driver gathers of them
-is bounded by the alphabet.
+Punctuation around a word is taken off. Trigrams are over Latin, Greek and Cyrillic
+letters (to U+052F), so what the driver gathers of them is bounded by the alphabets.
 
 Scoring: logistic regression over the presence of restored words and word
 beginnings. Features are chosen by their association with the label, then
@@ -33,6 +38,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -54,17 +60,22 @@ SHAPES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg"
           "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u", "#": "h",
           "*": "aeiou"}
 SEPARATORS = " .-_*,/~\t\n"
-LOOK, ANY, DROP, BREAK, REPEAT, KEEP = -0.7, -2.0, -0.4, -1.0, -0.3, -9.0
+LOOK, ANY, DROP, BREAK, REPEAT, DOUBLE, KEEP = -0.7, -2.0, -0.4, -1.0, -0.3, -5.0, -9.0
 EDGE = "\x02"
 OUTER = "!(*#+|¡"  # look-alikes that may be punctuation before or after a word
+DECORATION, ROW = 3, 9  # so many of one mark around a word, or of a mark or digit inside a token, are no letters
 _MARKS = re.escape("".join(c for c in SHAPES if not c.isalnum()))
-_LEAD = re.compile(rf"^[^\w{_MARKS}]+|[^\w{_MARKS}]+$")
+_LEAD = re.compile(rf"^[^\w{_MARKS}]+|(?<=[\w{_MARKS}])[^\w{_MARKS}]+$")
 _SHAPED = re.compile("[" + re.escape("".join(SHAPES)) + "]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(rf"(?<!\S)[\w{_MARKS}](?:[ .\-_*,/~][\w{_MARKS}]){{2,}}(?=[^\w\s]*(?:\s|$))")
-_PLAINLY = re.compile(r"[$€£+\-#(*]*[\d.,:/%+\-]+[$€£%+*!]*|([\W_])\1*")  # numbers, amounts, rows of one mark
+_SPACED = re.compile(rf"(?<!\S)[\w{_MARKS}](?:[ .\-_,/~][\w{_MARKS}]|\*[^\W*]){{2,}}(?=[^\w\s]{{0,8}}(?:\s|$))")
+_PLAINLY = re.compile(r"[$€£+\-#(*]*+[\d.,:/%+\-]*+[$€£%+*!]*+|([\W_])\1*+")  # numbers, amounts, rows of marks
+_DECORATED = re.compile(rf"^([{_MARKS}])\1{{{DECORATION - 1},}}+|(?<!^)(?<![{_MARKS}])([{_MARKS}])\2{{{DECORATION - 1},}}+$")
+_ROW = re.compile(rf"([{_MARKS}\d])\1{{{ROW - 1}}}")
+_MARKED = re.compile(rf"([{_MARKS}])\1*+(?=\w)|(?<=\w)([{_MARKS}])\2*+$")  # a row of one mark before or after a word
 _LETTERS = re.compile(r"[^\W\d_]+")
-_PLAIN = re.compile(r"[a-zß-ɏ]+")
+_PLAIN = re.compile(r"[a-zß-ԯ]+")
+_ROUND = ".,;:!?\"'()[]{}<>…«»„“”‘’-–—"  # punctuation around words
 
 
 class CharModel:
@@ -90,6 +101,16 @@ class CharModel:
         self.back2 = {c: math.log(weight / (n + weight)) for c, n in left2.items()}
         self.back3 = {c: math.log(weight / (n + weight)) for c, n in left3.items()}
 
+    def knows(self, word: str) -> bool:
+        """All trigrams of the word were met in other words."""
+        s = EDGE + EDGE + word + EDGE
+        return all(s[i:i + 3] in self.three for i in range(len(word) + 1))
+
+    def price(self, word: str) -> float:
+        """log P of the word and its end."""
+        s = EDGE + EDGE + word + EDGE
+        return sum(self.logp(s[i:i + 2], s[i + 2]) for i in range(len(word) + 1))
+
     def logp(self, context: str, c: str) -> float:
         """log P(c | the two characters before it)."""
         got = self.three.get(context + c)
@@ -105,9 +126,15 @@ class CharModel:
 def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
     """Best path through the lattice of a lower-cased string. A state is the last two characters
     of the current word; ``spaced`` allows separators to be dropped or to break words."""
+    return _viterbi(noisy, model, spaced)[0]
+
+
+def _viterbi(noisy: str, model: CharModel, spaced: bool) -> tuple[str, float]:
     states: dict = {(EDGE + EDGE, ""): (0.0, None)}  # best cost and path, a chain of (path before, character)
     lead, trail = len(noisy) - len(noisy.lstrip(OUTER)), len(noisy.rstrip(OUTER))
+    run = [len(r) for _, g in itertools.groupby(noisy) for r in [list(g)] for _ in r]  # of one character, around each place
     for at, c in enumerate(noisy):
+        again = REPEAT if run[at] >= 3 else DOUBLE
         moves: list[tuple[str, float]] = []  # emitted character ("": none) and channel cost
         if c.isalpha():
             moves.append((c, 0.0))
@@ -121,7 +148,7 @@ def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
         after: dict = {}
         for (context, last), (cost, out) in states.items():
             if last == c and c.isalpha():  # a repetition of what was just written
-                key, got = (context, c), (cost + REPEAT, out)
+                key, got = (context, c), (cost + again, out)
                 if key not in after or after[key][0] < got[0]:
                     after[key] = got
             for x, price in moves:
@@ -136,40 +163,70 @@ def decode(noisy: str, model: CharModel, spaced: bool = False) -> str:
                 if key not in after or after[key][0] < got[0]:
                     after[key] = got
         states = after
-    path = max(((cost + model.logp(context, EDGE), out) for (context, _), (cost, out) in states.items()), key=lambda x: x[0])[1]
+    score, path = max(((cost + model.logp(context, EDGE), out) for (context, _), (cost, out) in states.items()), key=lambda x: x[0])
     read = []
     while path is not None:
         path, c = path
         read.append(c)
-    return "".join(reversed(read))
+    return "".join(reversed(read)), score
 
 
 def noisy_core(token: str) -> str | None:
     """The part of a lower-cased token that may have passed the channel; None for plain tokens."""
-    core = _LEAD.sub("", token)
+    core = _DECORATED.sub("", _LEAD.sub("", token))
     if len(core) < 3 or core.isalpha() and not _THRICE.search(core):
         return None
-    if _PLAINLY.fullmatch(core) or not (_SHAPED.search(core) or _THRICE.search(core)):
+    if _PLAINLY.fullmatch(core) or _ROW.search(core) or not (_SHAPED.search(core) or _THRICE.search(core)):
         return None
     return core
 
 
+def _spaced(text: str):
+    """Single characters in a row between separators; without a letter they are rules or numbers."""
+    return (m for m in _SPACED.finditer(text) if _LETTERS.search(m.group()))
+
+
+def bare(core: str) -> str | None:
+    """The letters of a token whose marks are punctuation or decoration around them; None for others."""
+    at, to = 0, len(core)
+    for m in _MARKED.finditer(core):
+        if m.group()[0] in OUTER:
+            at, to = (m.end(), to) if m.start() == 0 else (at, m.start()) if m.end() == len(core) else (at, to)
+    word = core[at:to]
+    return word if word.isalpha() and not _THRICE.search(word) else None
+
+
+def reading(core: str, model: CharModel) -> str | None:
+    """What a core means; None: just what stands there, with marks around it that belong to no known word."""
+    word = bare(core)
+    if word is None:
+        return decode(core, model)
+    if model.knows(word):
+        return word
+    other, score = _viterbi(core, model, False)
+    return None if model.price(word) >= score else other
+
+
 def restore(text: str, model: CharModel) -> str:
     """The text as its writer may have meant it, lower-cased."""
-    text = _SPACED.sub(lambda m: decode(m.group().replace("\n", " "), model, True), text.lower())
-
     def one(m):
         core = noisy_core(m.group())
-        return m.group() if core is None else m.group().replace(core, decode(core, model))
+        got = None if core is None else reading(core, model)
+        return m.group() if got is None else m.group().replace(core, got)
 
-    return re.sub(r"\S+", one, text)
+    text, out, at = text.lower(), [], 0
+    for m in _spaced(text):  # what comes out of these is not read again
+        out += [re.sub(r"\S+", one, text[at:m.start()]), decode(m.group().replace("\n", " "), model, True)]
+        at = m.end()
+    return "".join([*out, re.sub(r"\S+", one, text[at:])])
 
 
 def features_of(token: str, model: CharModel) -> tuple:
     """Words and word beginnings of a lower-cased token after restoring."""
     core = noisy_core(token)
+    got = None if core is None else reading(core, model)
     out = []
-    for w in _LETTERS.findall(token if core is None else decode(core, model)):
+    for w in _LETTERS.findall(token if got is None else got):
         if len(w) >= 3:
             out.append("=" + w)
             out += ["^" + w[:n] for n in PREFIXES if len(w) >= n]
@@ -197,8 +254,8 @@ class Reader:
     def read(self, text: str) -> set:
         text = text.lower()
         found = set()
-        for m in _SPACED.finditer(text):
-            for w in decode(m.group(), self.model, True).split(" "):
+        for m in _spaced(text):
+            for w in decode(m.group().replace("\n", " "), self.model, True).split(" "):
                 found.update(self._token(w))
         token = self._token
         for t in set(text.split()):
@@ -209,12 +266,17 @@ class Reader:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, n): the lower-case Latin words of all documents."""
+    """(word, n): the lower-case words of all documents, without punctuation around them."""
     def run(stream):
         import pyarrow as pa
 
         def rows(seen):
-            good = [(w, n) for w, n in seen.items() if _PLAIN.fullmatch(w) and len(w) <= 40]
+            good: Counter = Counter()
+            for w, n in seen.items():
+                w = w.strip(_ROUND)
+                if _PLAIN.fullmatch(w):
+                    good[w] += n
+            good = list(good.items())
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in good], pa.string()), pa.array([n for _, n in good], pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
@@ -247,7 +309,7 @@ def char_model(docs: DataFrame, least: int = 2) -> CharModel:
 
 
 def _fit(rows: list[tuple[list[int], int]], n: int) -> np.ndarray:
-    """Weights (the last is the bias) of a ridge logistic regression, by Newton's method."""
+    """Weights (the last is the bias) of a ridge logistic regression, by Newton-like steps with bounded diagonal curvature."""
     label = np.array([y for _, y in rows], float)
     at = np.repeat(np.arange(len(rows)), [len(f) + 1 for f, _ in rows])
     col = np.array([c for f, _ in rows for c in (*f, n)], np.int64)

@@ -402,3 +402,29 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_plain_words_keep_their_letters():
+    words = "good keep soon all little three success business committee from free the god kep son al".split()
+    counts = {}
+    for w in words[:12]:
+        s = toxicity.EDGE * 2 + w + toxicity.EDGE
+        for i in range(len(s) - 2):
+            counts[s[i:i + 3]] = counts.get(s[i:i + 3], 0) + 5
+    chars = toxicity.CharModel(counts)
+    for w in words[:12]:
+        for marked in (w + "!", w + "!!", "(" + w, w + "***", "#" + w + "+", w + "$$$"):
+            assert toxicity.features_of(marked, chars) == toxicity.features_of(w, chars), marked
+            assert w in toxicity.restore(marked, chars)
+    assert toxicity.restore("good! keep! soon! a$$$", chars) == "good keep soon a$$$"
+
+
+@pytest.mark.parametrize("long", ["+" * 100_000 + "a", "*" * 100_000 + "a b", "-" * 100_000 + "a", "q" + "-" * 100_000 + "q", "q" + "+" * 100_000 + "q",
+                                  "* " * 50_000 + "ab", "1" * 100_000 + "x", "$" * 100_000 + "x"])
+def test_long_rows_of_marks_take_linear_time(chars, long):
+    import time
+
+    began = time.process_time()
+    toxicity.restore(long, chars)
+    toxicity.Reader(chars).read(long)
+    assert time.process_time() - began < 1
