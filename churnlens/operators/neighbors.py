@@ -9,20 +9,21 @@ computes its distance to each in one projection, and the n best per target
 survive a window group limit (partial top-n before the shuffle). More targets
 are compared in tiles of target blocks and row shards, to the same result.
 
-``knn_all`` (exact, every row): identical vectors are merged first (a hot group
-of copies becomes one row plus its first k+1 ids). Distinct vectors are then
-cut into Voronoi cells around pivots. For each cell a proven upper bound of the
-k-th neighbour distance is derived from the pivot, and a vector is copied only
-to the cells it can be a neighbour in (triangle inequality). Within a cell,
-members and candidates are cut into blocks of at most ``BLOCK`` rows; each
-(cell, member block, candidate block) group computes its distances with NumPy
-(summed left to right, as the SQL oracle) and emits only the k+1 nearest per
-member, so neither a pair table nor an unbounded group is ever formed.
-
-Cost: pruning works when the data has low intrinsic dimension (clusters);
-in high-dimensional, evenly spread data (k-th neighbour distance close to the
-typical pairwise distance) no metric bound prunes and the exact join becomes
-quadratic. It is the mode for tables where that is acceptable.
+``knn_all`` (exact, every row), in two phases. Identical vectors are merged
+first (a hot group of copies becomes one row plus its first k+1 ids). A k-d tree
+over a bounded sample cuts the distinct vectors into cells of about ``CELL_ROWS``
+rows, held as blocks of at most about ``BLOCK``. Phase 1 compares a block with
+itself: the k+1 nearest there give every row an upper bound of its own. Phase 2
+sends a row only to cells whose bounding box is within its bound, and in a block
+only to leaves of ``LEAF`` rows whose box is. Both boxes are lower bounds of the
+distance, so no neighbour is missed. Distances are summed left to right, as the
+SQL oracle does, and only the k+1 nearest of a row leave a block.
+
+Cost: phase 1 is linear; phase 2 grows with the number of boxes near a row, which
+is small where data has low intrinsic dimension. In high-dimensional, evenly
+spread data (k-th neighbour distance close to the typical pairwise distance) no
+box is out of reach and the exact join becomes quadratic. It is the mode for
+tables where that is acceptable.
 
 ``knn_all_sorted`` (approximate, linear): rows are sorted along each of a few
 fixed random directions and cut into blocks of ``block`` rows by their place in
@@ -44,7 +45,10 @@ from churnlens.functions.scalars import keyed_hash, squared_distance
 from churnlens.session import scratch_path
 
 MAX_TARGETS = 1_000
-MAX_PIVOTS = 2048
+CELL_ROWS = 2048
+MAX_CELLS = 4096             # of the tree on the driver; larger tables have more blocks to a cell
+SAMPLE_ROWS, SAMPLE_BYTES = 1 << 15, 1 << 25   # the tree is fitted on so many vectors at most
+LEAF = 64
 BLOCK = 2048
 SLACK = 1e-9
 
@@ -99,120 +103,242 @@ def _knn_tiles(df: DataFrame, targets: DataFrame, n: int, id_col: str, vec: str)
             .select(F.col("id").alias("target_id"), "rank", "neighbor_id", "distance"))
 
 
+def kd_cuts(sample, leaves: int, least: int):
+    """A k-d tree as rows (dimension, cut, left, right); negative children are leaves -1, -2, ...
+    The fullest leaf is cut at its median along its widest spread until there are ``leaves``; none gets under ``least`` rows."""
+    import heapq
+
+    import numpy as np
+    nodes: list = []
+    heap = [(-len(sample), 0, np.arange(len(sample)), None, 0)]
+    done, turn = [], 1
+    while heap and len(heap) + len(done) < leaves:
+        _, _, rows, parent, side = heapq.heappop(heap)
+        z = sample[rows]
+        cut = None
+        for j in np.argsort(-z.var(axis=0), kind="stable") if len(rows) >= 2 * least else []:
+            at = float(np.median(z[:, j]))
+            low = z[:, j] < at
+            if not low.any():
+                above = z[z[:, j] > at, j]
+                at = float(above.min()) if len(above) else at
+                low = z[:, j] < at
+            if least <= low.sum() <= len(rows) - least:
+                cut = (int(j), at, low)
+                break
+        if cut is None:
+            done.append((parent, side))
+            continue
+        nodes.append([cut[0], cut[1], 0, 0])
+        if parent is not None:
+            nodes[parent][2 + side] = len(nodes) - 1
+        for k, part in enumerate((rows[cut[2]], rows[~cut[2]])):
+            heapq.heappush(heap, (-len(part), turn, part, len(nodes) - 1, k))
+            turn += 1
+    for i, (parent, side) in enumerate([*done, *[(h[3], h[4]) for h in sorted(heap, key=lambda h: h[1])]]):
+        if parent is not None:
+            nodes[parent][2 + side] = -1 - i
+    return nodes
+
+
+def kd_cells(x, nodes: list):
+    """The leaf of every row."""
+    import numpy as np
+    if not nodes:
+        return np.zeros(len(x), np.int64)
+    tree = np.array([[n[0], n[2], n[3]] for n in nodes])
+    cut = np.array([n[1] for n in nodes])
+    at = np.zeros(len(x), np.int64)
+    while True:
+        open_ = np.flatnonzero(at >= 0)
+        if not len(open_):
+            return -1 - at
+        node = at[open_]
+        at[open_] = np.where(x[open_, tree[node, 0]] < cut[node], tree[node, 1], tree[node, 2])
+
+
+def box_distances(x, low, high):
+    """Distance of every row to every box: no row of the box is nearer."""
+    import numpy as np
+    acc = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, j] - x[:, j][:, None], x[:, j][:, None] - high[None, :, j]), 0)
+        acc += gap * gap
+    return np.sqrt(acc)
+
+
+def _reach(bound):
+    return bound * (1 + SLACK) + SLACK
+
+
+def _leaves(c):
+    """Positions of the rows of each leaf of at most ``LEAF`` rows, by halving along the widest spread."""
+    import numpy as np
+    todo, out = [np.arange(len(c))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        j = int(c[rows].var(axis=0).argmax())
+        order = rows[np.argsort(c[rows, j], kind="stable")]
+        todo += [order[:len(rows) // 2], order[len(rows) // 2:]]
+    return out
+
+
+def nearest_within(q, bound, c, names, keep: int):
+    """(query, candidate, distance): for each query row the ``keep`` nearest candidates no further than its bound,
+    nearest first; ties by candidate name. Leaves of candidates out of a query's reach are passed over."""
+    import numpy as np
+    found = []
+    for leaf in _leaves(c):
+        part = c[leaf]
+        near = np.flatnonzero(box_distances(q, part.min(axis=0)[None], part.max(axis=0)[None])[:, 0] <= _reach(bound))
+        if not len(near):
+            continue
+        acc = np.zeros((len(near), len(leaf)))
+        for j in range(q.shape[1]):                       # left-to-right sum, as the SQL oracle
+            diff = q[near, j][:, None] - part[None, :, j]
+            acc += diff * diff
+        dist = np.sqrt(acc)
+        i, k = np.nonzero(dist <= bound[near][:, None])
+        found.append((near[i], leaf[k], dist[i, k]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    i, k, dist = (np.concatenate(x) for x in zip(*found))
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))
+    order = np.lexsort((place[k], dist, i))
+    i, k, dist = i[order], k[order], dist[order]
+    first = np.searchsorted(i, i)
+    ok = np.arange(len(i)) - first < keep
+    return i[ok], k[ok], dist[ok]
+
+
+_NEAR = "vid string, cvid string, distance double"
+
+
+def _exact_parts(vecs: DataFrame, n: int, keep: int, cells: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phase 1 and 2 over distinct vectors (vid, vec, m): members with cell, block and bound, the rows sent to
+    other blocks, and (vid, cvid, distance) with the ``keep`` nearest of every compared block."""
+    import numpy as np
+    spark = vecs.sparkSession
+    dim = len(vecs.first()["vec"])
+    size = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(1, dim))))
+    some = vecs.withColumn("_h", keyed_hash("vid", seed)).orderBy("_h", "vid").limit(size).select("vec").collect()
+    sample = np.array([list(map(float, r["vec"])) for r in some])
+    nodes = kd_cuts(sample, max(1, min(MAX_CELLS, cells or math.ceil(n / CELL_ROWS))), max(8, 2 * keep))
+
+    def place(batches):
+        for part in batches:
+            if len(part):
+                yield part.assign(cell=kd_cells(np.stack(part["vec"].to_numpy()).astype(float), nodes))
+
+    def stored(df, name):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    placed = stored(vecs.select("vid", "vec", "m").mapInPandas(place, "vid string, vec array<double>, m bigint, cell bigint"), "knn-cells")
+    # at most MAX_CELLS rows, and as many per dimension
+    rows_of = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    blocks_of = {c: max(1, math.ceil(k / BLOCK)) for c, k in rows_of.items()}
+    sides = placed.select("cell", F.posexplode("vec").alias("j", "x")).groupBy("cell", "j").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    ids = sorted(rows_of)
+    at = {c: i for i, c in enumerate(ids)}
+    low, high = np.zeros((len(ids), dim)), np.zeros((len(ids), dim))
+    for r in sides:
+        low[at[r["cell"]], r["j"]], high[at[r["cell"]], r["j"]] = r["low"], r["high"]
+
+    most = F.create_map(*[x for c, k in blocks_of.items() for x in (F.lit(c), F.lit(k))])
+    members = placed.withColumn("block", F.pmod(F.xxhash64("vid"), most[F.col("cell")]).cast("int"))
+
+    def own(part):
+        import pandas as pd
+        x, names = np.stack(part["vec"].to_numpy()).astype(float), part["vid"].to_numpy()
+        i, k, dist = nearest_within(x, np.full(len(x), np.inf), x, names, keep)
+        # rows are counted with their copies; fewer than keep leave the bound open
+        m = np.add.accumulate(part["m"].to_numpy()[k])
+        start = np.searchsorted(i, np.arange(len(x)))
+        before = np.where(start > 0, m[start - 1], 0)[i]
+        full = np.flatnonzero(m - before >= keep)
+        bound = np.full(len(x), np.inf)
+        np.minimum.at(bound, i[full], dist[full])
+        end = np.append(start[1:], len(i))
+        return pd.DataFrame({"vid": names, "vec": part["vec"], "cell": part["cell"], "block": part["block"], "bound": bound,
+                             "cvids": [names[k[a:b]].tolist() for a, b in zip(start, end)], "dists": [dist[a:b].tolist() for a, b in zip(start, end)]})
+
+    first = stored(members.groupBy("cell", "block").applyInPandas(
+        own, "vid string, vec array<double>, cell bigint, block int, bound double, cvids array<string>, dists array<double>"), "knn-bounds")
+    counts = np.array([blocks_of[c] for c in ids])
+    pairs = np.array([(c, b) for c in ids for b in range(blocks_of[c])])
+    begin = np.cumsum(counts) - counts
+
+    def route(batches):
+        import pandas as pd
+        for part in batches:
+            for s in range(0, len(part), 512):
+                rows = part.iloc[s:s + 512]
+                x, bound = np.stack(rows["vec"].to_numpy()).astype(float), rows["bound"].to_numpy()
+                i, c = np.nonzero(box_distances(x, low, high) <= _reach(bound)[:, None])
+                many = counts[c]
+                i, to = np.repeat(i, many), np.repeat(begin[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                other = (pairs[to, 0] != rows["cell"].to_numpy()[i]) | (pairs[to, 1] != rows["block"].to_numpy()[i])
+                i, to = i[other], to[other]
+                yield pd.DataFrame({"cell": pairs[to, 0], "block": pairs[to, 1].astype(np.int32), "qid": rows["vid"].to_numpy()[i],
+                                    "qvec": rows["vec"].to_numpy()[i], "bound": bound[i]})
+
+    sent = stored(first.select("vid", "vec", "cell", "block", "bound").mapInPandas(
+        route, "cell bigint, block int, qid string, qvec array<double>, bound double"), "knn-sent")
+    # a block that very many rows reach is compared with them in shares
+    shares = sent.groupBy("cell", "block").agg(F.ceil(F.count("*") / F.lit(4 * BLOCK)).cast("int").alias("shares"))
+    left = sent.join(F.broadcast(shares), ["cell", "block"]).withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int"))
+    right = members.join(F.broadcast(shares), ["cell", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+
+    def other(a, b):
+        import pandas as pd
+        if not len(a) or not len(b):
+            return pd.DataFrame({"vid": pd.Series(dtype=object), "cvid": pd.Series(dtype=object), "distance": pd.Series(dtype=float)})
+        names = b["vid"].to_numpy()
+        i, k, dist = nearest_within(np.stack(a["qvec"].to_numpy()).astype(float), a["bound"].to_numpy(), np.stack(b["vec"].to_numpy()).astype(float), names, keep)
+        return pd.DataFrame({"vid": a["qid"].to_numpy()[i], "cvid": names[k], "distance": dist})
+
+    key = ["cell", "block", "share"]
+    far = left.select(*key, "qid", "qvec", "bound").groupBy(*key).cogroup(right.select(*key, "vid", "vec").groupBy(*key)).applyInPandas(other, _NEAR)
+    near = first.select("vid", F.explode(F.arrays_zip("cvids", "dists")).alias("x")).select("vid", F.col("x.cvids").alias("cvid"), F.col("x.dists").alias("distance"))
+    return first, sent, near.unionAll(far)
+
+
 def knn_all(df: DataFrame, k: int = 5, id_col: str = "customerID", vec: str = "vec",
-            n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+            n_cells: int | None = None, seed: int = 42) -> DataFrame:
     """JON6 exact: k nearest rows of every row. Returns (id, rank, neighbor_id, distance)."""
     spark = df.sparkSession
-    pts = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).alias("vec"))
+    pts = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
 
-    # A. merge identical vectors: (vec, m, vid); first k+1 ids per vector (window group limit)
+    # merge identical vectors: (vid, vec, m), named by the smallest id; first k+1 ids of each (window group limit)
     vecs = pts.groupBy("vec").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("vid"))
-    first_ids = (pts.withColumn("r", F.row_number().over(W.partitionBy("vec").orderBy("id")))
-                 .where(F.col("r") <= k + 1).select("vec", "id"))
+    path = scratch_path(spark, "knn-vectors")
+    vecs.write.parquet(path)
+    vecs = spark.read.parquet(path)
+    by = W.partitionBy("vec").orderBy("id")
+    first_ids = pts.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("vec", "id") \
+        .join(vecs.select("vec", "vid"), "vec").select(F.col("vid").alias("cvid"), F.col("id").alias("neighbor_id"))
     n_distinct = vecs.count()
     if n_distinct == 0:
         return spark.createDataFrame([], "id string, rank int, neighbor_id string, distance double") \
             .withColumnRenamed("id", id_col)
-
-    # B. pivots: the distinct vectors with the smallest keyed hash (bounded, to the driver)
-    p = n_pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(n_distinct))))
-    piv = (vecs.withColumn("_h", keyed_hash("vid", seed)).orderBy("_h", "vid").limit(p)
-           .select("vec").collect())
-    pivots = [list(map(float, r["vec"])) for r in piv]
-    p = len(pivots)
-
-    # C. distance to every pivot, own cell = nearest pivot (ties: lowest index)
-    piv_arr = F.array(*[F.array(*[F.lit(x) for x in pv]) for pv in pivots])
-    withd = vecs.withColumn("pd", F.transform(piv_arr, lambda pv: _dist(pv, F.col("vec"))))
-    withd = withd.withColumn("d0", F.array_min("pd"))
-    withd = withd.withColumn("cell", F.array_position("pd", F.col("d0")).cast("int") - 1)
-    path = scratch_path(spark, "knn-pivots")
-    withd.write.parquet(path)
-    withd = spark.read.parquet(path)
-
-    # D. per cell: radius U and r = distance from the pivot to its (k+1)-th nearest member
-    #    (weighted by copies). Any k+1 rows bound the k-th neighbour distance, and the
-    #    cell's own members are the natural ones: N rows in, at most p * (k + 1) out.
-    radius = {r["cell"]: r["U"] for r in withd.groupBy("cell").agg(F.max("d0").alias("U")).collect()}
-    near = (withd.select("cell", "d0", "m")
-            .withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("d0")))
-            .where(F.col("r") <= k + 1).select("cell", "d0", "m").collect())
-    by_cell: dict = {}
-    for row in near:
-        by_cell.setdefault(row["cell"], []).append((row["d0"], row["m"]))
-    theta = {}
-    for c in range(p):
-        acc, r_c = 0, math.inf
-        for d, m in sorted(by_cell.get(c, [])):
-            acc += m
-            if acc >= k + 1:
-                r_c = d
-                break
-        theta[c] = radius.get(c, 0.0) + r_c          # inf for a cell with fewer than k+1 rows
-    bounds = [(radius.get(c, 0.0) + theta[c]) * (1 + SLACK) + SLACK for c in range(p)]
-    bound_arr = F.array(*[F.lit(b) for b in bounds])
-
-    # E. candidates: copy a vector to every cell whose bound it is within
-    cands = withd.select(F.col("vec").alias("cvec"), F.col("vid").alias("cvid"), F.col("m").alias("cm"),
-                         F.explode(F.filter(F.sequence(F.lit(0), F.lit(p - 1)),
-                                            lambda c: F.element_at("pd", c + 1) <= F.element_at(bound_arr, c + 1)))
-                         .alias("cell"))
-    members = withd.select("vec", "vid", "m", "cell")
-
-    # F. per cell, member blocks x candidate blocks (each at most BLOCK rows): distances
-    #    with NumPy, pruned by the cell bound, only the k+1 nearest per member leave a block
-    n_mem = {r["cell"]: r["count"] for r in members.groupBy("cell").count().collect()}     # <= p rows
-    n_cand = {r["cell"]: r["count"] for r in cands.groupBy("cell").count().collect()}      # <= p rows
-    mb = F.array(*[F.lit(max(1, math.ceil(n_mem.get(c, 0) / BLOCK))) for c in range(p)])
-    cb = F.array(*[F.lit(max(1, math.ceil(n_cand.get(c, 0) / BLOCK))) for c in range(p)])
-    # block keys are ints on both sides: equal keys must hash to the same shuffle partition
-    mem_b = (members.withColumn("mb", F.pmod(F.xxhash64("vid"), F.element_at(mb, F.col("cell") + 1)).cast("int"))
-             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.element_at(cb, F.col("cell") + 1) - 1))))
-    cand_b = (cands.withColumn("cb", F.pmod(F.xxhash64("cvid"), F.element_at(cb, F.col("cell") + 1)).cast("int"))
-              .withColumn("mb", F.explode(F.sequence(F.lit(0), F.element_at(mb, F.col("cell") + 1) - 1))))
-    theta_by_cell = {c: theta[c] * (1 + SLACK) + SLACK for c in range(p)}   # inf stays inf
-    keep = k + 1
-
-    def block_topk(left, right):
-        import numpy as np
-        import pandas as pd
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"vid": pd.Series([], dtype=object), "vec": pd.Series([], dtype=object),
-                                 "cvec": pd.Series([], dtype=object), "cvid": pd.Series([], dtype=object),
-                                 "distance": pd.Series([], dtype=float)})
-        right = right.sort_values("cvid", kind="stable").reset_index(drop=True)
-        a = np.stack(left["vec"].to_numpy()).astype(float)
-        c = np.stack(right["cvec"].to_numpy()).astype(float)
-        acc = np.zeros((a.shape[0], c.shape[0]))
-        for j in range(a.shape[1]):                       # left-to-right sum, as the SQL oracle
-            diff = a[:, j][:, None] - c[:, j][None, :]
-            acc += diff * diff
-        dist = np.sqrt(acc)
-        dist[dist > theta_by_cell[int(left["cell"].iloc[0])]] = np.inf
-        order = np.argsort(dist, axis=1, kind="stable")[:, :keep]     # ties keep cvid order
-        rows_i = np.repeat(np.arange(a.shape[0]), order.shape[1])
-        cols_j = order.reshape(-1)
-        d = dist[rows_i, cols_j]
-        ok = np.isfinite(d)
-        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows_i[ok]], "vec": left["vec"].to_numpy()[rows_i[ok]],
-                             "cvec": right["cvec"].to_numpy()[cols_j[ok]], "cvid": right["cvid"].to_numpy()[cols_j[ok]],
-                             "distance": d[ok]})
-
-    found = (mem_b.groupBy("cell", "mb", "cb")
-             .cogroup(cand_b.select("cell", "mb", "cb", "cvec", "cvid").groupBy("cell", "mb", "cb"))
-             .applyInPandas(block_topk, "vid string, vec array<double>, cvec array<double>, cvid string, "
-                                        "distance double"))
+    _, _, found = _exact_parts(vecs, n_distinct, k + 1, n_cells, seed)
     wv = W.partitionBy("vid").orderBy("distance", "cvid")
-    best = found.withColumn("vr", F.row_number().over(wv)).where(F.col("vr") <= k + 1) \
-        .select("vid", "vec", "cvec", "distance")
+    best = found.withColumn("vr", F.row_number().over(wv)).where(F.col("vr") <= k + 1).select("vid", "cvid", "distance")
 
-    # G. expand neighbour vectors to their first ids; first k+1 rows per member vector
-    rows = best.join(first_ids.withColumnRenamed("vec", "cvec").withColumnRenamed("id", "neighbor_id"), "cvec")
+    # expand neighbour vectors to their first ids; first k+1 rows per member vector
+    rows = best.join(first_ids, "cvid")
     wr = W.partitionBy("vid").orderBy("distance", "neighbor_id")
     lists = rows.withColumn("nr", F.row_number().over(wr)).where(F.col("nr") <= k + 1) \
-        .groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("nr", "neighbor_id", "distance"))).alias("nb"))
+        .groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("nr", "neighbor_id", "distance"))).alias("nb")) \
+        .join(vecs.select("vid", "vec"), "vid")
 
-    # H. every original row: its vector's list without itself, first k
+    # every original row: its vector's list without itself, first k
     out = pts.join(lists, "vec").select("id", F.posexplode(F.slice(
         F.filter("nb", lambda x: x["neighbor_id"] != F.col("id")), 1, k)).alias("pos", "x"))
     return out.select(F.col("id").alias(id_col), (F.col("pos") + 1).cast("int").alias("rank"),

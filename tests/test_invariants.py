@@ -229,15 +229,15 @@ def test_hash_cut_matches_sort(spark):
         assert cuts[g] == (exp.h, exp.id)
 
 
-@pytest.mark.parametrize("n_pivots", [7, 150])
-def test_knn_exact_with_duplicates_matches_brute_force(spark, n_pivots):
+@pytest.mark.parametrize("n_cells", [7, 150])
+def test_knn_exact_with_duplicates_matches_brute_force(spark, n_cells):
     from churnlens.operators.neighbors import knn_all
     rng = np.random.default_rng(3)
     pts = np.round(rng.normal(size=(300, 4)), 3)
     pts[:100] = pts[0]                       # a hot group of 100 identical vectors
     rows = [(f"r{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "customerID string, vec array<double>")
-    got = knn_all(df, k=5, n_pivots=n_pivots).toPandas()   # 150 pivots: many cells below k+1 rows
+    got = knn_all(df, k=5, n_cells=n_cells).toPandas()   # 150 pivots: many cells below k+1 rows
     ids = [r[0] for r in rows]
     d = np.sqrt(((pts[:, None, :] - pts[None]) ** 2).sum(2))
     for i, rid in enumerate(ids):
@@ -346,7 +346,7 @@ def test_knn_blocks_match_brute_force(spark, monkeypatch, block):
     pts = np.round(rng.normal(size=(400, 6)), 4)
     rows = [(f"p{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)]
     got = neighbors.knn_all(spark.createDataFrame(rows, "customerID string, vec array<double>"), k=4,
-                            n_pivots=5).toPandas()
+                            n_cells=5).toPandas()
     assert len(got) == 400 * 4
     d = np.sqrt(((pts[:, None, :] - pts[None]) ** 2).sum(2))
     ids = [r[0] for r in rows]
@@ -450,3 +450,38 @@ def test_deep_paths_without_tables(spark, monkeypatch):
     plain, _ = treeshap.tree_shap(m, few, feats, long=False)
     again = plain.toPandas().set_index("customerID").shap.reindex(got.index)
     assert np.allclose(np.stack(again.to_numpy()), np.stack(got.shap.to_numpy()), atol=1e-9)
+
+
+def test_exact_neighbours_send_few_copies(spark):
+    """Two-phase exact join at sf0.1: a row goes to fewer than 10 other blocks; leaves out of reach are not compared."""
+    from churnlens.operators import neighbors
+    from churnlens.plans import tables
+    v = tables.customer_vectors(spark, "/root/testdata/sf0.1").select("customerID", "vec")
+    vecs = v.groupBy("vec").agg(F.count(F.lit(1)).alias("m"), F.min("customerID").alias("vid"))
+    first, sent, found = neighbors._exact_parts(vecs, vecs.count(), 6, None, 42)
+    n = first.count()
+    assert sent.count() < 10 * n and first.where("isnan(bound) or bound = double('inf')").isEmpty()
+    # bounds hold: the k-th nearest of all compared rows is no further
+    kth = found.groupBy("vid").agg(F.element_at(F.array_sort(F.collect_list("distance")), 6).alias("kth"))
+    assert first.join(kth, "vid").where("kth > bound").isEmpty() and kth.count() == n
+
+
+def test_boxes_never_hide_a_neighbour():
+    from churnlens.operators import neighbors
+    rng = np.random.default_rng(12)
+    c = np.concatenate([rng.normal(size=(500, 5)), rng.normal(size=(300, 5)) * 0.05 + 3, np.zeros((60, 5))])
+    q = c[rng.choice(len(c), 120, replace=False)] + rng.normal(size=(120, 5)) * 0.1
+    names = np.array([f"n{i:04d}" for i in range(len(c))], dtype=object)
+    d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    bound = np.sort(d, axis=1)[:, 9] * rng.uniform(1, 1.5, 120)
+    i, k, dist = neighbors.nearest_within(q, bound, c, names, 7)
+    for r in range(120):
+        assert np.allclose(dist[i == r], np.sort(d[r])[:7])
+    nodes = neighbors.kd_cuts(c, 20, 8)
+    cells = neighbors.kd_cells(c, nodes)
+    assert len(np.unique(cells)) > 10 and np.bincount(cells).min() >= 8
+    low = np.stack([c[cells == x].min(0) for x in np.unique(cells)])
+    high = np.stack([c[cells == x].max(0) for x in np.unique(cells)])
+    boxes = neighbors.box_distances(q, low, high)
+    for x in np.unique(cells):
+        assert (boxes[:, x] <= d[:, cells == x].min(1) + 1e-9).all()
