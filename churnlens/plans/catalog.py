@@ -379,7 +379,7 @@ def q_factor_bars(spark, sf):
 @query("waterfall")
 def q_waterfall(spark, sf):
     attr, base = TB.linear_attr(spark, sf)
-    w = explain.waterfall(attr, base, n=3)
+    w = explain.waterfall(attr, base, n=10)
     return w.select(ID_COL, "step", "item", r6("value").alias("value"), r6("start").alias("start"),
                     r6("end").alias("end"), "text", r6("probability").alias("probability"))
 
@@ -608,11 +608,11 @@ def q_model_metrics(spark, sf):
 @query("tune_trials")
 def q_tune_trials(spark, sf):
     prep = TB.prepared(spark, sf)
-    parts = splitting.random_split(prep["train"])
+    parts = splitting.random_split(prep["train"], seed=43)  # another hash than the test split's
     from churnlens.operators.balance import smote
     fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), prep["features"], LABEL_COL, knn="sorted")
     valid = parts.where(F.col("part") == "valid")
-    _, trials = M.tune(fit_rows, valid, prep["features"], LABEL_COL, n_trials=2, parallelism=2)
+    _, trials = M.tune(fit_rows, valid, prep["features"], LABEL_COL)  # 50 trials
     return trials
 
 

@@ -80,7 +80,8 @@ def train_job(spark: SparkSession, path: str, out_dir: str | None = None, optimi
     trials = None
     if optimize:
         # validate on unbalanced rows (keyed 20 % of train), balance only the fitting part
-        parts = splitting.random_split(prep["train"], TEST_SIZE, SEED)
+        # another seed than the test split, whose hash the rows of train have already passed
+        parts = splitting.random_split(prep["train"], TEST_SIZE, SEED + 1)
         fit_rows = smote(parts.where(F.col("part") == "fit").drop("part", "split"), feats, LABEL_COL, knn="sorted")
         valid = parts.where(F.col("part") == "valid")
         params, trials = M.tune(fit_rows, valid, feats, LABEL_COL, n_trials=n_trials)

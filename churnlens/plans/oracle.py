@@ -340,7 +340,7 @@ SELECT customerID, CAST(k + 2 AS INTEGER), 'Prediction', round(base_value + tota
   round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(base_value + total))), 6) FROM pc, base""", ATTR + """,
 wr AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY abs(shap_value) DESC, feature) AS r,
   sum(shap_value) OVER (PARTITION BY customerID) AS total FROM attr),
-shown AS (SELECT * FROM wr WHERE r <= 3),
+shown AS (SELECT * FROM wr WHERE r <= 10),
 steps AS (SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY shap_value, feature) AS INTEGER) AS step,
   feature AS item, shap_value AS value FROM shown),
 pc AS (SELECT customerID, sum(shap_value) AS shown_sum, any_value(total) AS total, count(*) AS k FROM shown GROUP BY customerID),

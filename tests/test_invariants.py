@@ -485,3 +485,40 @@ def test_boxes_never_hide_a_neighbour():
     boxes = neighbors.box_distances(q, low, high)
     for x in np.unique(cells):
         assert (boxes[:, x] <= d[:, cells == x].min(1) + 1e-9).all()
+
+
+def test_successive_halving_settles_the_last_rung(spark, monkeypatch):
+    from churnlens.operators import model
+    assert model.rungs(50, 500) == [(50, 3), (17, 9), (6, 27), (2, None)]
+    assert model.rungs(2, 500) == [(2, None)] and model.rungs(9, 5, 2, 3) == [(9, 2), (3, None)]
+    monkeypatch.setitem(model.SEARCH_SPACE, "n_estimators", ("int", 20, 30))
+    monkeypatch.setitem(model.SEARCH_SPACE, "max_depth", ("int", 2, 4))
+    from churnlens.plans import tables
+    from churnlens.operators.prepare import encoded_feature_names
+    df, _ = tables.scaled_split(spark, SF_SMALL)
+    best, trials = model.tune(df.where("split = 'train'"), df.where("split = 'test'"), encoded_feature_names(df), n_trials=7, first_trees=2)
+    t = trials.toPandas().set_index("trial")
+    assert len(t) == 7 and t.rung.value_counts().to_dict() == {0: 4, 1: 2, 2: 1}
+    assert t.n_trees[t.rung == 0].eq(2).all() and t.auc.between(0, 1).all()
+    last = t[t.rung == t.rung.max()]
+    assert last.auc.min() >= 0.5 and (last.n_trees <= 30).all()
+    assert best["max_depth"] == last.sort_values("f1", ascending=False, kind="stable").iloc[0].params["max_depth"]
+
+
+def test_validation_rows_are_not_empty(spark):
+    """The validation split uses another hash than the test split: rows of train have all passed that one."""
+    from churnlens.operators.split import random_split
+    from churnlens.plans import tables
+    train = tables.split(spark, SF_MID).where("split = 'train'")
+    share = random_split(train, seed=43).where("part = 'valid'").count() / train.count()
+    assert 0.15 < share < 0.25
+
+
+def test_valid_measures_equal_the_curve(spark):
+    from churnlens.operators import evaluate, model
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(500), 3)
+    y = (rng.random(500) < p).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), int(b >= 0.5)) for a, b in zip(y, p)], "label int, churn_proba double, prediction int")
+    auc, f1 = model.valid_measures(df, "label")
+    assert abs(auc - evaluate.roc_auc(df).first()["roc_auc"]) < 1e-9 and abs(f1 - evaluate.f1_of_class1(df)) < 1e-12
