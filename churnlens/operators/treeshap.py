@@ -13,6 +13,15 @@ the product of the cover fractions of those splits. As o is a bit pattern, the
 model (its size, not the data's) and broadcast; each executor then needs d
 comparisons and one table lookup per leaf and row, vectorised with NumPy in
 ``mapInPandas``. Sum of phi plus the base value equals the log-odds margin.
+
+Deeper models have no such tables. The weighted sum over subsets is an integral,
+
+    integral over t in [0, 1] of prod_{j in D \\ {i}} (z_j (1 - t) + o_j t),
+
+a polynomial in t that Gauss-Legendre nodes integrate exactly. At each node the
+product over a path grows by one factor per split, shared by all leaves below it,
+and the leaves' values are added up from below, so a row costs one pass down and
+one up a tree: splits times nodes, whatever the number of leaves under a path.
 """
 
 from __future__ import annotations
@@ -52,6 +61,7 @@ def leaf_table(spark: SparkSession, model) -> dict:
     trees: dict = {}
     for r in nodes:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
+    edges = [_edges(tree, weights[tid] * scale) for tid, tree in sorted(trees.items())]
     leaves = []   # (value, features tuple, lo array, hi array, z array)
     base = 0.0
     for tid, tree in trees.items():
@@ -81,7 +91,73 @@ def leaf_table(spark: SparkSession, model) -> dict:
                 new = dict(path_info)
                 new[f] = (lo_, min(hi_, t), z_ * frac) if is_left else (max(lo_, t), hi_, z_ * frac)
                 stack.append((child, new))
-    return {"leaves": leaves, "base": base}
+    return {"leaves": leaves, "base": base, "trees": edges}
+
+
+def _edges(tree: dict, weight: float) -> dict:
+    """A tree's nodes but its root, level by level, siblings together (left, right).
+
+    ``up``: the parent's place (-1: the root); ``prev``: the nearest node above that tests the same feature, -1 for none;
+    ``z``: product of the cover fractions of the feature's splits so far; ``v``: the value of a leaf."""
+    out: dict = {k: [] for k in ("feature", "cut", "left", "up", "prev", "z", "v", "tests")}
+    starts, now = [0], [(0, -1, {})]  # node, its place, places of the features tested above
+    while now:
+        below = []
+        for nid, at, seen in now:
+            node = tree[nid]
+            if node["leftChild"] < 0:
+                continue
+            f, cover = node["featureIndex"], float(node["rawCount"])
+            for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
+                below_node, place, prev = tree[child], len(out["z"]), seen.get(f, -1)
+                share = float(below_node["rawCount"]) / cover if cover > 0 else 0.0
+                out["feature"].append(f)
+                out["cut"].append(float(node["leftCategoriesOrThreshold"][0]))
+                out["left"].append(left)
+                out["up"].append(at)
+                out["prev"].append(prev)
+                out["z"].append(share * (out["z"][prev] if prev >= 0 else 1.0))
+                out["v"].append(weight * float(below_node["prediction"]) if below_node["leftChild"] < 0 else 0.0)
+                out["tests"].append(len(seen) + (prev < 0))
+                below.append((child, place, {**seen, f: place}))
+        now = below
+        starts.append(len(out["z"]))
+    return {"starts": starts[:-1] if len(starts) > 1 and starts[-1] == starts[-2] else starts,
+            **{k: np.array(v, {"left": bool, "cut": float, "z": float, "v": float}.get(k, np.int64)) for k, v in out.items()}}
+
+
+def tree_values(x: np.ndarray, tree: dict, n_features: int) -> np.ndarray:
+    """phi (n, features) of one tree for the rows x, by one pass down and one up."""
+    n, size = len(x), len(tree["z"])
+    if not size:
+        return np.zeros((n, n_features))
+    t, w = np.polynomial.legendre.leggauss(max(1, (int(tree["tests"].max()) + 1) // 2))
+    t, w = (t + 1) / 2, w / 2
+    prev, z = tree["prev"], tree["z"]
+    low = x[:, tree["feature"]] <= tree["cut"]
+    o = np.where(tree["left"], low, ~low).astype(float)
+    levels = [slice(a, b) for a, b in zip(tree["starts"][:-1], tree["starts"][1:])]
+    for k in levels:
+        again = np.flatnonzero(prev[k] >= 0) + k.start
+        o[:, again] *= o[:, prev[again]]
+    f = z[None, :, None] * (1 - t) + o[:, :, None] * t
+    # 1 / f, 0 where a path has neither rows nor the row itself: the difference below is 0 there too
+    inverse = np.divide(1.0, f, out=np.zeros_like(f), where=f > 0)
+    down = f.copy()
+    again = np.flatnonzero(prev >= 0)
+    down[:, again] *= inverse[:, prev[again]]
+    for k in levels[1:]:
+        down[:, k] *= down[:, tree["up"][k]]
+    up = down * tree["v"][None, :, None]
+    for k in reversed(levels[1:]):
+        up[:, tree["up"][k][::2]] += up[:, k][:, 0::2] + up[:, k][:, 1::2]
+    part = inverse * (o - z[None, :])[:, :, None]
+    own = part.copy()
+    own[:, again] -= part[:, prev[again]]
+    share = (up * own) @ w
+    which = np.zeros((size, n_features))
+    which[np.arange(size), tree["feature"]] = 1.0
+    return share @ which
 
 
 def _coefficients(z: np.ndarray) -> np.ndarray:
@@ -110,16 +186,14 @@ def _coefficients(z: np.ndarray) -> np.ndarray:
 
 
 TABLE_DEPTH = 8             # longest path whose 2^d answers are tabulated
-TABLE_BYTES = 1 << 26       # of all tables together; beyond it paths are evaluated
-CELLS = 1 << 21             # rows x leaves x path length handled at a time
+TABLE_BYTES = 1 << 26       # of all tables together; a model beyond either is read tree by tree
+CELLS = 1 << 21             # rows x leaves (or splits) x path length handled at a time
 
 
 def compile_tables(lt: dict, n_features: int) -> dict:
-    """Group leaves by path length d into dense arrays for vectorised lookup.
-
-    Short paths get a table of their 2^d answers while all tables fit in ``TABLE_BYTES``; the others are
-    evaluated in O(d^2) products per row, leaf and feature, which needs no memory beyond the model's own size.
-    """
+    """Group leaves by path length d into dense arrays for vectorised lookup of their 2^d answers; without
+    tables where a path is longer than ``TABLE_DEPTH`` or they would exceed ``TABLE_BYTES``."""
+    base = {"n_features": n_features, "base": lt["base"], "trees": lt.get("trees")}
     groups: dict = {}
     for v, feats, lo, hi, z in lt["leaves"]:
         g = groups.setdefault(len(feats), {"v": [], "f": [], "lo": [], "hi": [], "z": []})
@@ -128,43 +202,30 @@ def compile_tables(lt: dict, n_features: int) -> dict:
         g["lo"].append(lo)
         g["hi"].append(hi)
         g["z"].append(z)
-    out, used = {}, 0
+    if max(groups, default=0) > TABLE_DEPTH or sum(len(g["v"]) * d * 8 << d for d, g in groups.items()) > TABLE_BYTES:
+        return {**base, "groups": None}
+    out = {}
     for d, g in sorted(groups.items()):
         if d == 0:
             continue
         n = len(g["v"])
         v = np.array(g["v"], dtype=float)
         z = np.array(g["z"], dtype=float).reshape(n, d)
-        size = n * d * 8 << d
-        tab = None
-        if d <= TABLE_DEPTH and used + size <= TABLE_BYTES:
-            tab, used = _coefficients(z) * v[:, None, None], used + size
         out[d] = {"f": np.array(g["f"], dtype=int).reshape(n, d), "lo": np.array(g["lo"]).reshape(n, d),
-                  "hi": np.array(g["hi"]).reshape(n, d), "tab": tab, "z": z, "v": v}
-    return {"groups": out, "n_features": n_features, "base": lt["base"]}
-
-
-def path_values(inside: np.ndarray, z: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """phi of each path feature (n, L, d): the Shapley weights applied to the coefficients of
-    prod_{j != i} (z_j + o_j y), where o says whether the row follows the path at feature j."""
-    n, leaves, d = inside.shape
-    o = inside.astype(float)
-    weight = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-    out = np.empty((n, leaves, d))
-    for i in range(d):
-        poly = [np.ones((n, leaves))]
-        for j in range(d):
-            if j == i:
-                continue
-            zj, oj = z[None, :, j], o[:, :, j]
-            poly = [poly[0] * zj] + [poly[k] * zj + poly[k - 1] * oj for k in range(1, len(poly))] + [poly[-1] * oj]
-        out[:, :, i] = v[None, :] * (o[:, :, i] - z[None, :, i]) * sum(w * p for w, p in zip(weight, poly))
-    return out
+                  "hi": np.array(g["hi"]).reshape(n, d), "tab": _coefficients(z) * v[:, None, None]}
+    return {**base, "groups": out, "trees": None}
 
 
 def shap_matrix(x: np.ndarray, tables: dict) -> np.ndarray:
-    """phi for a batch of rows x (n, M), a bounded number of leaves at a time."""
+    """phi for a batch of rows x (n, M), a bounded number of leaves or rows of a tree at a time."""
     n, m = x.shape
+    if tables["groups"] is None:
+        phi = np.zeros((n, m))
+        for tree in tables["trees"]:
+            step = max(1, CELLS // max(1, len(tree["z"]) * ((int(tree["tests"].max(initial=1)) + 1) // 2)))
+            for at in range(0, n, step):
+                phi[at:at + step] += tree_values(x[at:at + step], tree, m)
+        return phi
     phi = np.zeros(n * m)
     for d, g in tables["groups"].items():
         step = max(1, CELLS // max(1, n * d))
@@ -173,11 +234,8 @@ def shap_matrix(x: np.ndarray, tables: dict) -> np.ndarray:
             f = g["f"][k]
             xv = x[:, f]                                             # (n, L, d)
             o = (xv > g["lo"][k][None]) & (xv <= g["hi"][k][None])   # inside (lo, hi]
-            if g["tab"] is None:
-                coef = path_values(o, g["z"][k], g["v"][k])
-            else:
-                bits = (o * (1 << np.arange(d))[None, None, :]).sum(axis=2)      # (n, L)
-                coef = g["tab"][k][np.arange(len(f))[None, :], bits]             # (n, L, d)
+            bits = (o * (1 << np.arange(d))[None, None, :]).sum(axis=2)      # (n, L)
+            coef = g["tab"][k][np.arange(len(f))[None, :], bits]             # (n, L, d)
             idx = (np.arange(n)[:, None, None] * m + f[None, :, :]).reshape(-1)
             phi += np.bincount(idx, weights=coef.reshape(-1), minlength=n * m)
     return phi.reshape(n, m)

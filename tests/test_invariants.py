@@ -522,3 +522,49 @@ def test_valid_measures_equal_the_curve(spark):
     df = spark.createDataFrame([(int(a), float(b), int(b >= 0.5)) for a, b in zip(y, p)], "label int, churn_proba double, prediction int")
     auc, f1 = model.valid_measures(df, "label")
     assert abs(auc - evaluate.roc_auc(df).first()["roc_auc"]) < 1e-9 and abs(f1 - evaluate.f1_of_class1(df)) < 1e-12
+
+
+@pytest.mark.parametrize("depth", [1, 4, 10])
+def test_tree_values_equal_brute_force(depth):
+    """One pass per tree against Shapley values over all subsets of the features; repeated and empty splits too."""
+    from churnlens.operators import treeshap
+    rng = np.random.default_rng(depth)
+    m = 7
+
+    class Node(dict):
+        __getitem__ = dict.get
+
+    tree: dict = {}
+
+    def grow(nid, level, count):
+        if level == depth or count < 2:
+            tree[nid] = Node(id=nid, prediction=float(rng.normal()), rawCount=count, leftChild=-1, rightChild=-1)
+            return
+        left = int(rng.integers(0, count + 1)) if rng.random() < 0.1 else max(1, int(count * rng.uniform(0.2, 0.8)))
+        tree[nid] = Node(id=nid, prediction=0.0, rawCount=count, leftChild=2 * nid + 1, rightChild=2 * nid + 2, featureIndex=int(rng.integers(0, m)),
+                         leftCategoriesOrThreshold=[float(rng.normal())], numCategories=-1)
+        grow(2 * nid + 1, level + 1, left)
+        grow(2 * nid + 2, level + 1, count - left)
+
+    grow(0, 0, 4000)
+    x = rng.normal(size=(5, m))
+
+    def expected(row, known, nid=0):
+        node = tree[nid]
+        if node["leftChild"] < 0:
+            return node["prediction"]
+        a, b = node["leftChild"], node["rightChild"]
+        if node["featureIndex"] in known:
+            return expected(row, known, a if row[node["featureIndex"]] <= node["leftCategoriesOrThreshold"][0] else b)
+        share = tree[a]["rawCount"] / node["rawCount"] if node["rawCount"] else 0.0
+        return share * expected(row, known, a) + (1 - share if node["rawCount"] else 0.0) * expected(row, known, b)
+
+    got = treeshap.tree_values(x, treeshap._edges(tree, 1.0), m)
+    for r in range(len(x)):
+        value = {s: expected(x[r], s) for k in range(m + 1) for s in combinations(range(m), k)}
+        for i in range(m):
+            rest = [j for j in range(m) if j != i]
+            want = sum(math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) * (value[tuple(sorted((*s, i)))] - value[s])
+                       for k in range(m) for s in combinations(rest, k))
+            assert got[r, i] == pytest.approx(want, abs=1e-9)
+        assert got[r].sum() == pytest.approx(value[tuple(range(m))] - value[()], abs=1e-9)
