@@ -747,7 +747,24 @@ def q_stream_rule_score(spark, sf):
     io.write_csv(TB.customers(spark, sf).repartition(4), in_dir)
     start(spark, in_dir, lambda df: df.select(ID_COL, rule_score_col().alias(SCORE_COL)).withColumn(
         "risk_band", S.risk_band(SCORE_COL)), out_dir, scratch_path(spark, "stream_rule_ckpt"), fmt="csv").awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("batch_id")
+
+
+@query("stream_rejects")
+def q_stream_rejects(spark, sf):
+    """STM1 over files of which some rows have cells that are no numbers: every customer once, scored or rejected."""
+    from churnlens.sources.fixture import rule_score_col
+    from churnlens.streaming.score import read_sink, start
+    in_dir, out_dir = scratch_path(spark, "stream_bad_csv"), scratch_path(spark, "stream_mixed")
+    key = F.substring(ID_COL, 10, 9).cast("int")
+    damaged = TB.customers(spark, sf).withColumn("tenure", F.when(key % 50 == 7, F.lit("n/a")).otherwise(F.col("tenure").cast("string"))) \
+        .withColumn("MonthlyCharges", F.when(key % 75 == 7, F.lit("12,5")).otherwise(F.col("MonthlyCharges").cast("string")))
+    io.write_csv(damaged.repartition(4), in_dir)
+    start(spark, in_dir, lambda df: df.select(ID_COL, rule_score_col().alias(SCORE_COL)), out_dir,
+          scratch_path(spark, "stream_bad_ckpt"), fmt="csv").awaitTermination()
+    good = spark.read.parquet(out_dir).select(ID_COL, SCORE_COL, F.lit(None).cast("string").alias("bad_columns"))
+    bad = read_sink(spark, out_dir + "_rejected").select(ID_COL, F.lit(None).cast("double").alias(SCORE_COL), F.concat_ws(",", "bad_columns").alias("bad_columns"))
+    return good.unionAll(bad)
 
 
 @query("training_importance")

@@ -526,6 +526,9 @@ register("prepare_counts", """SELECT * FROM (SELECT unnest(['raw', 'cleaned', 'e
   UNION ALL SELECT split, count(*) FROM hsplit GROUP BY split
   UNION ALL SELECT 'train_balanced', 2 * max(n) FROM (SELECT count(*) AS n FROM hsplit WHERE split = 'train' GROUP BY label)""")
 register("stream_rule_score", f"SELECT customerID, churn_proba, {BAND} AS risk_band FROM scored")
+BAD = "concat_ws(',', CASE WHEN k % 50 = 7 THEN 'tenure' END, CASE WHEN k % 75 = 7 THEN 'MonthlyCharges' END)"
+register("stream_rejects", f"""SELECT customerID, CASE WHEN b = '' THEN churn_proba END AS churn_proba, nullif(b, '') AS bad_columns
+  FROM (SELECT customerID, churn_proba, {BAD} AS b FROM (SELECT customerID, churn_proba, CAST(substr(customerID, 10, 9) AS INTEGER) AS k FROM scored))""")
 TYPES = {f.name: f.dataType.simpleString() for f in CUSTOMER_SCHEMA}
 register("column_types", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{t}' AS dtype, " + (f"'{t}'" if t != "string" else

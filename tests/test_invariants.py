@@ -598,3 +598,34 @@ def test_kmeans_of_copies_and_more_starts_than_rows(spark):
     df = spark.createDataFrame(rows, "customerID string, x array<double>")
     found = segments.kmeans(df, k=2, n_init=15)
     assert found.cost == 0 and sorted(c[0] for c in found.centres) == [0.0, 1.0]
+
+
+def test_stream_survives_bad_rows_restarts_and_an_empty_start(spark, tmp_path):
+    from churnlens.streaming import score as stream
+    out, ckpt, src = str(tmp_path / "out"), str(tmp_path / "ckpt"), tmp_path / "in"
+    keep = lambda df: df.select("customerID", "tenure", "MonthlyCharges")
+    run = lambda: stream.start(spark, str(src), keep, out, ckpt, fmt="csv").awaitTermination()
+    run()  # a folder that is not there yet
+    kinds = "customerID string, tenure int, MonthlyCharges double"
+    assert stream.read_sink(spark, out, kinds).count() == 0 and stream.read_sink(spark, out + "_rejected", stream.REJECTED).count() == 0
+    names = [f.name for f in __import__("churnlens.schema", fromlist=["x"]).CUSTOMER_SCHEMA]
+    line = lambda **v: ",".join(str(v.get(n, "1" if n in ("extra_flag", "tenure", "MonthlyCharges") else "Yes")) for n in names)
+    rows = [line(customerID="a"), line(customerID="b", tenure="many"), line(customerID="c", MonthlyCharges="1,5".replace(",", ";")),
+            line(customerID="", tenure="2"), line(customerID="e", tenure="", MonthlyCharges="2.5")]
+    (src / "one.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
+    run()
+    (src / "two.csv").write_text("\n".join([",".join(names), line(customerID="f"), line(customerID="g", tenure="x", extra_flag="y")]) + "\n")
+    run()
+    run()  # nothing new
+    good = stream.read_sink(spark, out, kinds).collect()
+    bad = {r.customerID: r for r in stream.read_sink(spark, out + "_rejected").collect()}
+    assert sorted(r.customerID for r in good) == ["a", "e", "f"] and len(good) + len(bad) == 7
+    assert {r.customerID: r.tenure for r in good} == {"a": 1, "e": None, "f": 1}
+    assert bad["b"].bad_columns == ["tenure"] and bad["g"].bad_columns == ["extra_flag", "tenure"] and bad[None].bad_columns == ["customerID"]
+    assert '"tenure":"many"' in bad["b"].row and bad["c"].bad_columns == ["MonthlyCharges"]
+    # a batch that is attempted again replaces what it had written
+    again = spark.read.option("header", True).csv(str(src / "two.csv"))
+    fresh, _ = stream.split_bad(again)
+    number = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
+    keep(fresh).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+    assert stream.read_sink(spark, out).count() == 3
