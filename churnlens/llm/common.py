@@ -39,7 +39,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*out)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Tables written inside ``settled`` calls that are going on, the innermost last.
+_OPEN: list[list] = []
+
+
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back.
 
     Cuts the lineage: a lost executor costs a re-read of this table, not the
@@ -47,9 +51,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+def settled(build, name: str, codec: str | None = None) -> DataFrame:
+    """``written(build(), name)``; the tables that ``build`` had to write are deleted once this one stands."""
+    inner: list = []
+    _OPEN.append(inner)
+    try:
+        out = written(build(), name, codec)
+        inner.pop()  # this one stays
+    finally:
+        _OPEN.pop()
+        discard(*inner)
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
