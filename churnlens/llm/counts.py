@@ -6,12 +6,13 @@ count and a +1 row with the new one. ``commit`` reduces one batch of the feed
 to its additive totals per (source, lang, tokenizer_version) and writes them
 under the batch's own folder; ``totals`` adds up all committed batches. The
 feed is read once per batch, earlier batches are never read again, and the
-state is a few rows per batch.
+state is a few rows per batch. ``compact`` folds committed batches into one.
 
-Commits are idempotent: a batch id names one folder, which a repeated commit
-replaces as a whole and never adds to. A folder counts only with Spark's
-``_SUCCESS`` marker, so a job that died half-way leaves totals as they were,
-and can be run again.
+Commits are idempotent: a batch id names one folder. Every attempt at it writes a
+folder of its own inside; then the batch's ``_SUCCESS`` marker, which names the
+attempt that counts, is replaced by an atomic rename, and older attempts are
+deleted. A job that dies at any point, in a repeated commit too, leaves totals as
+they were and can be run again. A folded batch cannot be committed again.
 
 A hot source costs one row per task: Spark adds up before the shuffle.
 
@@ -24,6 +25,8 @@ with zeros; further input columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from .common import pick, table
 
 KEYS = ["source", "lang", "tokenizer_version"]
 FEED = "source string, lang string, tokenizer_version string, n_tokens bigint, sign bigint"
+BASE = "_folded"
 ROLLUP = "batch_id string, source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint"
 
 #: Token rules by version: the second counts punctuation marks apart from words.
@@ -72,29 +76,78 @@ class Rollup:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _marker(self, batch: str) -> list[str]:
+        """What the marker of a batch says: its attempt, and the batches folded into it; nothing without a marker."""
+        hadoop, fs = self._fs()
+        path = hadoop.Path(f"{self.path}/{batch}/_SUCCESS")
+        if not fs.exists(path):
+            return []
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode().splitlines()
+        finally:
+            stream.close()
+
+    def _switch(self, batch: str, lines: list[str]) -> None:
+        """Replace a batch's marker at once, then delete its other attempts."""
+        hadoop, fs = self._fs()
+        marker = hadoop.Path(f"{self.path}/{batch}/_SUCCESS")
+        fresh = hadoop.Path(f"{self.path}/{batch}/_new-{lines[0]}")
+        stream = fs.create(fresh, True)
+        stream.write("\n".join(lines).encode())
+        stream.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        full = fs.makeQualified(marker)
+        hadoop.FileContext.getFileContext(full.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), full, options)
+        for s in fs.listStatus(marker.getParent()):
+            if s.isDirectory() and s.getPath().getName() != lines[0]:
+                fs.delete(s.getPath(), True)
+
+    def _write(self, batch: str, rows: DataFrame, more: list[str] = ()) -> None:
+        attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+        rows.select(F.lit(batch).alias("batch_id"), *KEYS, "n_docs", "n_tokens").write.parquet(f"{self.path}/{batch}/{attempt}")
+        self._switch(batch, [attempt, *more])
+
     def commit(self, batch_id: str, feed: DataFrame) -> None:
         """Write the batch's totals; the same batch id again replaces them."""
+        if batch_id in self._marker(BASE)[1:]:
+            raise ValueError(f"batch {batch_id} is folded and cannot be committed again")
         f = pick(feed, source="source string", lang="lang string", tokenizer_version="tokenizer_version string",
                  n_tokens="n_tokens bigint", sign="sign bigint").fillna({"sign": 1, "n_tokens": 0})
-        delta = f.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        delta.select(F.lit(batch_id).alias("batch_id"), *KEYS, "n_docs", "n_tokens") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        self._write(batch_id, f.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")))
 
-    def committed(self) -> list[str]:
-        """Ids of the batches that count."""
+    def _live(self) -> dict[str, str]:
+        """Folder of every batch that is not folded, and of the folded ones together."""
         hadoop, fs = self._fs()
         root = hadoop.Path(self.path)
         if not fs.exists(root):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(root)
-                      if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+            return {}
+        base = self._marker(BASE)
+        found = {s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()} - {BASE} - set(base[1:])
+        live = {b: m[0] for b in found if (m := self._marker(b))}
+        return {b: f"{self.path}/{b}/{a}" for b, a in (live | ({BASE: base[0]} if base else {})).items()}
+
+    def committed(self) -> list[str]:
+        """Ids of the batches that count."""
+        return sorted({*self._live(), *self._marker(BASE)[1:]} - {BASE})
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens over all committed batches."""
-        paths = [f"{self.path}/{b}" for b in self.committed()]
+        paths = list(self._live().values())
         rows = self.spark.read.schema(ROLLUP).parquet(*paths) if paths else self.spark.createDataFrame([], ROLLUP)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
+    def compact(self) -> None:
+        """Fold all committed batches into one folder; totals stay, and readers never see a batch twice or not at all."""
+        batches = self.committed()
+        if batches:
+            self._write(BASE, self.totals(), batches)
+            hadoop, fs = self._fs()
+            for b in batches:  # they no longer count
+                fs.delete(hadoop.Path(f"{self.path}/{b}"), True)
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table through four batches, one of them committed twice:

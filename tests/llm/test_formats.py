@@ -20,7 +20,7 @@ def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ["documents", "conversations", "embeddings"]:
+    for t in ["documents", "conversations", "embeddings", "benchmark"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()
@@ -84,6 +84,32 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert total()[("a", "words-1")] == (1, 4) and r.committed() == ["1", "2", "3", "4"]
 
 
+def test_repeated_commit_that_dies_leaves_totals(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "en", "one two"), ("b", "en", "x")], "source string, lang string, text string")
+    r = counts.Rollup(spark, str(tmp_path / "r"))
+    total = lambda: sorted((x.source, x.n_docs, x.n_tokens) for x in r.totals().collect())
+    r.commit("1", counts.changes(docs, "words-1"))
+    r.commit("2", counts.changes(docs.where("source = 'a'"), "words-1"))
+    want = [("a", 2, 4), ("b", 1, 1)]
+    assert total() == want
+    with monkeypatch.context() as m:  # after the attempt is written, before the marker names it
+        m.setattr(counts.Rollup, "_switch", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            r.commit("1", counts.changes(docs.limit(0), "words-1"))
+    assert total() == want and len(list((tmp_path / "r" / "1").glob("attempt-*"))) == 2
+    r.commit("1", counts.changes(docs, "words-1"))
+    assert total() == want and len(list((tmp_path / "r" / "1").glob("attempt-*"))) == 1
+    # folding keeps totals, also when it dies before the folded folders are gone
+    r.compact()
+    assert total() == want and r.committed() == ["1", "2"] and not (tmp_path / "r" / "1").exists()
+    with pytest.raises(ValueError):
+        r.commit("2", counts.changes(docs, "words-1"))
+    r.commit("3", counts.changes(docs.where("source = 'b'"), "words-1", -1))
+    assert total() == [("a", 2, 4), ("b", 0, 0)]
+    r.compact()
+    assert total() == [("a", 2, 4), ("b", 0, 0)] and r.committed() == ["1", "2", "3"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     rng = random.Random(1)
