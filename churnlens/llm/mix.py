@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
@@ -154,22 +154,21 @@ def _below(rows: DataFrame, need: dict[int, float]) -> dict[int, float]:
     """Per source, the key up to which its rows (key, size, at in [-1, 1)) have no more words than needed, by two
     rounds of histograms; ``need`` is lowered by those words."""
     low, width = {k: -1.0 for k in need}, 2.0
+    bins = Window.partitionBy("key").orderBy("bin")  # at most BINS rows a source
     for _ in range(2):
         hist = _by_source(rows, list(low.items()), "low double") \
             .withColumn("bin", F.floor((F.col("at") - F.col("low")) * F.lit(BINS / width)).cast("int")) \
-            .where(F.col("bin").between(0, BINS - 1)).groupBy("key", "bin").agg(F.sum("size").alias("w")).collect()
-        bins: dict[int, dict[int, int]] = {k: {} for k in need}
-        for r in hist:
-            bins[r["key"]][r["bin"]] = r["w"]
+            .where(F.col("bin").between(0, BINS - 1)).groupBy("key", "bin").agg(F.sum("size").alias("w"))
+        # the edge is found where the bins are: one row a source comes back
+        summed = _by_source(hist.withColumn("sum", F.sum("w").over(bins)), list(need.items()), "need double")
+        fits = F.col("sum") <= F.col("need")
+        edges = summed.groupBy("key").agg(F.min(F.when(~fits, F.col("bin"))).alias("edge"), F.max(F.when(fits, F.col("sum"))).alias("taken")).collect()
+        found = {r["key"]: r for r in edges}
         width /= BINS
         for k in need:
-            edge = BINS
-            for b, w in sorted(bins[k].items()):
-                if need[k] < w:
-                    edge = b
-                    break
-                need[k] -= w
-            low[k] += edge * width
+            r = found.get(k)
+            need[k] -= (r["taken"] or 0) if r else 0
+            low[k] += (BINS if r is None or r["edge"] is None else r["edge"]) * width
     return low
 
 

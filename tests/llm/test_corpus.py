@@ -428,3 +428,18 @@ def test_long_rows_of_marks_take_linear_time(chars, long):
     toxicity.restore(long, chars)
     toxicity.Reader(chars).read(long)
     assert time.process_time() - began < 1
+
+
+def test_edges_of_histograms_equal_a_plain_walk(spark):
+    """``_below`` against a walk over the rows in order: the cut up to which words fit, in bins of two rounds."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(rng.integers(1, 60)), float(np.round(rng.uniform(-1, 1), 7))) for k in rng.integers(0, 4, 1500)]
+    need = {0: 300.0, 1: 0.0, 2: 1e9, 3: 4321.5, 4: 10.0}
+    left = dict(need)
+    got = mix._below(spark.createDataFrame(rows, "key int, size bigint, at double"), left)
+    for k in need:
+        below = sorted((a, n) for key, n, a in rows if key == k and a < got[k] - 1e-9)
+        words = sum(n for _, n in below)
+        assert words <= need[k] and left[k] == pytest.approx(need[k] - words, abs=61)
+        rest = [n for key, n, a in rows if key == k and got[k] <= a < got[k] + 2 / mix.BINS**2 + 1e-9]
+        assert not rest or words + sum(rest) > need[k]
