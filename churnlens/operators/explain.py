@@ -66,9 +66,9 @@ def long_form(attr: DataFrame) -> DataFrame:
 
 def _largest(n: int | None = None) -> Column:
     """``attrs`` by |phi|, largest first, ties by feature; the first n."""
-    ordered = F.array_sort("attrs", lambda a, b: F.when(F.abs(a["shap_value"]) > F.abs(b["shap_value"]), -1)
-                           .when(F.abs(a["shap_value"]) < F.abs(b["shap_value"]), 1)
-                           .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    # the natural order of structs is compiled; a comparison function would be interpreted for every pair
+    keyed = F.transform("attrs", lambda x: F.struct((-F.abs(x["shap_value"])).alias("size"), x["feature"].alias("name"), x.alias("item")))
+    ordered = F.transform(F.sort_array(keyed), lambda x: x["item"])
     return ordered if n is None else F.slice(ordered, 1, n)
 
 

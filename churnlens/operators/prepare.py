@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.operators.select import exact_median
+from churnlens.session import scratch_path
 from churnlens.schema import (BINARY_COLS, CATEGORICAL_COLS, ID_COL, LABEL_COL, NUMERIC_COLS,
                               SERVICE_COLS, SERVICE_VALUES, TARGET_COL)
 
@@ -142,13 +143,17 @@ def encode_service(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: encode_service_col(c) for c in cols})
 
 
+MAX_LEVELS = 1_000
+
+
 def fit_categories(df: DataFrame, cols: list[str] | None = None,
-                   max_levels: int | None = None) -> dict[str, list[str]]:
+                   max_levels: int | None = MAX_LEVELS) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per categorical column, in one aggregate job.
 
     The distinct (column, value) pairs are computed on the executors. One-hot
-    columns are part of the plan, so their levels come to the driver; a caller
-    who wants a bound gives ``max_levels``, beyond which a column is an error.
+    columns are part of the plan, so their levels come to the driver, at most
+    ``max_levels`` of a column; a column with more is an error, and is encoded with
+    ``level_table`` and ``one_hot_sparse``, which collect no level.
     """
     cols = [c for c in (cols or CATEGORICAL_COLS) if c in df.columns]
     if not cols:
@@ -167,6 +172,45 @@ def fit_categories(df: DataFrame, cols: list[str] | None = None,
     return out
 
 
+def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """ENC5 for any number of levels: (column, level, id), ids dense from 0 in the levels' order in each column.
+
+    The distinct pairs are range-partitioned in order and written; a task numbers its own range, and what comes to the
+    driver is one count per column and task, never a level."""
+    spark = df.sparkSession
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in cols])).alias("p")) \
+        .select("p.column", "p.level").where(F.col("level").isNotNull()).distinct()
+    path = scratch_path(spark, "levels")
+    pairs.repartitionByRange("column", "level").sortWithinPartitions("column", "level").withColumn("task", F.spark_partition_id()) \
+        .withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before: dict = {}
+    first = []
+    for r in rows.groupBy("column", "task").agg(F.count("*").alias("n"), F.min("at").alias("least")).orderBy("column", "task").collect():
+        first.append((r["column"], r["task"], before.get(r["column"], 0) - r["least"]))
+        before[r["column"]] = before.get(r["column"], 0) + r["n"]
+    shift = spark.createDataFrame(first, "column string, task int, shift bigint")
+    return rows.join(F.broadcast(shift), ["column", "task"]).select("column", "level", (F.col("at") + F.col("shift")).alias("id"))
+
+
+def one_hot_sparse(df: DataFrame, levels: DataFrame, cols: list[str], out: str = "one_hot") -> DataFrame:
+    """ENC6 for any number of levels: ``out`` is a sparse vector, struct(size, indices, values), in place of ``cols``.
+
+    Positions follow ``cols``, then the levels' ids; a null or unknown value has no entry. ``levels`` is joined column by
+    column (broadcast where Spark finds it small, else by shuffle with skewed levels split), not collected."""
+    sizes = {r["column"]: r["n"] for r in levels.groupBy("column").agg(F.count("*").alias("n")).collect()}  # one row a column
+    start, joined = 0, df
+    entries = []
+    for k, c in enumerate(cols):
+        own = levels.where(F.col("column") == c).select(F.col("level").alias(f"_level{k}"), (F.col("id") + start).alias(f"_id{k}"))
+        joined = joined.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_level{k}"), "left")
+        entries.append(F.col(f"_id{k}"))
+        start += sizes.get(c, 0)
+    found = F.array_compact(F.array(*entries)) if entries else F.array().cast("array<bigint>")
+    vector = F.struct(F.lit(start).cast("bigint").alias("size"), found.alias("indices"), F.transform(found, lambda x: F.lit(1.0)).alias("values"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], vector.alias(out))
+
+
 def one_hot_cols(categories: dict[str, list[str]]) -> dict[str, Column]:
     """ENC5 + ENC6: one int column per fitted level, named ``<col>_<level>``."""
     out = {}

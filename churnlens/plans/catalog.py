@@ -148,6 +148,16 @@ def q_one_hot(spark, sf):
     return oh.select(ID_COL, *[f"`{n}`" for n in prepare.one_hot_cols(cats)])
 
 
+@query("one_hot_sparse")
+def q_one_hot_sparse(spark, sf):
+    """Sparse one-hot of the categorical columns and of one with as many levels as rows."""
+    c = TB.cleaned(spark, sf).select(ID_COL, *CATEGORICAL_COLS, F.col(ID_COL).alias("name"))
+    cols = [*CATEGORICAL_COLS, "name"]
+    out = prepare.one_hot_sparse(c, prepare.level_table(c, cols), cols)
+    return out.select(ID_COL, F.col("one_hot.size").alias("size"), F.array_join("one_hot.indices", ",").alias("indices"),
+                      F.aggregate("one_hot.values", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 @query("encode_features")
 def q_encode_features(spark, sf):
     return TB.encoded(spark, sf)
@@ -559,6 +569,7 @@ def q_embedding_knn(spark, sf):
 
 @query("similar_all_lsh")
 def q_similar_all_lsh(spark, sf):
+    """JON6 in linear time: near rows along sorted projections (no hashing; the key keeps its first name)."""
     r = neighbors.knn_all_sorted(TB.customer_vectors(spark, sf), k=5)
     return r.select(ID_COL, F.col("rank").cast("bigint").alias("rank"), "neighbor_id", r6("distance").alias("distance"))
 

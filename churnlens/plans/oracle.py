@@ -10,7 +10,7 @@ from __future__ import annotations
 from churnlens.functions.scalars import SPACE
 from churnlens.operators import messages as TEXT
 from churnlens.operators.neighbors import BLOCK_ROWS, DIRECTIONS, direction
-from churnlens.schema import CUSTOMER_SCHEMA
+from churnlens.schema import CATEGORICAL_COLS, CUSTOMER_SCHEMA
 from churnlens.sources.fixture import linear_weights
 
 
@@ -204,6 +204,11 @@ register("encode_target", "SELECT customerID, label FROM encoded")
 register("encode_binary", "SELECT customerID, Partner, Dependents, PhoneService, PaperlessBilling, MultipleLines FROM encoded")
 register("encode_gender", "SELECT customerID, gender FROM encoded")
 register("one_hot", "SELECT customerID, " + ", ".join(f'"{f}"' for f in FEATURES[16:]) + " FROM encoded")
+_CATS = [*CATEGORICAL_COLS, "customerID"]
+_RANK = [f"dense_rank() OVER (ORDER BY {c}) - 1" for c in _CATS]
+_SIZE = [f"(SELECT count(DISTINCT {c}) FROM cleaned)" for c in _CATS]
+register("one_hot_sparse", "SELECT customerID, " + " + ".join(_SIZE) + " AS size, concat_ws(',', " + ", ".join(
+    " + ".join([r, *_SIZE[:i]]) for i, r in enumerate(_RANK)) + f") AS indices, {len(_CATS)}.0::DOUBLE AS total FROM cleaned")
 register("encode_features", "SELECT * FROM encoded")
 register("fit_scaler", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, "

@@ -629,3 +629,25 @@ def test_stream_survives_bad_rows_restarts_and_an_empty_start(spark, tmp_path):
     number = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     keep(fresh).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
     assert stream.read_sink(spark, out).count() == 3
+
+
+def test_levels_without_a_bound_on_the_driver(spark, monkeypatch):
+    """A column of very many levels is encoded by a dictionary table; ids are dense and in order; hot and unknown values."""
+    from churnlens.operators import prepare
+    n = 200_000
+    df = spark.range(n + 1000).select(F.format_string("c%07d", "id").alias("customerID"),
+                                      F.when(F.col("id") < n, F.format_string("v%06d", (F.col("id") * 7919) % n)).otherwise("v000000").alias("code"),
+                                      F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("x")).alias("kind"))
+    collected, real = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(real(self)) or collected[-1])
+    levels = prepare.level_table(df, ["kind", "code"])
+    out = prepare.one_hot_sparse(df.where("code <> 'v000005'").unionAll(df.limit(1).select("customerID", F.lit("new"), "kind")), levels, ["kind", "code"])
+    assert out.columns == ["customerID", "one_hot"] and out.count() == n + 1000
+    assert sum(len(rows) for rows in collected) < 1000
+    monkeypatch.undo()
+    got = {r.customerID: r.one_hot for r in out.where("customerID in ('c0000001', 'c0000003', 'c0200500')").collect()}
+    assert got["c0000001"].size == n + 1 and got["c0000001"].indices == [0, 1 + 7919] and got["c0000001"]["values"] == [1.0, 1.0]
+    assert got["c0000003"].indices == [1 + 3 * 7919] and got["c0200500"].indices == [0, 1]
+    assert levels.where("column = 'code'").agg(F.count_distinct("id"), F.min("id"), F.max("id")).first() == (n, 0, n - 1)
+    with pytest.raises(ValueError):
+        prepare.fit_categories(df, ["code"])
