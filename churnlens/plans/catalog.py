@@ -672,15 +672,14 @@ def q_kmeans_check(spark, sf):
     seg = _segmented(spark, sf)
     cols = segments.segment_inputs(seg)
     z = segments.standardized(seg, cols).select("segment", vector_to_array("features").alias("x"))
-    means = z.select("segment", F.posexplode("x").alias("j", "v")).groupBy("segment", "j").agg(F.avg("v").alias("m")) \
-        .groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("mean"))
-    means = means.agg(F.collect_list(F.struct("segment", "mean")).alias("means"))  # k rows
-    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    far = z.join(F.broadcast(means)).select("segment", F.transform("means", lambda m: F.struct(
-        m["segment"].alias("segment"), F.sqrt(d2(F.col("x"), m["mean"])).alias("d"))).alias("d"))
-    own = F.filter("d", lambda m: m["segment"] == F.col("segment"))[0]["d"]
-    return far.agg(F.count("*").alias("n_rows"), F.count_distinct("segment").alias("n_segments"),
-                   F.count_if(F.array_min(F.transform("d", lambda m: m["d"])) < own - 1e-3).alias("n_misplaced"))
+    means: dict = {}
+    for r in z.select("segment", F.posexplode("x").alias("j", "v")).groupBy("segment", "j").agg(F.avg("v").alias("m")).collect():  # segments x columns
+        means.setdefault(r["segment"], {})[r["j"]] = r["m"]
+    far = F.create_map(*[e for g, m in sorted(means.items()) for e in (F.lit(g), F.sqrt(F.aggregate(
+        F.zip_with("x", F.array(*[F.lit(m[j]) for j in sorted(m)]), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)))])
+    return z.select("segment", far.alias("far")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("segment").alias("n_segments"),
+        F.count_if(F.array_min(F.map_values("far")) < F.col("far")[F.col("segment")] - 1e-3).alias("n_misplaced"))
 
 
 @query("load_customers")
