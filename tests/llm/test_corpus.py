@@ -324,6 +324,45 @@ def test_fuzzy_passages_equal_brute_force(spark):
     assert len(want) > 100 and want <= got
 
 
+def test_fuzzy_passages_quoted_in_pieces(spark):
+    """70 words with 7 substitutions (similarity 0.9), all of whose 5-word shingles stand in quotations of 14 words in documents
+    before the first of the pair and between the two: nine in ten are found from their pairs of seeds."""
+    rng = random.Random(43)
+    rows, pairs = [], []
+    for k in range(40):
+        at, shared = k * 20, _words(rng, 70)
+        other = list(shared)
+        for i in range(7):
+            other[10 * i + rng.randrange(10)] = f"zz{k}x{i}"
+        lone = lambda n: _words(rng, n)
+        quotes = lambda: [lone(25) + shared[i:i + 14] + lone(25) for i in range(0, 60, 10)]
+        texts = [*quotes(), lone(30) + shared + lone(30), *quotes(), lone(30) + other + lone(30)]
+        rows += [(at + i, " ".join(x), "s") for i, x in enumerate(texts)]
+        pairs.append((at + 13, at + 6))
+    got = {(r.doc_id, r.source_id) for r in passages.query(_frame(spark, rows)).collect()}
+    assert got <= set(pairs) and len(got) >= 36, len(got)
+
+
+def test_pairs_of_seeds_are_linked_past_other_partners():
+    """Rows of one hash and few second seeds: the links against a look at all rows."""
+    rng = random.Random(44)
+    for _ in range(200):
+        rows = sorted({(rng.randint(0, 1), rng.randint(0, 9), rng.randint(0, 300)) for _ in range(rng.randint(1, 40))})
+        second = [rng.randint(0, 3) for _ in rows]
+        got = set(zip(*[x.tolist() for x in passages.pair_links(*[np.array(x) for x in (*zip(*rows), second)])]))
+        want = set()
+        for (h, doc, pos), s in zip(rows, second):
+            known = set()
+            for same in ([r for r in rows if r[0] == h], [r for r, z in zip(rows, second) if r[0] == h and s and z == s]):
+                before = sorted({d for _, d, _ in same if d < doc})
+                for src in {*before[:1], *before[-1:]} - known:
+                    places = [p for _, d, p in same if d == src]
+                    rank = [p for _, d, p in same if d == doc].index(pos) if same else 0
+                    want.add((doc, pos, src, places[rank % len(places)]))
+                known |= {*before[:1], *before[-1:]}
+        assert got == want
+
+
 def test_passages_of_long_words(spark):
     """Words of 80 to 200 bytes without white space; more than a first cut on both sides of a short run."""
     rng = random.Random(21)
