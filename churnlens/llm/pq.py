@@ -27,7 +27,7 @@ other direction does not probe, the block counts for it.
 Defined cases: a vector that is null, empty, all zero, or holds a null or
 non-finite component, and a row without vec_id, links with nothing and is its
 own component; vectors of different lengths never link; repeated rows count as
-further vectors; an empty table gives no rows; further input columns are
+further vectors, and so do different vectors of one vec_id; an empty table gives no rows; further input columns are
 ignored.
 """
 
@@ -133,8 +133,8 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def _units(v) -> np.ndarray:
-    """Unit vectors (double) of an Arrow list column or a list of arrays."""
-    x = np.array([np.asarray(r, np.float64) for r in v], np.float64)
+    """Unit vectors (double) of a matrix or a list of vectors."""
+    x = np.array(v, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -146,11 +146,13 @@ def _found(reps: DataFrame, dim: int, n: int, cosine: float, margin: float | Non
     # the share of hashes that gives about the wanted number, and a limit for the rest of chance
     want = SAMPLE_PER_LIST * max(lists, 16)
     share = min(1.0, 1.2 * want / n)
-    sample = reps.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) \
-        .select("node", "v").limit(want).toPandas().sort_values("node")
+    sample = reps.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) \
+        .select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(want).toPandas()
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     # a table can be so small that no hash falls into the share; then one centre serves
-    units = _units(sample["v"]) if len(sample) else np.ones((1, dim)) / math.sqrt(dim)
+    units = _units(sample["v"].tolist()) if len(sample) else np.ones((1, dim)) / math.sqrt(dim)
+    # vectors travel as they were given, four bytes a component where those are floats, and are normalised again
+    given = np.float32 if isinstance(reps.schema["v"].dataType.elementType, T.FloatType) else np.float64
     index = spark.sparkContext.broadcast(vars(Index(units, lists, radius, margin)))
 
     def place(members: bool):
@@ -161,16 +163,16 @@ def _found(reps: DataFrame, dim: int, n: int, cosine: float, margin: float | Non
             for batch in stream:
                 for i in range(0, batch.num_rows, 1024):
                     part = batch.slice(i, 1024)
-                    x = _units(part.column("v").to_pylist())
+                    v = np.asarray(part.column("v").flatten(), given).reshape(part.num_rows, dim)
+                    x, raw = _units(v), [r.tobytes() for r in v]
                     home, row, probe = ix.probes(x)
                     node, w = np.asarray(part.column("node")), np.asarray(part.column("w"))
                     if members:
                         codes, error = ix.encode(x, home)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(home.astype(np.int32)), pa.array(node), pa.array(w), pa.array([r.tobytes() for r in x], pa.binary()),
+                            pa.array(home.astype(np.int32)), pa.array(node), pa.array(w), pa.array(raw, pa.binary()),
                             pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)], ["list", "node", "w", "x", "codes", "error"])
                     else:
-                        raw = [r.tobytes() for r in x]
                         yield pa.RecordBatch.from_arrays([
                             pa.array(probe.astype(np.int32)), pa.array(node[row]), pa.array(w[row]), pa.array([raw[r] for r in row], pa.binary()),
                             pa.array(home[row].astype(np.int32))], ["list", "node", "w", "x", "home"])
@@ -196,8 +198,8 @@ def _found(reps: DataFrame, dim: int, n: int, cosine: float, margin: float | Non
         if not len(a) or not len(b):
             return out
         ix, home = Index.load(index.value), int(key[0])
-        x = np.frombuffer(b"".join(a["x"]), np.float64).reshape(len(a), -1)
-        q = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), -1)
+        x = _units(np.frombuffer(b"".join(a["x"]), given).reshape(len(a), -1))
+        q = _units(np.frombuffer(b"".join(b["x"]), given).reshape(len(b), -1))
         codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)
         error, xn, qn = a["error"].to_numpy(), a["node"].to_numpy(), b["node"].to_numpy()
         xw, qw, q_home = a["w"].to_numpy(), b["w"].to_numpy(), b["home"].to_numpy()
@@ -235,7 +237,9 @@ def _found(reps: DataFrame, dim: int, n: int, cosine: float, margin: float | Non
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, margin: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = usable(embeddings)
-    reps = written(rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")), "vectors")
+    # a number of its own for each vector, as different ones may share a vec_id
+    reps = written(rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
+                   .withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = None
     for r in reps.groupBy(F.size("v").alias("dim")).count().collect():  # one row per length of vector
         part = _found(reps.where(F.size("v") == r["dim"]), r["dim"], r["count"], cosine, margin)
@@ -245,8 +249,12 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, margin: float
     found = written(found, "pq-found")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b"))
-    labels = reps.join(counts, "node", "left").join(roots, "node", "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    groups = reps.select("id", "node").join(roots, "node")  # only what is linked at all
+    least = groups.groupBy("root").agg(F.min("id").alias("least"))
+    # a component holds any part of the rows, so members are joined by their own number
+    named = groups.select("node", "root").join(least, "root").select("node", "least")
+    labels = reps.join(counts, "node", "left").join(named, "node", "left").select(
+        "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     linked = rows.where("ok").join(labels, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

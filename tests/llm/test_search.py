@@ -156,6 +156,14 @@ def test_embedding_default_recall_and_blocks(spark, monkeypatch):
     assert pq.query(spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_different_vectors_of_one_id(spark):
+    """A vec_id held by two vectors: each has its own links, the component's name is the smallest id in it."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [0.02, 1.0]), (4, [-1.0, 0.0]), (4, [0.0, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pq.near_duplicates(frame, margin=math.sqrt(0.2)).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False), (4, 0, 4, True), (4, 0, 4, True)]
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 30)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
