@@ -7,7 +7,9 @@ query's k best of the shard. Those lists are merged up a tree with fan-in
 ``FAN``, so no step gathers more than FAN * k rows of a query at once.
 
 All pairs of queries and candidates are scored, that is what exact means here;
-each query block travels to every shard and back only as lists of k.
+each query block travels to every shard and back only as lists of k. So a
+candidate is shuffled once per ``QUERY_ROWS`` queries and a query once per
+``SHARD_ROWS`` candidates.
 
 Products run in double precision where all sums are exactly representable
 (below 2^53), else in whole numbers of any size; scores beyond 64 bits are
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import pick, written
 
 K, SCALE, EVERY = 20, 64, 20
-QUERY_ROWS, SHARD_ROWS, FAN = 1024, 8192, 8
+QUERY_ROWS, SHARD_ROWS, FAN = 8192, 16384, 8
+LEAST_ROWS, SCORED = 1024, 1 << 21  # of a shard that is made smaller to occupy all cores; scores held at a time
 
 
 def whole(embeddings: DataFrame) -> DataFrame:
@@ -89,7 +92,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = S
     q = ready(queries, "queries").dropDuplicates(["vec_id", "v"])
     c = ready(candidates, "candidates")
     n_q, n_c = q.count(), c.count()
-    blocks, shards = max(1, math.ceil(n_q / QUERY_ROWS)), max(1, math.ceil(n_c / SHARD_ROWS))
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n_q / QUERY_ROWS))
+    shards = max(1, math.ceil(n_c / SHARD_ROWS), min(cores, math.ceil(n_c / LEAST_ROWS)))
     salt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select("vec_id", "v", "dim", salt(blocks, 1).alias("block"), tiles(shards).alias("shard"))
@@ -105,9 +110,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = S
             av = np.array(a["v"].tolist(), np.float64).reshape(len(a), dim)
             bv = np.array(b["v"].tolist(), np.float64).reshape(len(b), dim)
             ids = b["vec_id"].to_numpy()
-            for i in range(0, len(a), 256):
-                who = a["vec_id"].to_numpy()[i:i + 256]
-                score = _score(av[i:i + 256], bv)
+            step = max(1, SCORED // len(b))
+            for i in range(0, len(a), step):
+                who = a["vec_id"].to_numpy()[i:i + step]
+                score = _score(av[i:i + step], bv)
                 r, j = _best(score, who[:, None] == ids[None, :], k)
                 out["query_id"].append(who[r])
                 out["vec_id"].append(ids[j])
