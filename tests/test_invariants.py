@@ -651,3 +651,44 @@ def test_levels_without_a_bound_on_the_driver(spark, monkeypatch):
     assert levels.where("column = 'code'").agg(F.count_distinct("id"), F.min("id"), F.max("id")).first() == (n, 0, n - 1)
     with pytest.raises(ValueError):
         prepare.fit_categories(df, ["code"])
+
+
+def test_fit_partitions_stay_few():
+    """A fit's jobs run over all its partitions, level by level and tree by tree: their number does not follow the rows."""
+    from churnlens.operators.model import MOST_ROWS, fit_partitions
+    assert [fit_partitions(n) for n in (0, 1, 20_000, 20_001, 100_000)] == [1, 1, 1, 2, 5]
+    assert fit_partitions(1_077_408) == fit_partitions(7_000_000) == 24
+    assert fit_partitions(100 * MOST_ROWS) == 100
+
+
+def test_nearest_by_product_is_exact():
+    """Candidates are told by a matrix product far from the origin, with ties and copies; results are those of all pairs."""
+    from churnlens.operators import neighbors
+    rng = np.random.default_rng(3)
+    c = np.concatenate([rng.integers(0, 3, (400, 4)), rng.normal(size=(300, 4)) * 1e-7, rng.normal(size=(50, 4)) * 1e-3]) + 1e6
+    names = rng.permutation(np.array([f"n{i:04d}" for i in range(len(c))], dtype=object))
+    i, k, dist = neighbors.nearest_within(c, np.full(len(c), np.inf), c, names, 6)
+    every = np.zeros((len(c), len(c)))
+    for j in range(4):
+        every += (c[:, j][:, None] - c[None, :, j]) ** 2
+    every = np.sqrt(every)
+    for r in range(len(c)):
+        want = sorted(range(len(c)), key=lambda x: (every[r, x], names[x]))[:6]
+        assert k[i == r].tolist() == want and dist[i == r].tolist() == every[r, want].tolist()
+
+
+def test_exact_neighbours_travel_once_a_region(spark, monkeypatch):
+    """Where no box is out of reach a row is copied once to a region, not to every block, and results stay exact."""
+    from churnlens.operators import neighbors
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 32)
+    x = np.random.default_rng(4).normal(size=(900, 24))
+    df = spark.createDataFrame([(f"r{i:04d}", v.tolist(), 1) for i, v in enumerate(x)], "vid string, vec array<double>, m bigint")
+    first, sent, _ = neighbors._exact_parts(df, 900, 4, None, 42)
+    assert first.select("block").distinct().count() > 20
+    assert sent.count() <= 900 * first.select("region").distinct().count() <= 900 * 10
+    got = neighbors.knn_all(df, k=3, id_col="vid").toPandas().sort_values(["vid", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :3]
+    assert got.neighbor_id.tolist() == [f"r{j:04d}" for row in want for j in row]
