@@ -710,3 +710,26 @@ def test_kmeans_passes_read_arrow(spark):
     assert np.allclose(sums[0], x[d2.argmin(1) == 0].sum(0))
     with pytest.raises(ValueError):
         segments._rows(pa.array([[1.0, 2.0], [3.0]]), 2)
+
+
+def test_fits_are_not_sent_the_plan_of_their_rows(spark, monkeypatch):
+    """A fit reads checkpointed rows, dealt and sorted as before, not what they were computed from."""
+    from churnlens.operators import model
+    from churnlens.schema import LABEL_COL
+    seen = []
+
+    class Fit:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, data):
+            seen.append((data.rdd.toDebugString().decode(), [[r["x"] for r in p] for p in data.rdd.glom().collect()]))
+
+    monkeypatch.setattr(model, "Pipeline", Fit)
+    monkeypatch.setattr(model, "ROWS_PER_PARTITION", 100)
+    df = spark.range(300).selectExpr("cast(id as string) as customerID", "cast(id as double) as x", f"id % 2 as `{LABEL_COL}`")
+    model.train(df, ["x"], LABEL_COL)
+    plan, rows = seen[0]
+    dealt = df.repartition(3, "customerID").sortWithinPartitions("customerID")
+    assert rows == [[r["x"] for r in p] for p in dealt.rdd.glom().collect()]
+    assert "ShuffledRowRDD" not in plan
