@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pick
+from .common import give_back, pick, trimmed
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 6144
@@ -101,6 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
                     ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             base += int(seq.max()) + 1
             names, ids, sizes, held = [], [], [], 0
+            give_back()
 
         for batch in stream:
             doc_ids = batch.column("doc_id").to_pylist()
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         if names:
             yield from emit()
 
-    return pick(docs, doc_id="doc_id bigint", text="text string").mapInArrow(run, PIECES)
+    return pick(docs, doc_id="doc_id bigint", text="text string").mapInArrow(trimmed(run), PIECES)
 
 
 def query(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -194,3 +194,22 @@ def test_packing_balances_cost():
         cost[s] = cost.get(s, 0) + n + 0.01 * n * n
     full = [c for s, c in cost.items() if sum(p[2] for p in pieces if p[3] == s) == 1024]
     assert max(full) < 1.6 * np.median(full) and len(pieces) < 1.3 * len(sizes)
+
+
+def test_encoding_holds_little_beside_the_texts():
+    """4 MB of texts are encoded in steps, in less than 64 MB, with the same ids as one by one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % k for k in range(20_000)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, len(words), 300)) for _ in range(2_300)]
+    enc = bpe.Encoder(bpe.default_path("word_bpe_49k.json"))
+    tracemalloc.start()
+    ids, n = enc.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = [enc.encode([t])[0] for t in texts[:40]]
+    assert sum(map(len, texts)) > 4_000_000 and n.sum() == len(ids) and len(n) == len(texts)
+    assert np.array_equal(np.concatenate(alone), ids[:n[:40].sum()])
+    assert peak < 64 << 20
+    assert [len(x) for x in enc.encode([])] == [0, 0]
