@@ -386,6 +386,19 @@ def test_alignment_asks_for_more_text():
     assert passages.align(part, part, [at], [at], 50, 0.8) is None
 
 
+@pytest.mark.parametrize("share", [1, 2])
+def test_long_links_of_frequent_shingles_are_the_same(spark, monkeypatch, share):
+    """All shingles, or every second one, are kept apart as frequent: the documents linked are those of none."""
+    rng = random.Random(34)
+    pool = [rng.choices("abc", k=30) for _ in range(6)]
+    texts = [sum((rng.choice(pool)[rng.randrange(20):] for _ in range(4)), []) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc bigint, text string")
+    want = {(r.doc, r.src) for r in passages.long_links(docs, 12, 2).collect()}
+    monkeypatch.setattr(passages, "_sample", lambda docs: docs)
+    monkeypatch.setattr(passages, "_often", lambda rows, parts: sorted(r.h for r in rows.select("h").distinct().collect())[::share])
+    assert want and {(r.doc, r.src) for r in passages.long_links(docs, 12, 2).collect()} == want
+
+
 def test_passages_of_nothing(spark):
     docs = _frame(spark, [])
     assert passages.query(docs).count() == 0 and passages.without(docs).count() == 0
