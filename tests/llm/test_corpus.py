@@ -386,6 +386,33 @@ def test_alignment_asks_for_more_text():
     assert passages.align(part, part, [at], [at], 50, 0.8) is None
 
 
+def test_alignment_takes_only_the_words_near_its_anchors(monkeypatch):
+    """400 lone shingles in common, each in other words: what is looked at does not grow with the texts at every anchor."""
+    rng = random.Random(23)
+    x, y = ([f"{side}{i}" for i in range(40_000)] for side in "xy")
+    a, b = [], []
+    for k in range(100, 40_000, 100):
+        x[k:k + 5] = y[k:k + 5] = _words(rng, 5)
+    for z, at in ((x, a), (y, b)):
+        ends = np.cumsum([0] + [len(w) + 1 for w in z])
+        at += [int(ends[k]) for k in range(100, 40_000, 100)]
+    seen, extend = [], passages._extend
+    monkeypatch.setattr(passages, "_extend", lambda u, v, *more: (seen.append(len(u) + len(v)), extend(u, v, *more))[1])
+    x, y = (" ".join(z).encode() for z in (x, y))
+    assert passages.align((x, 0, False, False), (y, 0, False, False), a, b, 50, 0.8) == []
+    assert sum(seen) < 400 * 2 * 400
+
+
+def test_next_step_is_the_cheapest():
+    rng = random.Random(24)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnop"])
+        x, y = (["x" if k else "y", *rng.choices(letters, k=rng.randint(0, 25))] for k in (0, 1))
+        ends = lambda z: [tuple(z[i:i + 2]) for i in range(len(z) if len(z) <= 25 else 25)]
+        steps = [(max(p, q), abs(p - q), p < q, p, q) for p, u in enumerate(ends(x)) for q, v in enumerate(ends(y)) if u == v and p + q]
+        assert passages._next_step(x, y, 24) == (min(steps)[3:] if steps else None)
+
+
 @pytest.mark.parametrize("share", [1, 2])
 def test_long_links_of_frequent_shingles_are_the_same(spark, monkeypatch, share):
     """All shingles, or every second one, are kept apart as frequent: the documents linked are those of none."""
