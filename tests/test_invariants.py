@@ -505,6 +505,24 @@ def test_successive_halving_settles_the_last_rung(spark, monkeypatch):
     assert best["max_depth"] == last.sort_values("f1", ascending=False, kind="stable").iloc[0].params["max_depth"]
 
 
+def test_tune_fits_every_trial_with_all_its_trees(spark, monkeypatch):
+    from churnlens.operators import model
+    monkeypatch.setitem(model.SEARCH_SPACE, "n_estimators", ("int", 5, 8))
+    monkeypatch.setitem(model.SEARCH_SPACE, "max_depth", ("int", 2, 3))
+    from churnlens.plans import tables
+    from churnlens.operators.prepare import encoded_feature_names
+    df, _ = tables.scaled_split(spark, SF_SMALL)
+    train, valid, feats = df.where("split = 'train'"), df.where("split = 'test'"), encoded_feature_names(df)
+    best, trials = model.tune(train, valid, feats, n_trials=6)
+    t = trials.toPandas().set_index("trial")
+    assert len(t) == 6 and t.rung.eq(0).all()
+    assert t.n_trees.tolist() == [int(p["n_estimators"]) for p in t.params]
+    assert best == model.draw_params(6)[t.f1.idxmax()]
+    for i in (0, 5):  # the measures are those of a plain fit
+        auc, f1 = model.valid_measures(model.score(model.train(train, feats, params=model.draw_params(6)[i]), valid), "label")
+        assert (t.auc[i], t.f1[i]) == pytest.approx((auc, f1), abs=1e-6)
+
+
 def test_validation_rows_are_not_empty(spark):
     """The validation split uses another hash than the test split: rows of train have all passed that one."""
     from churnlens.operators.split import random_split
