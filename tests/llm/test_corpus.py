@@ -413,6 +413,68 @@ def test_next_step_is_the_cheapest():
         assert passages._next_step(x, y, 24) == (min(steps)[3:] if steps else None)
 
 
+def test_near_step_is_the_next_step():
+    rng = random.Random(25)
+    for _ in range(5000):
+        x, y = ([rng.randrange(rng.choice([2, 4, 8])) for _ in range(rng.randint(0, 14))] for _ in "xy")
+        near, step = passages._near_step(x[:5], y[:5]), passages._next_step(x, y, 24)
+        assert near == step if near else step is None or max(step) > 3 or min(len(x), len(y)) < 5
+
+
+def _edited(rng, words, rate, pool):
+    out = []
+    for w in words:
+        kind = rng.random()
+        out += [w] if kind > rate else rng.choices(pool, k=rng.randint(1, 4)) if kind > rate / 2 else []
+    return out
+
+
+@pytest.mark.parametrize("margin", [400, 1000])
+def test_many_chains_at_a_time_are_told_as_one_by_one(margin):
+    """Chance phrases, edited copies, repetitions, words of over 256 bytes, cuts within words: no chain is told otherwise."""
+    rng, chains = random.Random(26), []
+    for k in range(600):
+        pool = [*_words(rng, rng.choice([3, 40, 2000])), "Long" * 90] if k % 7 else ["z" * 300 + c for c in "abc"]
+        common = rng.choices(pool, k=rng.choice([5, 6, 12, 40, 60, 90]))
+        x, y = (rng.choices(pool, k=rng.randint(0, 120)) + _edited(rng, common, rate, pool) + rng.choices(pool, k=rng.randint(0, 120))
+                for rate in (0, rng.choice([0, 0.05, 0.2])))
+        x, y = (rng.choice(["", " "]) + rng.choice([" ", "\n ", "\t"]).join(z) for z in (x, y))
+        (_, hx, px), (_, hy, py) = (passages.seeds_of([z.encode()], 5, 1, 5) for z in (x, y))
+        at = {h: p & passages.BYTE for h, p in zip(hx.tolist(), px.tolist())}
+        both = sorted((p & passages.BYTE, at[h]) for h, p in zip(hy.tolist(), py.tolist()) if h in at)
+        line = [z for n, z in enumerate(both) if all(u < z[1] for _, u in both[:n])][:rng.choice([1, 2, 5])]
+        if line:
+            cuts = [(z.encode()[max(0, q[0] - margin):q[-1] + margin], max(0, q[0] - margin), len(z))
+                    for z, q in ((x, [u for _, u in line]), (y, [q for q, _ in line]))]
+            chains.append((*cuts, [u for _, u in line], [q for q, _ in line]))
+    src, doc = ([list(c) if k == 0 else np.array(c) for k, c in enumerate(zip(*z))] for z in list(zip(*chains))[:2])
+    a, b = ((np.cumsum([0] + [len(c) for c in z]), np.concatenate(z)) for z in list(zip(*chains))[2:])
+    said = passages.settle(src, doc, a, b, 50, 0.8)
+    want = [passages.align(passages._trimmed(*x), passages._trimmed(*y), p, q, 50, 0.8) for x, y, p, q in chains]
+    assert all(got is None for got, say in zip(want, said) if say == 1)
+    assert all(got == [] for got, say in zip(want, said) if say == 0)
+    assert (said == 0).sum() > 20 and (said > 0).sum() > 20
+
+
+def test_chains_of_a_few_words_are_told_at_a_time():
+    rng = random.Random(27)
+    text = [_words(rng, 400) for _ in range(41)]
+    for z in text[1:]:
+        z[200:206] = text[0][200:206]
+    said = passages.settle(*[([" ".join(z).encode() for z in side], np.zeros(40, int), np.array([len(" ".join(z)) for z in side]))
+                             for side in (text[:1] * 40, text[1:])],
+                           *[(np.arange(41), np.array([len(" ".join(z[:200])) + 1 for z in side])) for side in (text[:1] * 40, text[1:])], 50, 0.8)
+    assert said.tolist() == [0] * 40
+
+
+def test_frequent_hashes_are_not_joined(spark):
+    frame = spark.createDataFrame([(h, d, 3) for h in (1, 2) for d in range(9)], "h bigint, doc bigint, pos bigint")
+    plan = passages.links(frame, [1])._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    assert sorted(r.h for r in passages._of_hashes(frame, [2, 5], True).collect()) == [2] * 9
+    assert sorted(r.h for r in passages._of_hashes(frame, [2, 5], False).collect()) == [1] * 9
+
+
 @pytest.mark.parametrize("share", [1, 2])
 def test_long_links_of_frequent_shingles_are_the_same(spark, monkeypatch, share):
     """All shingles, or every second one, are kept apart as frequent: the documents linked are those of none."""
